@@ -10,23 +10,14 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from levelmap import fixed
-from levelmap.functions.predicates import holds, is_active, number_text
+from levelmap.functions.predicates import holds, number_text
 
 
-def sorted_levels(levels: Column) -> Column:
-    """Active levels by price; equal prices stay in list order.
+def zone_anchors(ordered: Column, tol: Column) -> Column:
+    """Start prices of the clusters: a level more than tol above the last anchor starts anew.
 
-    ``levels`` is an array of structs with at least slot, source and price.
+    ``ordered`` is an array of structs with price and source, sorted by price.
     """
-    keyed = F.transform(
-        F.filter(levels, lambda v: is_active(v["price"])),
-        lambda v: F.struct(v["price"].alias("price"), v["slot"].alias("slot"), v["source"].alias("source")),
-    )
-    return F.sort_array(keyed)
-
-
-def zone_anchors(ordered: Column, tol: Column) -> Column:
-    """Start prices of the clusters: a level more than tol above the last anchor starts anew."""
     return F.aggregate(
         ordered,
         F.array().cast("array<double>"),

@@ -1,43 +1,54 @@
-"""A sheet's 25 slots as rows."""
+"""A sheet's 25 slots as rows.
+
+Arrays made by an expression are exploded with the outer form and filtered afterwards.
+The plain form makes the optimizer test the array for emptiness first, which would compute
+the expression twice.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from levelmap.functions import predicates, zones
-from levelmap.schemas import SHEET_KEYS, SLOTS
-
-
-def level_array() -> Column:
-    """All slots of the sheet row as an array of structs in list order."""
-    return F.array(
-        *[
-            F.struct(
-                F.lit(s.slot).alias("slot"),
-                F.lit(s.family).alias("family"),
-                (F.col(s.label_col) if s.label_col else F.lit(s.source)).alias("source"),
-                (F.col(s.label_col) if s.label_col else F.lit(s.label)).alias("label"),
-                F.col(s.price_col).alias("price"),
-                (F.col(s.size_col) if s.size_col else F.lit(None).cast("double")).alias("size_m"),
-            )
-            for s in SLOTS
-        ]
-    )
+from levelmap.functions import predicates
+from levelmap.schemas import SHEET_KEYS, SLOTS, Slot
+
+
+def level_array(*fields: str) -> Column:
+    """All slots of the sheet row as an array of structs in list order, with the fields named."""
+
+    def entry(s: Slot) -> str:
+        values = {
+            "slot": str(s.slot),
+            "family": f"'{s.family}'",
+            "source": s.label_col or f"'{s.source}'",
+            "label": s.label_col or (f"'{s.label}'" if s.label else "string(null)"),
+            "price": s.price_col,
+            "size_m": s.size_col or "double(null)",
+        }
+        return "struct(" + ", ".join(f"{values[f]} as {f}" for f in fields) + ")"
+
+    return F.expr("array(" + ", ".join(entry(s) for s in SLOTS) + ")")
 
 
 def level_rows(sheets: DataFrame) -> DataFrame:
     """One row per sheet and slot. A narrow step: no shuffle."""
-    return sheets.select(*SHEET_KEYS, F.inline(level_array())).select(
-        *SHEET_KEYS, "slot", "family", "source", "price", "size_m"
-    )
+    return sheets.select(*SHEET_KEYS, F.inline(level_array("slot", "family", "source", "price", "size_m")))
 
 
 def active_levels(sheets: DataFrame) -> DataFrame:
     return level_rows(sheets).filter(predicates.is_active(F.col("price")))
 
 
+def sorted_levels() -> Column:
+    """The sheet row's active levels by price; equal prices stay in list order."""
+    active = F.filter(level_array("price", "slot", "source"), lambda v: predicates.is_active(v["price"]))
+    return F.sort_array(active)
+
+
 def level_order(sheets: DataFrame) -> DataFrame:
     """Active levels with their 1-based position by (price, slot) within the sheet."""
-    ordered = sheets.select(*SHEET_KEYS, F.posexplode(zones.sorted_levels(level_array())).alias("i", "v"))
-    return ordered.select(*SHEET_KEYS, (F.col("i") + 1).alias("pos"), "v.slot", "v.source", "v.price")
+    ordered = sheets.select(*SHEET_KEYS, F.posexplode_outer(sorted_levels()).alias("i", "v"))
+    return ordered.filter("i is not null").select(
+        *SHEET_KEYS, (F.col("i") + 1).alias("pos"), "v.slot", "v.source", "v.price"
+    )

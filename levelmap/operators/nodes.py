@@ -7,9 +7,6 @@ nodes are unpivoted only afterwards, in a narrow step.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,17 +16,13 @@ from levelmap.schemas import NODES
 
 
 def node_array() -> Column:
-    return F.array(
-        *[
-            F.struct(
-                F.lit(s.slot).alias("slot"),
-                F.lit(s.family == "green").alias("green"),
-                F.col(s.price_col).alias("price"),
-                F.col(s.size_col).alias("size_m"),
-            )
-            for s in NODES
-        ]
-    )
+    """The sheet row's nodes as an array of structs."""
+    entries = [
+        f"struct({s.slot} as slot, {s.family == 'green'} as green, "
+        f"{s.price_col} as price, {s.size_col} as size_m)"
+        for s in NODES
+    ]
+    return F.expr("array(" + ", ".join(entries) + ")")
 
 
 def with_nodes(rows: DataFrame, *keep: str) -> DataFrame:
@@ -71,13 +64,13 @@ def flip_events(context: DataFrame) -> DataFrame:
 def any_flip() -> Column:
     """True on a bar (context joined with the sheet) where at least one node turns flipped."""
 
-    def turns(price: Column, green: bool) -> Column:
+    def turns(node: Column) -> Column:
         def broken(low: str, high: str) -> Column:
-            return nodes.breaks(F.lit(green), price, F.col("buf"), F.col(low), F.col(high))
+            return nodes.breaks(node["green"], node["price"], F.col("buf"), F.col(low), F.col(high))
 
         return broken("close", "close") & ~broken("low_before", "high_before")
 
-    return reduce(or_, [turns(F.col(s.price_col), s.family == "green") for s in NODES])
+    return F.exists(node_array(), turns)
 
 
 def node_states(sessions: DataFrame) -> DataFrame:

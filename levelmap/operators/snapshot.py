@@ -122,10 +122,10 @@ def annotations(sessions: DataFrame) -> DataFrame:
         none,
     )
     is_node = lambda v: v["family"].isin("green", "red")
-    active = F.filter(level_array(), lambda v: is_active(v["price"]))
+    active = F.filter(level_array("slot", "family", "label", "price", "size_m"), lambda v: is_active(v["price"]))
     marks = F.concat(
         F.transform(active, lambda v: F.when(is_node(v), node_mark(v)).otherwise(level_mark(v))),
         F.filter(F.array(band), lambda b: b["price"].isNotNull()),
         F.transform("zones", zone_mark),
     )
-    return sessions.select(*SHEET_KEYS, F.inline(marks))
+    return sessions.select(*SHEET_KEYS, F.inline_outer(marks)).filter("kind is not null")

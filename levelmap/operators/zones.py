@@ -6,23 +6,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from levelmap.functions import zones
-from levelmap.operators.levels import level_array
+from levelmap.operators.levels import sorted_levels
 from levelmap.schemas import SHEET_KEYS
 
 
 def with_zones(sheets: DataFrame) -> DataFrame:
     """Adds the sheet's zones as an array of structs (at most 12, as 25 levels pair up)."""
     return (
-        sheets.withColumn("_ordered", zones.sorted_levels(level_array()))
+        sheets.withColumn("_ordered", sorted_levels())
         .withColumn("_anchors", zones.zone_anchors(F.col("_ordered"), F.col("tol")))
         .withColumn("zones", zones.zone_array(F.col("_ordered"), F.col("_anchors"), F.col("tol")))
         .drop("_ordered", "_anchors")
     )
 
 
+def each_zone(zoned: DataFrame, *keep: str) -> DataFrame:
+    """Repeats each row for every zone of its sheet; rows without zones drop out."""
+    return zoned.select(*keep, F.inline_outer("zones")).filter("zone_seq is not null")
+
+
 def zone_rows(sheets: DataFrame) -> DataFrame:
     """One row per sheet and zone with bounds, stars and label."""
-    rows = with_zones(sheets).select(*SHEET_KEYS, F.inline("zones"))
+    rows = each_zone(with_zones(sheets), *SHEET_KEYS)
     return rows.withColumns(
         {
             "stars": zones.stars(F.col("n")),
@@ -33,7 +38,7 @@ def zone_rows(sheets: DataFrame) -> DataFrame:
 
 def zone_sides(sessions: DataFrame) -> DataFrame:
     """Session statistics joined with zoned sheets: each zone against the last close."""
-    rows = sessions.select(*SHEET_KEYS, "last_close", F.inline("zones"))
+    rows = each_zone(sessions, *SHEET_KEYS, "last_close")
     return rows.select(
         *SHEET_KEYS,
         "zone_seq",
@@ -64,7 +69,7 @@ def _entry(kind) -> Column:
 
 def zone_entries(context: DataFrame) -> DataFrame:
     """Bar context joined with zoned sheets: one row per bar and zone entered."""
-    rows = context.select(*SHEET_KEYS, "ts", "prev_close", "close", F.inline("zones"))
+    rows = each_zone(context, *SHEET_KEYS, "ts", "prev_close", "close")
     below, above = _entry(zones.entered_from_below), _entry(zones.entered_from_above)
     return rows.filter(below | above).select(
         *SHEET_KEYS,
@@ -97,9 +102,8 @@ def touch_counts(sheets_with_zones: DataFrame, context: DataFrame) -> DataFrame:
 
     The join leaves rows spread by (symbol, session_date), which the grouping can use as is.
     """
-    rows = sheets_with_zones.join(context, list(SHEET_KEYS), "left").select(
-        *SHEET_KEYS, "prev_close", "close", F.inline("zones")
-    )
+    bars = sheets_with_zones.join(context, list(SHEET_KEYS), "left")
+    rows = each_zone(bars, *SHEET_KEYS, "prev_close", "close")
     entered = _entry(zones.entered_from_below) | _entry(zones.entered_from_above)
     return rows.groupBy(*SHEET_KEYS, "zone_seq").agg(F.count_if(entered).alias("touches"))
 
@@ -117,7 +121,7 @@ def intrabar_entries(ticks: DataFrame, context: DataFrame, interval: str = "1 ho
     )
     outside = F.when(F.col("prev_close") < F.col("bot"), "below").when(F.col("prev_close") > F.col("top"), "above")
     bands = (
-        context.select(*SHEET_KEYS, "ts", "prev_close", F.inline("zones"))
+        each_zone(context, *SHEET_KEYS, "ts", "prev_close")
         .select("symbol", "ts", "session_date", outside.alias("side"), "bot", "top")
         .filter("side is not null")
     )

@@ -8,6 +8,7 @@ the tables; the operators are the same.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,31 +22,49 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 class Inputs:
-    """Ticks of a folder with the bars, sheets and joins the queries share."""
+    """Ticks of a folder with the bars, sheets and joins the queries share, built on demand."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.ticks = read_ticks(spark, sf_dir)
-        self.bars = bars(self.ticks)
-        self.raw_sheets = sheets_from_ticks(self.ticks)
-        self.sheets = with_defaults(self.raw_sheets)
+        self.spark = spark
+        self.sf_dir = sf_dir
 
-    @property
+    @cached_property
+    def ticks(self) -> DataFrame:
+        return read_ticks(self.spark, self.sf_dir)
+
+    @cached_property
+    def bars(self) -> DataFrame:
+        return bars(self.ticks)
+
+    @cached_property
+    def bar_context(self) -> DataFrame:
+        return sessions.bar_context(self.bars)
+
+    @cached_property
+    def sheets(self) -> DataFrame:
+        return with_defaults(sheets_from_ticks(self.ticks))
+
+    @cached_property
     def zoned(self) -> DataFrame:
         return zones.with_zones(self.sheets)
 
-    @property
+    @cached_property
     def bars_with_sheet(self) -> DataFrame:
         return joins.by_session(self.bars, self.sheets)
 
-    @property
+    @cached_property
     def context(self) -> DataFrame:
-        return joins.by_session(sessions.bar_context(self.bars), self.sheets)
+        return joins.by_session(self.bar_context, self.sheets)
 
-    @property
+    @cached_property
     def zoned_context(self) -> DataFrame:
-        return joins.by_session(sessions.bar_context(self.bars), self.zoned)
+        return joins.by_session(self.bar_context, self.zoned)
+
+    @cached_property
+    def session_sheets(self) -> DataFrame:
+        return joins.by_session(sessions.session_stats(self.bars), self.sheets)
 
-    @property
+    @cached_property
     def sessions(self) -> DataFrame:
         return joins.by_session(sessions.session_stats(self.bars), self.zoned)
 
@@ -158,7 +177,7 @@ def max_change_bias(i: Inputs) -> DataFrame:
 
 @_query
 def prev_close(i: Inputs) -> DataFrame:
-    return sessions.bar_context(i.bars).select("symbol", "ts", "session_date", "close", "prev_close")
+    return i.bar_context.select("symbol", "ts", "session_date", "close", "prev_close")
 
 
 @_query
@@ -196,17 +215,17 @@ def any_flip(i: Inputs) -> DataFrame:
 
 @_query
 def node_width(i: Inputs) -> DataFrame:
-    return nodes.node_states(i.sessions).select("symbol", "session_date", "slot", "size_m", "width")
+    return nodes.node_states(i.session_sheets).select("symbol", "session_date", "slot", "size_m", "width")
 
 
 @_query
 def node_role(i: Inputs) -> DataFrame:
-    return nodes.node_states(i.sessions).select("symbol", "session_date", "slot", "flipped", "role")
+    return nodes.node_states(i.session_sheets).select("symbol", "session_date", "slot", "flipped", "role")
 
 
 @_query
 def node_label(i: Inputs) -> DataFrame:
-    return nodes.node_states(i.sessions).select("symbol", "session_date", "slot", "price", "label")
+    return nodes.node_states(i.session_sheets).select("symbol", "session_date", "slot", "price", "label")
 
 
 # --- zones --------------------------------------------------------------------
@@ -263,7 +282,7 @@ def zone_entry_intrabar(i: Inputs) -> DataFrame:
 
 @_query
 def zone_touch_count(i: Inputs) -> DataFrame:
-    return zones.touch_counts(i.zoned, sessions.bar_context(i.bars))
+    return zones.touch_counts(i.zoned, i.bar_context)
 
 
 # --- pin ----------------------------------------------------------------------

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from levelmap import fixed
@@ -10,6 +10,7 @@ from levelmap.schemas import SHEET_KEYS, SHEET_SCHEMA, SLOTS, Params, sheet_defa
 from levelmap.sources.ticks import session_day
 
 _N = len(SLOTS)
+_SIZES = (0, 250, 500, 750, 1000, 1500, 2000, 2500)
 
 
 def with_defaults(raw: DataFrame, params: Params = Params()) -> DataFrame:
@@ -19,13 +20,23 @@ def with_defaults(raw: DataFrame, params: Params = Params()) -> DataFrame:
     value itself is passed on as entered.
     """
     present = set(raw.columns)
-    filled: list[Column] = []
-    for name, (sql_type, default) in sheet_defaults(params).items():
-        fallback = F.lit(default).cast(sql_type)
-        value = F.coalesce(F.col(name).cast(sql_type), fallback) if name in present else fallback
-        filled.append(value.alias(name))
-    complete = raw.select(*SHEET_KEYS, *filled)
-    return complete.withColumn("max_change_ok", F.col("max_change").isin(*fixed.MAX_CHANGE_OPTIONS))
+
+    def filled(name: str, sql_type: str, default: object) -> str:
+        fallback = f"cast({_literal(default)} as {sql_type})"
+        value = f"coalesce(cast({name} as {sql_type}), {fallback})" if name in present else fallback
+        return f"{value} as {name}"
+
+    options = ", ".join(_literal(o) for o in fixed.MAX_CHANGE_OPTIONS)
+    complete = raw.selectExpr(
+        *SHEET_KEYS, *[filled(name, *field) for name, field in sheet_defaults(params).items()]
+    )
+    return complete.selectExpr("*", f"max_change in ({options}) as max_change_ok")
+
+
+def _literal(value: object) -> str:
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return str(value).lower() if isinstance(value, bool) else repr(value)
 
 
 def read_sheets(spark: SparkSession, path: str, params: Params = Params()) -> DataFrame:
@@ -60,20 +71,18 @@ def sheets_from_ticks(ticks: DataFrame, tz: str = "UTC") -> DataFrame:
     ranks = (
         ranged.select("symbol", "day", "px", first_rank.alias("k0"), last_rank.alias("k1"))
         .filter("k0 <= k1")
-        .select("symbol", "day", "px", F.explode(F.sequence("k0", "k1")).alias("k"))
-        .withColumn("slot", (F.col("k") * 7) % _N)
+        .selectExpr("symbol", "day", "px", "explode(sequence(k0, k1)) as k")
+        .selectExpr("symbol", "day", "px", f"k * 7 % {_N} as slot")
     )
     by_slot = ranks.groupBy("symbol", "day").agg(
-        *[F.max(F.when(F.col("slot") == s.slot, F.col("px"))).alias(s.price_col) for s in SLOTS]
+        *[F.expr(f"max(px) filter (where slot = {s.slot}) as {s.price_col}") for s in SLOTS]
     )
-    sheet_day = F.date_add("day", 1)
-    dom = F.dayofmonth("session_date")
-    dated = by_slot.select("symbol", sheet_day.alias("session_date"), *[s.price_col for s in SLOTS])
-    sizes = [0.0, 250.0, 500.0, 750.0, 1000.0, 1500.0, 2000.0, 2500.0]
-    return dated.select(
+    options = ", ".join(_literal(o) for o in fixed.MAX_CHANGE_OPTIONS)
+    dated = by_slot.selectExpr("*", "date_add(day, 1) as session_date", "dayofmonth(date_add(day, 1)) as dom")
+    return dated.selectExpr(
         *SHEET_KEYS,
-        (dom % 3 != 0).alias("net_gex_pos"),
-        F.get(F.array(*[F.lit(o) for o in fixed.MAX_CHANGE_OPTIONS]), dom % 3).alias("max_change"),
-        *[F.when((dom + s.slot) % 7 != 0, F.col(s.price_col)).alias(s.price_col) for s in SLOTS],
-        *[F.lit(sizes[s.slot]).alias(s.size_col) for s in SLOTS if s.size_col],
+        "dom % 3 != 0 as net_gex_pos",
+        f"get(array({options}), dom % 3) as max_change",
+        *[f"if((dom + {s.slot}) % 7 != 0, {s.price_col}, null) as {s.price_col}" for s in SLOTS],
+        *[f"double({_SIZES[s.slot]}) as {s.size_col}" for s in SLOTS if s.size_col],
     )
