@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from levelmap.functions import zones
 from levelmap.operators.levels import sorted_levels
 from levelmap.schemas import SHEET_KEYS
+from levelmap.sources.ticks import first_ticks_by_price
 
 
 def with_zones(sheets: DataFrame) -> DataFrame:
@@ -114,26 +115,17 @@ def intrabar_entries(ticks: DataFrame, context: DataFrame, interval: str = "1 ho
     Ticks collapse to the first occurrence of each price in each bar before they move, so
     a crowded bar shuffles its distinct prices and not its ticks.
     """
-    profile = (
-        ticks.groupBy("symbol", F.window("ts", interval).alias("span"), "px")
-        .agg(F.min(F.struct("ts", "event_id")).alias("first_tick"))
-        .select("symbol", F.col("span.start").alias("ts"), "px", "first_tick")
-    )
+    seen = first_ticks_by_price(ticks, interval).withColumnRenamed("bar", "ts")
     outside = F.when(F.col("prev_close") < F.col("bot"), "below").when(F.col("prev_close") > F.col("top"), "above")
     bands = (
         each_zone(context, *SHEET_KEYS, "ts", "prev_close")
-        .select("symbol", "ts", "session_date", outside.alias("side"), "bot", "top")
+        .select(*SHEET_KEYS, "ts", outside.alias("side"), "bot", "top")
         .filter("side is not null")
     )
-    hits = bands.join(profile, ["symbol", "ts"]).filter("px between bot and top")
-    return hits.groupBy("symbol", "session_date", "ts", "side").agg(
-        F.min("first_tick").alias("first_tick"), F.min_by("px", "first_tick").alias("px")
-    ).select(
-        "symbol",
-        "session_date",
-        "ts",
-        "side",
-        F.col("first_tick.ts").alias("tick_ts"),
-        F.col("first_tick.event_id").alias("event_id"),
-        "px",
+    hits = bands.join(seen, ["symbol", "ts"]).filter("px between bot and top")
+    first = hits.groupBy(*SHEET_KEYS, "ts", "side").agg(
+        F.min("tick").alias("tick"), F.min_by("px", "tick").alias("px")
+    )
+    return first.select(
+        *SHEET_KEYS, "ts", "side", F.col("tick.ts").alias("tick_ts"), F.col("tick.event_id").alias("event_id"), "px"
     )

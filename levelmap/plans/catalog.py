@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from levelmap.functions import regime
 from levelmap.operators import alerts, joins, levels, nodes, pin, sessions, snapshot, zones
+from levelmap.schemas import BAR_SCHEMA
 from levelmap.sources.sheets import sheets_from_ticks, with_defaults
 from levelmap.sources.ticks import bars, read_ticks
 
@@ -89,7 +90,7 @@ def queries() -> dict[str, Query]:
 
 @_query
 def bars_1h(i: Inputs) -> DataFrame:
-    return i.bars
+    return i.bars.select(*BAR_SCHEMA.names)
 
 
 @_query

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Width of the part of a tick's id that fits beside its offset in a bar of up to one day.
+_ID_BITS = 26
+_ID_MASK = (1 << _ID_BITS) - 1
+_UTC_NAMES = ("UTC", "Etc/UTC", "GMT", "Z", "+00:00")
+
 
 def ticks_from_events(events: DataFrame) -> DataFrame:
     """Reads an event table as price ticks on a quarter-point grid, one symbol per event type."""
-    price = F.lit(19000.0) + F.floor(F.col("value") * 16) / 4
-    return events.select(
-        F.col("event_type").alias("symbol"), F.col("ts"), F.col("event_id"), price.alias("px")
+    return events.selectExpr(
+        "event_type as symbol", "ts", "event_id", "19000D + floor(value * 16) / 4 as px"
     ).filter("symbol is not null and ts is not null and px is not null")
 
 
@@ -25,30 +29,92 @@ def session_day(ts: Column, tz: str = "UTC") -> Column:
     return F.to_date(F.convert_timezone(F.lit("UTC"), F.lit(tz), ts.cast("timestamp_ntz")))
 
 
-def bars(ticks: DataFrame, interval: str = "1 hour", tz: str = "UTC") -> DataFrame:
+def bars(
+    ticks: DataFrame, interval: str = "1 hour", tz: str = "UTC", sequential_ids: bool = True
+) -> DataFrame:
     """Tumbling bars. Open and close are the prices at the smallest and largest (ts, event_id).
 
-    Ticks are reduced inside each scan task before the one shuffle, so what moves is at
-    most one row per task, symbol and interval, and a hot symbol costs no more than others.
+    Ticks are reduced inside each scan task before anything moves, so a hot symbol costs no
+    more than others. ``sequential_ids`` states that ids were handed out roughly in time
+    order, as sequence numbers are. It changes speed only: see ``packed_order``.
+
+    Bars come out spread by (symbol, session_date), the key of every later window, join and
+    session aggregate, which then need no shuffle of their own. Such a group holds at most
+    one day of bars.
+    """
+    session = session_day(F.col("bar"), tz).alias("session_date")
+    if sequential_ids and _in_utc(ticks.sparkSession):
+        rows, keys, order = packed_order(ticks, interval), ["symbol", "bar", "id_block"], F.col("tick_key")
+        first, last = packed_position("first_key"), packed_position("last_key")
+    else:
+        rows = ticks.withColumn("bar", F.window("ts", interval)["start"])
+        keys, order = ["symbol", "bar"], F.struct("ts", "event_id")
+        first, last = F.col("first_key"), F.col("last_key")
+    parts = rows.groupBy(*keys).agg(
+        F.min(order).alias("first_key"),
+        F.max(order).alias("last_key"),
+        F.min_by("px", order).alias("open"),
+        F.max("px").alias("high"),
+        F.min("px").alias("low"),
+        F.max_by("px", order).alias("close"),
+        F.count(F.lit(1)).alias("ticks"),
+    )
+    # No session_date is NULL. Saying so here keeps a join from adding that test to one of two
+    # uses of the bars, which would make their tick scans differ and so be run twice.
+    spread = parts.select("*", session).filter("session_date is not null").repartition("symbol", "session_date")
+    return spread.groupBy("symbol", "session_date", F.col("bar").alias("ts")).agg(
+        F.min_by("open", first).alias("open"),
+        F.max("high").alias("high"),
+        F.min("low").alias("low"),
+        F.max_by("close", last).alias("close"),
+        F.sum("ticks").alias("ticks"),
+    )
+
+
+def packed_order(ticks: DataFrame, interval: str) -> DataFrame:
+    """Ticks with their bar and their place in it as one long per block of ids.
+
+    Spark aggregates by hashing only while its buffers are of fixed width. An extremum over
+    the pair (ts, event_id) is not, and would sort all ticks. Within a block of 2**26 ids
+    the offset into the bar followed by the low id bits sorts exactly like the pair, so
+    blocks are reduced by hashing and the few results per bar are merged by the full pair.
     """
-    order = F.struct("ts", "event_id")
+    spans = ticks.select("symbol", "px", "ts", "event_id", F.window("ts", interval)["start"].alias("bar"))
+    offset = "unix_micros(timestamp(ts)) - unix_micros(timestamp(bar))"
+    return spans.selectExpr(
+        "symbol",
+        "px",
+        "bar",
+        f"shiftright(event_id, {_ID_BITS}) as id_block",
+        f"shiftleft({offset}, {_ID_BITS}) | (event_id & {_ID_MASK}) as tick_key",
+    )
+
+
+def packed_position(key: str) -> Column:
+    """The pair (offset, id) of a packed key in sortable form."""
+    return F.expr(f"struct(shiftright({key}, {_ID_BITS}), id_block, {key})")
+
+
+def unpacked(key: str) -> tuple[Column, Column]:
+    """Tick time and event id of a packed key."""
     return (
-        ticks.groupBy("symbol", F.window("ts", interval).alias("span"))
-        .agg(
-            F.min_by("px", order).alias("open"),
-            F.max("px").alias("high"),
-            F.min("px").alias("low"),
-            F.max_by("px", order).alias("close"),
-            F.count(F.lit(1)).alias("ticks"),
-        )
-        .select(
-            "symbol",
-            F.col("span.start").alias("ts"),
-            session_day(F.col("span.start"), tz).alias("session_date"),
-            "open",
-            "high",
-            "low",
-            "close",
-            "ticks",
-        )
+        F.expr(f"timestampadd(microsecond, shiftright({key}, {_ID_BITS}), bar)"),
+        F.expr(f"shiftleft(id_block, {_ID_BITS}) | ({key} & {_ID_MASK})"),
     )
+
+
+def first_ticks_by_price(ticks: DataFrame, interval: str = "1 hour", sequential_ids: bool = True) -> DataFrame:
+    """First (ts, event_id) of each price in each bar; several rows per price where ids span blocks."""
+    if sequential_ids and _in_utc(ticks.sparkSession):
+        first = packed_order(ticks, interval).groupBy("symbol", "bar", "id_block", "px").agg(
+            F.min("tick_key").alias("first_key")
+        )
+        ts, event_id = unpacked("first_key")
+        return first.select("symbol", "bar", "px", F.struct(ts.alias("ts"), event_id.alias("event_id")).alias("tick"))
+    spans = ticks.withColumn("bar", F.window("ts", interval)["start"])
+    return spans.groupBy("symbol", "bar", "px").agg(F.min(F.struct("ts", "event_id")).alias("tick"))
+
+
+def _in_utc(spark: SparkSession) -> bool:
+    """Offsets are exact only where wall clocks never jump."""
+    return spark.conf.get("spark.sql.session.timeZone") in _UTC_NAMES
