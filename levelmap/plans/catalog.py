@@ -12,12 +12,16 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from levelmap.functions import regime
 from levelmap.operators import alerts, joins, levels, nodes, pin, sessions, snapshot, zones
 from levelmap.schemas import BAR_SCHEMA
 from levelmap.sources.sheets import sheets_from_ticks, with_defaults
 from levelmap.sources.ticks import bars, read_ticks
+from levelmap.streaming import bars as stream
+from levelmap.streaming import sinks
+from levelmap.streaming.context import stream_context
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -74,7 +78,8 @@ _QUERIES: dict[str, Callable[[Inputs], DataFrame]] = {}
 
 
 def _query(fn: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]:
-    _QUERIES[fn.__name__] = fn
+    """Registers a query under its function's name, less a trailing underscore."""
+    _QUERIES[fn.__name__.rstrip("_")] = fn
     return fn
 
 
@@ -313,21 +318,15 @@ def pin_break(i: Inputs) -> DataFrame:
 
 
 @_query
-def alerts_all(i: Inputs) -> DataFrame:
+def alerts_(i: Inputs) -> DataFrame:
     return alerts.alerts(i.zoned_context)
 
 
-_QUERIES["alerts"] = _QUERIES.pop("alerts_all")
-
-
 @_query
-def snapshot_wide(i: Inputs) -> DataFrame:
+def snapshot_(i: Inputs) -> DataFrame:
     return snapshot.snapshot(i.sessions)
 
 
-_QUERIES["snapshot"] = _QUERIES.pop("snapshot_wide")
-
-
 @_query
 def snapshot_rows(i: Inputs) -> DataFrame:
     return snapshot.summary_rows(i.sessions)
@@ -336,3 +335,42 @@ def snapshot_rows(i: Inputs) -> DataFrame:
 @_query
 def annotations(i: Inputs) -> DataFrame:
     return snapshot.annotations(i.sessions)
+
+
+# --- streams, run to the end of the data on disk ------------------------------
+
+
+def _run_out(start: Callable[[str, str], StreamingQuery], spark: SparkSession) -> DataFrame:
+    folder = sinks.shared_folder(spark)
+    start(f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+@_query
+def stream_bars(i: Inputs) -> DataFrame:
+    confirmed = stream.stream_bars(stream.read_tick_stream(i.spark, i.sf_dir))
+    done = _run_out(lambda out, cp: sinks.start_table(confirmed, out, cp, availableNow=True), i.spark)
+    return _wall_clock(done).select(*BAR_SCHEMA.names)
+
+
+@_query
+def stream_alerts(i: Inputs) -> DataFrame:
+    confirmed = stream.stream_bars(stream.read_tick_stream(i.spark, i.sf_dir))
+    context = stream_context(confirmed)
+    done = _run_out(
+        lambda out, cp: sinks.start_alerts(context, lambda: i.sheets, out, cp, availableNow=True), i.spark
+    )
+    return _wall_clock(done).drop("batch_id")
+
+
+@_query
+def stream_forming(i: Inputs) -> DataFrame:
+    forming = stream.stream_bars(stream.read_tick_stream(i.spark, i.sf_dir))
+    view = stream.forming_view(forming, i.sheets)
+    done = _run_out(lambda out, cp: sinks.start_table(view, out, cp, "update", availableNow=True), i.spark)
+    return sinks.latest_versions(_wall_clock(done), "symbol", "ts")
+
+
+def _wall_clock(df: DataFrame) -> DataFrame:
+    """Streams carry zoned timestamps; batch queries and tables carry wall-clock ones."""
+    return df.withColumn("ts", F.col("ts").cast("timestamp_ntz"))

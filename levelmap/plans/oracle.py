@@ -492,6 +492,21 @@ group by z.symbol, z.session_date, z.zone_seq""",
     "annotations": (("node_state", "active", "last_bars", "pins", "zone_at_last", "zone_texts"), _ANNOTATIONS),
 }
 
+# Bars that a watermark without delay has closed at the end of the data.
+_CLOSED = "ts + interval 1 hour <= (select max(ts) from ticks)"
+_QUERIES |= {
+    "stream_bars": (("ticks", "bars"), f"select * from bars where {_CLOSED}"),
+    "stream_alerts": (
+        ("ticks", "bar_entry", "bar_flip", "pin_breaks"),
+        f"select * from ({_ALERTS}) where {_CLOSED}",
+    ),
+    "stream_forming": (
+        ("regime", "bars"),
+        "select symbol, ts, session_date, r.close, ticks, mode, zg_distance, mirror_target "
+        "from regime r join bars using (symbol, session_date, ts)",
+    ),
+}
+
 
 def _needed(names: tuple[str, ...]) -> set[str]:
     found: set[str] = set()
