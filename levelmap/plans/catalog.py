@@ -8,7 +8,7 @@ the tables; the operators are the same.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property
+from functools import cached_property, partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -340,37 +340,30 @@ def annotations(i: Inputs) -> DataFrame:
 # --- streams, run to the end of the data on disk ------------------------------
 
 
-def _run_out(start: Callable[[str, str], StreamingQuery], spark: SparkSession) -> DataFrame:
+def _run_out(spark: SparkSession, start: Callable[..., StreamingQuery]) -> DataFrame:
     folder = sinks.shared_folder(spark)
-    start(f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+    cores = spark.sparkContext.defaultParallelism
+    start(out=f"{folder}/out", checkpoint=f"{folder}/cp", partitions=cores, availableNow=True).awaitTermination()
+    done = spark.read.parquet(f"{folder}/out")
+    # Streams carry zoned timestamps, batch queries and tables wall-clock ones.
+    return done.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 @_query
 def stream_bars(i: Inputs) -> DataFrame:
     confirmed = stream.stream_bars(stream.read_tick_stream(i.spark, i.sf_dir))
-    done = _run_out(lambda out, cp: sinks.start_table(confirmed, out, cp, availableNow=True), i.spark)
-    return _wall_clock(done).select(*BAR_SCHEMA.names)
+    return _run_out(i.spark, partial(sinks.start_table, confirmed)).select(*BAR_SCHEMA.names)
 
 
 @_query
 def stream_alerts(i: Inputs) -> DataFrame:
-    confirmed = stream.stream_bars(stream.read_tick_stream(i.spark, i.sf_dir))
-    context = stream_context(confirmed)
-    done = _run_out(
-        lambda out, cp: sinks.start_alerts(context, lambda: i.sheets, out, cp, availableNow=True), i.spark
-    )
-    return _wall_clock(done).drop("batch_id")
+    context = stream_context(stream.stream_bars(stream.read_tick_stream(i.spark, i.sf_dir)))
+    return _run_out(i.spark, partial(sinks.start_alerts, context, lambda: i.sheets)).drop("batch_id")
 
 
 @_query
 def stream_forming(i: Inputs) -> DataFrame:
     forming = stream.stream_bars(stream.read_tick_stream(i.spark, i.sf_dir))
     view = stream.forming_view(forming, i.sheets)
-    done = _run_out(lambda out, cp: sinks.start_table(view, out, cp, "update", availableNow=True), i.spark)
-    return sinks.latest_versions(_wall_clock(done), "symbol", "ts")
-
-
-def _wall_clock(df: DataFrame) -> DataFrame:
-    """Streams carry zoned timestamps; batch queries and tables carry wall-clock ones."""
-    return df.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    updates = _run_out(i.spark, partial(sinks.start_table, view, mode="update"))
+    return sinks.latest_versions(updates, "symbol", "ts")

@@ -96,11 +96,20 @@ def stream_context(confirmed: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def keyed_state_store(spark: SparkSession):
-    """Keyed state needs the RocksDB provider; the session's own setting returns afterwards."""
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+def stream_settings(spark: SparkSession, partitions: int | None = None):
+    """Session settings under which a stream with keyed state starts; restored afterwards.
+
+    Keyed state needs the RocksDB provider. ``partitions`` is the number of state partitions,
+    which stays with the checkpoint for good; without it the session's shuffle setting counts.
+    """
+    wanted = {_PROVIDER: _ROCKSDB}
+    if partitions:
+        wanted["spark.sql.shuffle.partitions"] = str(partitions)
+    before = {name: spark.conf.get(name, None) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(_PROVIDER, before) if before else spark.conf.unset(_PROVIDER)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)

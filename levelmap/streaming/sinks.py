@@ -12,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from levelmap import fixed
 from levelmap.operators import alerts, joins, zones
-from levelmap.streaming.context import keyed_state_store
+from levelmap.streaming.context import stream_settings
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,6 +35,7 @@ def start_alerts(
     out: str,
     checkpoint: str,
     brand: str = fixed.DEFAULT_BRAND,
+    partitions: int | None = None,
     **trigger,
 ) -> StreamingQuery:
     """Writes the alerts of a context stream, one folder per micro-batch.
@@ -49,18 +50,20 @@ def start_alerts(
         raised = alerts.alerts(joins.by_session(batch, sheets), brand)
         raised.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    with keyed_state_store(context.sparkSession):
+    with stream_settings(context.sparkSession, partitions):
         writer = context.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
         return writer.foreachBatch(write).trigger(**trigger).start()
 
 
-def start_table(df: DataFrame, out: str, checkpoint: str, mode: str = "append", **trigger) -> StreamingQuery:
+def start_table(
+    df: DataFrame, out: str, checkpoint: str, mode: str = "append", partitions: int | None = None, **trigger
+) -> StreamingQuery:
     """Writes a stream as it is, one folder per micro-batch."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    with keyed_state_store(df.sparkSession):
+    with stream_settings(df.sparkSession, partitions):
         writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
         return writer.foreachBatch(write).trigger(**trigger).start()
 
