@@ -13,50 +13,36 @@ from levelmap import fixed
 from levelmap.functions.predicates import holds, number_text
 
 
-def zone_anchors(ordered: Column, tol: Column) -> Column:
+def zone_anchors(levels: str, tol: str = "tol") -> Column:
     """Start prices of the clusters: a level more than tol above the last anchor starts anew.
 
-    ``ordered`` is an array of structs with price and source, sorted by price.
+    ``levels`` names an array of structs with price and source, sorted by price.
     """
-    return F.aggregate(
-        ordered,
-        F.array().cast("array<double>"),
-        lambda anchors, v: F.when(
-            (F.size(anchors) == 0) | (v["price"] - F.try_element_at(anchors, F.lit(-1)) > tol),
-            F.array_append(anchors, v["price"]),
-        ).otherwise(anchors),
+    return F.expr(
+        f"""aggregate({levels}, cast(array() as array<double>), (found, v) ->
+              if(size(found) = 0 or v.price - try_element_at(found, -1) > {tol},
+                 array_append(found, v.price), found))"""
     )
 
 
-def zone_array(ordered: Column, anchors: Column, tol: Column) -> Column:
+def zone_array(levels: str, anchors: str, tol: str = "tol") -> Column:
     """Clusters of two or more levels as structs in price order.
 
     The members of a cluster are the levels from its anchor up to tol above it, both
     inclusive. The center is the mean of the members.
     """
-
-    def build(anchor: Column) -> Column:
-        members = F.filter(ordered, lambda v: (v["price"] >= anchor) & (v["price"] - anchor <= tol))
-        total = F.aggregate(members, F.lit(0.0), lambda acc, v: acc + v["price"])
-        return F.struct(
-            anchor.alias("start"),
-            (total / F.size(members)).alias("center"),
-            F.size(members).alias("n"),
-            F.array_join(F.transform(members, lambda v: v["source"]), fixed.SOURCE_SEPARATOR).alias("sources"),
-        )
-
-    kept = F.filter(F.transform(anchors, build), lambda z: z["n"] >= fixed.MIN_CONFLUENCE)
-    return F.transform(
-        kept,
-        lambda z, i: F.struct(
-            (i + 1).alias("zone_seq"),
-            z["start"].alias("start"),
-            z["center"].alias("center"),
-            z["n"].alias("n"),
-            z["sources"].alias("sources"),
-            (z["center"] - tol / 2).alias("bot"),
-            (z["center"] + tol / 2).alias("top"),
-        ),
+    members = f"transform({anchors}, a -> filter({levels}, v -> v.price >= a and v.price - a <= {tol}))"
+    kept = f"filter({members}, m -> size(m) >= {fixed.MIN_CONFLUENCE})"
+    measured = f"""transform({kept}, (m, i) -> struct(
+        i + 1 as zone_seq,
+        get(m, 0).price as start,
+        aggregate(m, 0D, (total, v) -> total + v.price) / size(m) as center,
+        size(m) as n,
+        array_join(transform(m, v -> v.source), '{fixed.SOURCE_SEPARATOR}') as sources))"""
+    return F.expr(
+        f"""transform({measured}, z -> struct(
+              z.zone_seq as zone_seq, z.start as start, z.center as center, z.n as n, z.sources as sources,
+              z.center - {tol} / 2 as bot, z.center + {tol} / 2 as top))"""
     )
 
 

@@ -14,10 +14,10 @@ from levelmap.sources.ticks import first_ticks_by_price
 def with_zones(sheets: DataFrame) -> DataFrame:
     """Adds the sheet's zones as an array of structs (at most 12, as 25 levels pair up)."""
     return (
-        sheets.withColumn("_ordered", sorted_levels())
-        .withColumn("_anchors", zones.zone_anchors(F.col("_ordered"), F.col("tol")))
-        .withColumn("zones", zones.zone_array(F.col("_ordered"), F.col("_anchors"), F.col("tol")))
-        .drop("_ordered", "_anchors")
+        sheets.withColumn("_levels", sorted_levels())
+        .withColumn("_anchors", zones.zone_anchors("_levels"))
+        .withColumn("zones", zones.zone_array("_levels", "_anchors"))
+        .drop("_levels", "_anchors")
     )
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from levelmap.schemas import EVENT_SCHEMA
+
 # Width of the part of a tick's id that fits beside its offset in a bar of up to one day.
 _ID_BITS = 26
 _ID_MASK = (1 << _ID_BITS) - 1
@@ -19,7 +21,8 @@ def ticks_from_events(events: DataFrame) -> DataFrame:
 
 
 def read_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ticks_from_events(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    """Ticks of a folder's event table. The schema is given, so no file is opened to plan the read."""
+    return ticks_from_events(spark.read.schema(EVENT_SCHEMA).parquet(f"{sf_dir}/events.parquet"))
 
 
 def session_day(ts: Column, tz: str = "UTC") -> Column:

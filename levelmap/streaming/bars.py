@@ -4,21 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from levelmap.functions import regime
+from levelmap.schemas import EVENT_SCHEMA
 from levelmap.sources.ticks import session_day, ticks_from_events
 
-EVENT_SCHEMA = T.StructType(
-    [
-        T.StructField("event_id", T.LongType()),
-        T.StructField("ts", T.TimestampNTZType()),
-        T.StructField("event_type", T.StringType()),
-        T.StructField("value", T.DoubleType()),
-    ]
-)
-
-
 def read_tick_stream(
     spark: SparkSession, folder: str, pattern: str = "events*.parquet", max_files: int | None = None
 ) -> DataFrame:
