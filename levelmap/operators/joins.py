@@ -1,7 +1,11 @@
 """Bars with the sheet that applies to them.
 
-All three are equi-joins without hints: Spark broadcasts the sheets while they are below
-the session's broadcast threshold and shuffles on the keys beyond it.
+Whatever the rule, it is settled on frames of one row per symbol and day. Bars then meet
+their sheet in an equi-join on (symbol, session_date), by which they are spread already and
+of which no group exceeds a day of bars. The joins carry no hints: Spark broadcasts the
+sheets while they are below the session's threshold and joins by key beyond it.
+
+``bars`` may be any frame with the columns symbol and session_date.
 """
 
 from __future__ import annotations
@@ -22,20 +26,19 @@ def static(bars: DataFrame, sheets: DataFrame) -> DataFrame:
         F.max("session_date").alias("sheet_date"),
         *[F.max_by(c, "session_date").alias(c) for c in fields],
     )
-    return bars.join(latest, "symbol")
+    in_force = _days(bars).join(latest, "symbol")
+    return bars.join(in_force, ["symbol", "session_date"])
 
 
 def as_of(bars: DataFrame, sheets: DataFrame) -> DataFrame:
     """The latest sheet on or before the bar's session: a sheet stays in force until edited.
 
-    The carry-forward runs on one row per symbol and day; bars then meet their sheet in an
-    equi-join instead of a range join.
+    The carry-forward runs over days and sheets, so bars need no range join.
     """
     fields = [c for c in sheets.columns if c not in ("symbol", "session_date")]
     sheet = F.struct(F.col("session_date").alias("sheet_date"), *fields)
     entered = sheets.select("symbol", "session_date", sheet.alias("sheet"), F.lit(False).alias("traded"))
-    days = bars.select("symbol", "session_date").distinct()
-    traded = days.select(
+    traded = _days(bars).select(
         "symbol",
         "session_date",
         F.lit(None).cast(entered.schema["sheet"].dataType).alias("sheet"),
@@ -50,3 +53,7 @@ def as_of(bars: DataFrame, sheets: DataFrame) -> DataFrame:
         .select("symbol", "session_date", "sheet.*")
     )
     return bars.join(in_force, ["symbol", "session_date"])
+
+
+def _days(bars: DataFrame) -> DataFrame:
+    return bars.select("symbol", "session_date").distinct()

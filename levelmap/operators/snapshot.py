@@ -18,7 +18,10 @@ from levelmap.schemas import SHEET_KEYS
 
 
 def snapshot(sessions: DataFrame) -> DataFrame:
-    """The summary as one wide row per session, numbers and display texts side by side."""
+    """The summary as one wide row per session, numbers and display texts side by side.
+
+    Needs last_ts and last_close next to the zoned sheet.
+    """
     close, pivot, positive = F.col("last_close"), F.col("zero_gamma"), F.col("net_gex_pos")
     measured = sessions.select(
         *SHEET_KEYS,

@@ -364,6 +364,6 @@ def stream_alerts(i: Inputs) -> DataFrame:
 @_query
 def stream_forming(i: Inputs) -> DataFrame:
     forming = stream.stream_bars(stream.read_tick_stream(i.spark, i.sf_dir))
-    view = stream.forming_view(forming, i.sheets)
+    view = stream.forming_view(forming, i.zoned)
     updates = _run_out(i.spark, partial(sinks.start_table, view, mode="update"))
     return sinks.latest_versions(updates, "symbol", "ts")

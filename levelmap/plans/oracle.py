@@ -255,16 +255,22 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
         """
   select z.*, b.close as last_close, case when z.center > b.close then 'above' else 'below' end as side
   from zones z join last_bars b using (symbol, session_date)""",
+    ),
+    "bar_sides": (
+        ("bars", "sheet", "zones"),
+        """
+  select b.symbol, b.session_date, b.ts, b.close,
+    count(*) filter (z.center > b.close)::integer as zones_above,
+    count(*) filter (z.center <= b.close)::integer as zones_below
+  from bars b semi join sheet using (symbol, session_date)
+  left join zones z using (symbol, session_date)
+  group by b.symbol, b.session_date, b.ts, b.close""",
     ),
     "side_counts": (
-        ("last_bars", "sheet", "zone_at_last"),
+        ("bar_sides", "last_bars"),
         """
-  select b.symbol, b.session_date, b.close as last_close,
-    count(*) filter (z.side = 'above')::integer as zones_above,
-    count(*) filter (z.side = 'below')::integer as zones_below
-  from last_bars b semi join sheet using (symbol, session_date)
-  left join zone_at_last z using (symbol, session_date)
-  group by b.symbol, b.session_date, b.close""",
+  select symbol, session_date, s.close as last_close, zones_above, zones_below
+  from bar_sides s semi join last_bars using (symbol, session_date, ts)""",
     ),
     "zone_texts": (
         ("zones",),
@@ -300,8 +306,8 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
     case when zero_gamma <> 0 then zero_gamma + (zero_gamma - close) end as mirror_target
   from bars join sheet using (symbol, session_date)""",
     ),
-    "snap": (
-        ("regime", "last_bars", "sheet", "pins", "side_counts"),
+    "bar_snap": (
+        ("regime", "sheet", "pins", "bar_sides"),
         f"""
   select r.symbol, r.session_date, r.ts, r.close as spot, r.mode,
     case when r.net_gex_pos then {_text(fixed.NET_GEX_POSITIVE)} else {_text(fixed.NET_GEX_NEGATIVE)} end
@@ -317,10 +323,14 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
     '▲ ' || c.zones_above::varchar || '  ▼ ' || c.zones_below::varchar as zones_text,
     r.mirror_target, coalesce({_two_decimals("r.mirror_target")}, 'n/a') as mirror_text,
     {_two_decimals("r.close")} as spot_text
-  from regime r join last_bars using (symbol, session_date, ts)
+  from regime r
   join sheet s using (symbol, session_date)
   join pins p using (symbol, session_date)
-  join side_counts c using (symbol, session_date)""",
+  join bar_sides c using (symbol, session_date, ts)""",
+    ),
+    "snap": (
+        ("bar_snap", "last_bars"),
+        "\n  select * from bar_snap semi join last_bars using (symbol, session_date, ts)",
     ),
 }
 
@@ -500,11 +510,7 @@ _QUERIES |= {
         ("ticks", "bar_entry", "bar_flip", "pin_breaks"),
         f"select * from ({_ALERTS}) where {_CLOSED}",
     ),
-    "stream_forming": (
-        ("regime", "bars"),
-        "select symbol, ts, session_date, r.close, ticks, mode, zg_distance, mirror_target "
-        "from regime r join bars using (symbol, session_date, ts)",
-    ),
+    "stream_forming": (("bar_snap",), "select * from bar_snap"),
 }
 
 

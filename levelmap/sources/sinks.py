@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 def write_by_session(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One folder per session date, so later reads prune to the days they need.
 
-    Rows are spread by session and symbol first: a task then holds few days and does not
-    open a file in every folder.
+    Rebalancing gathers a day's rows so that few files arise, and splits a day that is too
+    large for one task. Days not in ``df`` are left as they are.
     """
     (
-        df.repartition("session_date", "symbol")
+        df.hint("rebalance", "session_date")
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("session_date")

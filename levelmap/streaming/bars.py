@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from levelmap.functions import regime
+from levelmap.operators.snapshot import snapshot
 from levelmap.schemas import EVENT_SCHEMA
 from levelmap.sources.ticks import session_day, ticks_from_events
 
@@ -50,16 +50,7 @@ def stream_bars(ticks: DataFrame, interval: str = "1 hour", delay: str = "0 seco
     )
 
 
-def forming_view(bars: DataFrame, sheets: DataFrame) -> DataFrame:
-    """Mode, distance and mirror target of unconfirmed bars. Stateless, for update mode."""
-    close, pivot = F.col("close"), F.col("zero_gamma")
-    return bars.join(sheets, ["symbol", "session_date"]).select(
-        "symbol",
-        "ts",
-        "session_date",
-        "close",
-        "ticks",
-        regime.regime_mode(F.col("net_gex_pos"), close, pivot).alias("mode"),
-        regime.zg_distance(close, pivot).alias("zg_distance"),
-        regime.mirror_target(close, pivot).alias("mirror_target"),
-    )
+def forming_view(bars: DataFrame, zoned_sheets: DataFrame) -> DataFrame:
+    """The summary of each bar as it stands, confirmed or not. Stateless, for update mode."""
+    joined = bars.join(zoned_sheets, ["symbol", "session_date"])
+    return snapshot(joined.withColumnsRenamed({"ts": "last_ts", "close": "last_close"}))

@@ -130,7 +130,7 @@ def test_a_sheet_entered_while_running_applies_to_later_batches(spark, tmp_path)
 
 def test_forming_bar_changes_until_its_last_version(spark, tmp_path):
     folder = str(tmp_path / "feed")
-    sheets = make_sheets(spark, {"zero_gamma": 19005.0})
+    sheets = zones.with_zones(make_sheets(spark, {"zero_gamma": 19005.0, "g1p": 19004.0}))
 
     def run():
         forming = stream.stream_bars(stream.read_tick_stream(spark, folder, "*.parquet"))
@@ -140,13 +140,13 @@ def test_forming_bar_changes_until_its_last_version(spark, tmp_path):
         ).awaitTermination()
         updates = wall_clock(spark.read.parquet(str(tmp_path / "out")))
         rows = sinks.latest_versions(updates, "symbol", "ts").collect()
-        return sorted((r.ts, r.close, r.mode, r.zg_distance, r.mirror_target) for r in rows)
+        return sorted((r.ts, r.spot, r.mode, r.zg_distance, r.mirror_target, r.zones_text) for r in rows)
 
     start = at(DAY, 9)
     write_events(spark, [(start, 1, 19010)], folder)
-    assert run() == [(start, 19010.0, "FADE EDGES", 5.0, 19000.0)]
+    assert run() == [(start, 19010.0, "FADE EDGES", 5.0, 19000.0, "▲ 0  ▼ 1")]
     write_events(spark, [(start + dt.timedelta(minutes=1), 2, 19001)], folder)
-    assert run() == [(start, 19001.0, "TRANSIZIONE", -4.0, 19009.0)]
+    assert run() == [(start, 19001.0, "TRANSIZIONE", -4.0, 19009.0, "▲ 1  ▼ 0")]
 
 
 def test_contexts_agree_column_by_column(spark, inputs, split_events, tmp_path):
