@@ -8,10 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from operator import itemgetter
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -42,40 +41,34 @@ class BarHistory(StatefulProcessor):
     """Per symbol: previous close across sessions, close extremes within the session.
 
     A call gets the symbol's newly confirmed bars of one micro-batch, in any order. Append
-    mode hands out later bars in later batches, so sorting within the call is enough.
+    mode hands out later bars in later batches, so sorting within the call is enough. In
+    live running a call sees one bar or a few. A long backlog is better worked off by the
+    batch operators, or with ``max_files`` on the source, which bounds what a call holds.
     """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("history", _STATE_SCHEMA)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        bars = pd.concat(list(rows)).sort_values("ts", ignore_index=True)
-        session, close = bars["session_date"], bars["close"]
-        seen_close = seen_low = seen_high = np.nan
-        carries_on = np.zeros(len(bars), dtype=bool)
-        if self._state.exists():
-            seen_session, seen_close, seen_low, seen_high = self._state.get()
-            carries_on = (session == seen_session).to_numpy()
-        by_session = close.groupby(session)
-        low, high = by_session.cummin(), by_session.cummax()
-        low = low.where(~carries_on, np.fmin(low, seen_low))
-        high = high.where(~carries_on, np.fmax(high, seen_high))
-        first = ~session.duplicated().to_numpy()
-        start_low = np.where(carries_on, seen_low, np.nan)
-        start_high = np.where(carries_on, seen_high, np.nan)
-        last = len(bars) - 1
-        self._state.update((session[last], float(close[last]), float(low[last]), float(high[last])))
-        yield pd.DataFrame(
-            {
-                "symbol": key[0],
-                "session_date": session,
-                "ts": bars["ts"],
-                "close": close,
-                "prev_close": close.shift(fill_value=seen_close),
-                "low_before": np.where(first, start_low, low.shift()),
-                "high_before": np.where(first, start_high, high.shift()),
-            }
-        )
+        self._history = handle.getValueState("history", _STATE_SCHEMA)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        day = previous = low = high = None
+        if self._history.exists():
+            day, previous, low, high = self._history.get()
+        for bar in sorted(rows, key=itemgetter("ts")):
+            if bar["session_date"] != day:
+                day, low, high = bar["session_date"], None, None
+            close = bar["close"]
+            yield Row(
+                symbol=key[0],
+                session_date=day,
+                ts=bar["ts"],
+                close=close,
+                prev_close=previous,
+                low_before=low,
+                high_before=high,
+            )
+            previous = close
+            low, high = (close, close) if low is None else (min(low, close), max(high, close))
+        self._history.update((day, previous, low, high))
 
     def close(self) -> None:
         pass
@@ -86,7 +79,7 @@ def stream_context(confirmed: DataFrame) -> DataFrame:
     return (
         confirmed.select("symbol", "session_date", "ts", "close")
         .groupBy("symbol")
-        .transformWithStateInPandas(
+        .transformWithState(
             statefulProcessor=BarHistory(),
             outputStructType=CONTEXT_SCHEMA,
             outputMode="Append",
