@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
+from helpers import make_sheets
 from pyspark.sql import functions as F
 
 from levelmap import fixed
 from levelmap.operators import alerts, joins, levels, nodes, sessions, zones
 from levelmap.plans import catalog, publish
 from levelmap.plans.catalog import Inputs
+from levelmap.schemas import SLOTS
 from levelmap.sources.sheets import sheets_from_ticks, with_defaults
 from levelmap.sources.sinks import write_by_session
 from levelmap.sources.ticks import bars
+from test_twin import group_levels
 
 FOLDER = "/root/testdata/sf0.01"
 
@@ -56,6 +61,22 @@ def test_zones_fit_the_sheet(inputs):
     assert members.count() == found.agg(F.sum("n")).first()[0]
 
 
+def test_clusters_of_random_sheets_equal_a_plain_grouping(spark):
+    rng = random.Random(7)
+    sheets = []
+    for n in range(400):
+        chosen = rng.sample([s.price_col for s in SLOTS], rng.randint(0, 25))
+        spread = rng.choice([4, 40, 400, 4000])
+        prices = {c: rng.randint(-spread, spread) / 4 for c in chosen}
+        sheets.append({"symbol": str(n), "tol": rng.choice([0.25, 2.0, 15.0]), **prices})
+    made = make_sheets(spark, *sheets)
+    expected = {
+        (row.symbol, *box) for row in made.collect() for box in group_levels(row.asDict())
+    }
+    got = zones.zone_rows(made).select("symbol", "zone_seq", "bot", "top").collect()
+    assert {tuple(r) for r in got} == expected and len(got) == len(expected) > 400
+
+
 def test_order_and_spread_of_ticks_do_not_matter(spark, inputs):
     shuffled = inputs.ticks.repartition(7, F.rand(3)).sortWithinPartitions(F.rand(5))
 
