@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import zlib
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -83,21 +85,26 @@ def slices(lengths: np.ndarray, most: int):
         yield first, len(lengths)
 
 
-def packed(index: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted uint64 keys with their counts, as bytes (counts over 2^32 do not occur in a task)."""
-    return index.astype("<u8").tobytes() + counts.astype("<u4").tobytes()
+def squeezed(array: np.ndarray) -> bytes:
+    return zlib.compress(np.ascontiguousarray(array).tobytes(), 1)
 
 
-def unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(data) // 12
-    return np.frombuffer(data, "<u8", n), np.frombuffer(data, "<u4", n, 8 * n)
+def expanded(data: bytes, kind) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), kind)
 
 
-def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """One entry for each distinct key, in order, with its total."""
-    if not len(keys):
-        return keys, counts.astype(np.int64)
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-    return keys[first], np.add.reduceat(counts[order].astype(np.int64), first)
+def added_blocks(parts: DataFrame) -> DataFrame:
+    """Sums arrays of int64 by block: rows (block int, sub int, data binary) to one row per block.
+
+    Every partial array is as long as its block at most, whatever the input; subs are summed first, so that
+    no group receives an array from every task.
+    """
+
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        total = expanded(frame.data[0], np.int64).copy()
+        for data in frame.data[1:]:
+            total += expanded(data, np.int64)
+        return pd.DataFrame({"block": frame.block[:1], "sub": 0, "data": [squeezed(total)]})
+
+    schema = "block int, sub int, data binary"
+    return parts.groupBy("block", "sub").applyInPandas(add, schema).groupBy("block").applyInPandas(add, schema)
