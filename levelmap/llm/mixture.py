@@ -110,7 +110,7 @@ def schedule(sources: DataFrame, total: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, slots: int = SLOTS) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken) for every row of `docs` (doc_id, text, source).
+    """(doc_id, size, source_size, target, taken, source) for every row of `docs` (doc_id, text, source).
 
     Size counts the words of the text; a null or blank text has none and is never taken. The
     order within a source comes from a digest of doc_id, so reruns agree; repeated rows count
@@ -144,10 +144,20 @@ def mix(docs: DataFrame, *, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
         .withColumn("words", F.when(F.col("limit").isNotNull(), F.greatest(F.lit(0), part)).otherwise(F.lit(0)))
         .groupBy("source_no", "bucket", "row_no", "doc_id", "source", "size", "source_size", "target")
         .agg(F.sum("words").cast("long").alias("taken"))
-        .select("doc_id", "source", "size", "source_size", "target", "taken")
+        .select("doc_id", "size", "source_size", "target", "taken", "source")
     )
 
 
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """`docs` as the mix takes them, with the same columns: a document appears once for each time that its
+    words are taken, to the nearest whole, and not at all if fewer than half of them are. Rows that repeat a
+    doc_id are one document and appear alike."""
+    taken = mix(docs, **options).groupBy(F.col("doc_id").alias("_doc")).agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
+    times = taken.filter("2 * _taken >= _size and _taken > 0").select("_doc", F.expr("cast(floor(_taken / _size + 0.5) as int)").alias("_times"))
+    joined = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_doc")))
+    return joined.withColumn("_time", F.explode(F.expr("sequence(1, _times)"))).select(*docs.columns)
+
+
 #: The same rule over plain windows, for DuckDB. `{documents}` names the table.
 MIX_SQL = rf"""
 with sized as (
@@ -179,6 +189,6 @@ laid as (
       rows between unbounded preceding and current row) - size)::bigint as start
   from sized s join counted c on s.source is not distinct from c.source)
 select doc_id, size, source_size, target,
-  (rounds * size + greatest(0, least(start + size, over) - start))::bigint as taken
+  (rounds * size + greatest(0, least(start + size, over) - start))::bigint as taken, source
 from laid
 """

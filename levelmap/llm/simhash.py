@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from levelmap.llm.common import keep, text_bytes
+from levelmap.llm.common import keep, text_bytes, text_of
 from levelmap.llm.groups import components, near_in_groups
 
 SHINGLE = 3
@@ -106,3 +106,17 @@ def near_duplicates(docs: DataFrame, *, words_in_shingle: int = SHINGLE, distanc
     return rows.join(named, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+def representatives(docs: DataFrame, **options) -> DataFrame:
+    """`docs` with one document of each component: that of the smallest doc_id, with the same columns.
+
+    Rows that repeat a doc_id are one document, of which the smallest text stays. Rows without a
+    doc_id are told apart by their texts and stay only where their component has no id.
+    """
+    unnamed = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
+    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), unnamed))
+    found = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), **options)
+    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
+    rows = keyed.join(kept, "_key", "left_semi").groupBy("_key")
+    return rows.agg(F.min_by(F.struct(*docs.columns), text_of()).alias("_row")).select("_row.*")
