@@ -60,7 +60,7 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
 class WordHashes(dict):
     """Hashes of words; the memo is emptied when it holds `most` words, which only costs time."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 200_000):
         self.most = most
 
     def __missing__(self, word: str) -> int:

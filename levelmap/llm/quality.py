@@ -26,7 +26,7 @@ BUCKETS, BLOCK = 1 << BITS, 1 << 10
 REACH = 2
 SAMPLE_ROWS = 20_000
 HIDDEN = 32
-CHARS = 1 << 21
+CHARS = 1 << 20
 THRESHOLD = 0.5
 FEATURES = 2 * DIMS + 1
 
