@@ -62,9 +62,9 @@ QUERIES: dict[str, Query] = {
 
 TOPK_SQL = f"""
 with whole as (
-  select vec_id, list_transform(embedding, x -> floor({topk.SCALE} * x::double)) as v
+  select vec_id, list_transform(embedding, lambda x: floor({topk.SCALE} * x::double)) as v
   from embeddings where vec_id is not null and embedding is not null
-    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0),
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 scored as (
   select q.vec_id as query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint as score
   from whole q join whole c on q.vec_id % {topk.EVERY} = 0 and q.vec_id <> c.vec_id)

@@ -202,8 +202,9 @@ def cuts(samples: np.ndarray, of: np.ndarray) -> np.ndarray:
     """True for frames that begin a shot; `of` numbers the video of each frame, in order.
 
     The first frame begins one, and so does a frame whose histogram differs from the previous one's by
-    more than the mean and three deviations of the up to eight differences before it, and by a tenth
-    of the samples at least. Sums are of whole numbers, so equal videos give equal cuts anywhere.
+    more than the mean and three deviations of the up to eight differences before it, the largest left
+    out (a cut itself, maybe), and by a tenth of the samples at least. Sums are of whole numbers, so
+    equal videos give equal cuts anywhere.
     """
     n = len(samples)
     flat = samples.reshape(n, -1)
@@ -217,7 +218,11 @@ def cuts(samples: np.ndarray, of: np.ndarray) -> np.ndarray:
     run, squares = np.r_[0, np.cumsum(change)], np.r_[0, np.cumsum(change * change)]
     before = np.where(count > 0, lo, np.arange(n))
     total, square = run[np.arange(n)] - run[before], squares[np.arange(n)] - squares[before]
-    size = np.maximum(count, 1)
+    most = np.zeros(n, np.int64)
+    for back in range(1, PRECEDING + 1):
+        earlier = np.arange(n) - back
+        most = np.maximum(most, np.where(earlier >= lo, change[np.maximum(earlier, 0)], 0))
+    total, square, size = total - most, square - most * most, np.maximum(count - 1, 1)
     deviation = np.sqrt(np.maximum(square * size - total * total, 0)) / size
     return first | ((change > total / size + 3 * deviation) & (change >= flat.shape[1] // 5))
 
