@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def is_active(price: Column) -> Column:
-    """A price that was entered; 0 and NULL both mean "not set"."""
-    return F.coalesce(price, F.lit(0.0)) != 0.0
+    """A price that was entered; 0, NULL and NaN all mean "not set"."""
+    return F.coalesce(F.nanvl(price, F.lit(0.0)), F.lit(0.0)) != 0.0
 
 
 def holds(condition: Column) -> Column:

@@ -24,10 +24,8 @@ def static(bars: DataFrame, sheets: DataFrame) -> DataFrame:
     execution splits the bars of a hot symbol and repeats its one sheet for each part.
     """
     fields = [c for c in sheets.columns if c not in ("symbol", "session_date")]
-    latest = sheets.groupBy("symbol").agg(
-        F.max("session_date").alias("sheet_date"),
-        *[F.max_by(c, "session_date").alias(c) for c in fields],
-    )
+    sheet = F.struct(F.col("session_date").alias("sheet_date"), *fields)
+    latest = sheets.groupBy("symbol").agg(F.max_by(sheet, "session_date").alias("sheet")).select("symbol", "sheet.*")
     return bars.join(latest, "symbol")
 
 

@@ -109,13 +109,16 @@ def touch_counts(sheets_with_zones: DataFrame, context: DataFrame) -> DataFrame:
     return rows.groupBy(*SHEET_KEYS, "zone_seq").agg(F.count_if(entered).alias("touches"))
 
 
-def intrabar_entries(ticks: DataFrame, context: DataFrame, interval: str = "1 hour") -> DataFrame:
+def intrabar_entries(
+    ticks: DataFrame, context: DataFrame, interval: str = "1 hour", tz: str = "UTC"
+) -> DataFrame:
     """First tick of a bar inside a zone that the bar before closed outside of, per side.
 
     Ticks collapse to the first occurrence of each price in each bar before they move, so
-    a crowded bar shuffles its distinct prices and not its ticks.
+    a crowded bar shuffles its distinct prices and not its ticks. Interval and time zone
+    are those of the bars.
     """
-    seen = first_ticks_by_price(ticks, interval).withColumnRenamed("bar", "ts")
+    seen = first_ticks_by_price(ticks, interval, tz).withColumnRenamed("bar", "ts")
     outside = F.when(F.col("prev_close") < F.col("bot"), "below").when(F.col("prev_close") > F.col("top"), "above")
     bands = (
         each_zone(context, *SHEET_KEYS, "ts", "prev_close")

@@ -23,6 +23,9 @@ from levelmap.streaming import bars as stream
 from levelmap.streaming import sinks
 from levelmap.streaming.context import stream_context
 
+# The whole table is one batch of the streams here, so no tick can come late.
+NO_DELAY = "0 seconds"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -98,6 +101,11 @@ def bars_1h(i: Inputs) -> DataFrame:
     return i.bars.select(*BAR_SCHEMA.names)
 
 
+@_query
+def bars_local(i: Inputs) -> DataFrame:
+    return bars(i.ticks, "1 day", "America/New_York").select(*BAR_SCHEMA.names)
+
+
 @_query
 def sheet_defaults(i: Inputs) -> DataFrame:
     return i.sheets
@@ -351,19 +359,19 @@ def _run_out(spark: SparkSession, start: Callable[..., StreamingQuery]) -> DataF
 
 @_query
 def stream_bars(i: Inputs) -> DataFrame:
-    confirmed = stream.stream_bars(stream.read_tick_stream(i.spark, i.sf_dir))
+    confirmed = stream.stream_bars(stream.read_tick_stream(i.spark, i.sf_dir), delay=NO_DELAY)
     return _run_out(i.spark, partial(sinks.start_table, confirmed)).select(*BAR_SCHEMA.names)
 
 
 @_query
 def stream_alerts(i: Inputs) -> DataFrame:
-    context = stream_context(stream.stream_bars(stream.read_tick_stream(i.spark, i.sf_dir)))
+    context = stream_context(stream.stream_bars(stream.read_tick_stream(i.spark, i.sf_dir), delay=NO_DELAY))
     return _run_out(i.spark, partial(sinks.start_alerts, context, lambda: i.sheets)).drop("batch_id")
 
 
 @_query
 def stream_forming(i: Inputs) -> DataFrame:
-    forming = stream.stream_bars(stream.read_tick_stream(i.spark, i.sf_dir))
+    forming = stream.stream_bars(stream.read_tick_stream(i.spark, i.sf_dir), delay=NO_DELAY)
     view = stream.forming_view(forming, i.zoned)
     updates = _run_out(i.spark, partial(sinks.start_table, view, mode="update"))
     return sinks.latest_versions(updates, "symbol", "ts")

@@ -390,6 +390,17 @@ from zone_at_last z join zone_texts t using (symbol, session_date, zone_seq)"""
 # query -> (tables it reads, statement)
 _QUERIES: dict[str, tuple[tuple[str, ...], str]] = {
     "bars_1h": (("bars",), "select * from bars"),
+    "bars_local": (
+        ("ticks",),
+        """
+select symbol, (session_date::timestamp at time zone 'America/New_York') at time zone 'UTC' as ts, session_date,
+  first(px order by t, event_id) as open, max(px) as high, min(px) as low,
+  last(px order by t, event_id) as close, count(*) as ticks
+from (
+  select symbol, ts as t, event_id, px, ((ts at time zone 'UTC') at time zone 'America/New_York')::date as session_date
+  from ticks)
+group by symbol, session_date""",
+    ),
     "sheet_defaults": (("sheet",), "select * from sheet"),
     "sheet_static": (
         ("bars", "sheet"),

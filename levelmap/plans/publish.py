@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from levelmap import fixed
 from levelmap.operators import alerts, joins, sessions, snapshot, zones
-from levelmap.schemas import BAR_SCHEMA
+from levelmap.schemas import BAR_SCHEMA, Params
 from levelmap.sources.sheets import read_sheets
 from levelmap.sources.sinks import write_by_session
 from levelmap.sources.ticks import bars
@@ -26,13 +26,19 @@ def publish_sheets(sheets: DataFrame, out: str) -> None:
     write_by_session(sheets, f"{out}/sheets")
 
 
-def publish_results(spark: SparkSession, out: str, brand: str = fixed.DEFAULT_BRAND) -> None:
-    """Writes the tables alerts, snapshot, summary and annotations next to bars and sheets."""
+def publish_results(
+    spark: SparkSession, out: str, brand: str = fixed.DEFAULT_BRAND, params: Params = Params()
+) -> None:
+    """Writes the tables alerts, snapshot, summary and annotations next to bars and sheets.
+
+    They are replaced as a whole: what no longer holds after a correction is gone, also on
+    days that have no rows left.
+    """
     history = spark.read.schema(BAR_SCHEMA).parquet(f"{out}/bars")
-    zoned = zones.with_zones(read_sheets(spark, f"{out}/sheets"))
+    zoned = zones.with_zones(read_sheets(spark, f"{out}/sheets", params))
     context = joins.by_session(sessions.bar_context(history), zoned)
     at_last = joins.by_session(sessions.session_stats(history), zoned)
-    write_by_session(alerts.alerts(context, brand), f"{out}/alerts")
-    write_by_session(snapshot.snapshot(at_last), f"{out}/snapshot")
-    write_by_session(snapshot.summary_rows(at_last, brand), f"{out}/summary")
-    write_by_session(snapshot.annotations(at_last), f"{out}/annotations")
+    write_by_session(alerts.alerts(context, brand), f"{out}/alerts", whole=True)
+    write_by_session(snapshot.snapshot(at_last), f"{out}/snapshot", whole=True)
+    write_by_session(snapshot.summary_rows(at_last, brand), f"{out}/summary", whole=True)
+    write_by_session(snapshot.annotations(at_last), f"{out}/annotations", whole=True)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from levelmap import fixed
 from levelmap.schemas import SHEET_KEYS, SHEET_SCHEMA, SLOTS, Params, sheet_defaults
@@ -14,7 +15,7 @@ _SIZES = (0, 250, 500, 750, 1000, 1500, 2000, 2500)
 
 
 def with_defaults(raw: DataFrame, params: Params = Params()) -> DataFrame:
-    """Completes a sheet: absent or NULL fields take their defaults.
+    """Completes a sheet: absent, NULL or NaN fields take their defaults.
 
     ``max_change_ok`` tells whether that field holds one of its allowed options; the
     value itself is passed on as entered.
@@ -23,7 +24,10 @@ def with_defaults(raw: DataFrame, params: Params = Params()) -> DataFrame:
 
     def filled(name: str, sql_type: str, default: object) -> str:
         fallback = f"cast({_literal(default)} as {sql_type})"
-        value = f"coalesce(cast({name} as {sql_type}), {fallback})" if name in present else fallback
+        entered = f"cast({name} as {sql_type})"
+        if sql_type == "double":
+            entered = f"nullif({entered}, double('NaN'))"
+        value = f"coalesce({entered}, {fallback})" if name in present else fallback
         return f"{value} as {name}"
 
     options = ", ".join(_literal(o) for o in fixed.MAX_CHANGE_OPTIONS)
@@ -39,9 +43,22 @@ def _literal(value: object) -> str:
     return str(value).lower() if isinstance(value, bool) else repr(value)
 
 
+def latest(raw: DataFrame) -> DataFrame:
+    """One sheet per symbol and session: the one with the latest ``entered_at``, if there is such a
+    column. Of several entered at once, or without a time, the greatest by its fields is taken."""
+    entered = ["entered_at"] if "entered_at" in raw.columns else []
+    fields = [c for c in raw.columns if c not in (*SHEET_KEYS, *entered)]
+    newest = raw.groupBy(*SHEET_KEYS).agg(F.max(F.struct(*entered, *fields)).alias("sheet"))
+    return newest.select(*SHEET_KEYS, *(F.col("sheet")[c].alias(c) for c in fields))
+
+
 def read_sheets(spark: SparkSession, path: str, params: Params = Params()) -> DataFrame:
-    """A Parquet table of sheets under the declared schema; missing columns read as NULL."""
-    return with_defaults(spark.read.schema(SHEET_SCHEMA).parquet(path), params)
+    """A Parquet table of sheets under the declared schema; missing columns read as NULL.
+
+    A corrected sheet is a further row with a later ``entered_at``, a UTC wall-clock time.
+    """
+    schema = T.StructType([*SHEET_SCHEMA.fields, T.StructField("entered_at", T.TimestampNTZType())])
+    return with_defaults(latest(spark.read.schema(schema).parquet(path)), params)
 
 
 def sheets_from_ticks(ticks: DataFrame, tz: str = "UTC") -> DataFrame:

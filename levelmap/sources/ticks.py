@@ -2,22 +2,34 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from levelmap.schemas import EVENT_SCHEMA
 
-# Width of the part of a tick's id that fits beside its offset in a bar of up to one day.
-_ID_BITS = 26
-_ID_MASK = (1 << _ID_BITS) - 1
+# Bits of a packed key, its sign left free, and the fewest of them worth packing ids into.
+_KEY_BITS = 63
+_LEAST_ID_BITS = 12
+# A bar of local time lasts longer by what a clock is set back within it.
+_SET_BACK = 3 * 3600 * 10**6
+_MICROS = {
+    "microsecond": 1, "millisecond": 10**3, "second": 10**6, "minute": 60 * 10**6, "hour": 3600 * 10**6,
+    "day": 86400 * 10**6, "week": 7 * 86400 * 10**6,
+}
 _UTC_NAMES = ("UTC", "Etc/UTC", "GMT", "Z", "+00:00")
 
 
 def ticks_from_events(events: DataFrame) -> DataFrame:
-    """Reads an event table as price ticks on a quarter-point grid, one symbol per event type."""
-    return events.selectExpr(
-        "event_type as symbol", "ts", "event_id", "19000D + floor(value * 16) / 4 as px"
-    ).filter("symbol is not null and ts is not null and px is not null")
+    """Reads an event table as price ticks on a quarter-point grid, one symbol per event type.
+
+    Rows without a symbol, a time or a finite price are no ticks.
+    """
+    finite = events.filter(
+        "event_type is not null and ts is not null and value > double('-infinity') and value < double('infinity')"
+    )
+    return finite.selectExpr("event_type as symbol", "ts", "event_id", "19000D + floor(value * 16) / 4 as px")
 
 
 def read_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +41,25 @@ def session_day(ts: Column, tz: str = "UTC") -> Column:
     """Calendar day of a UTC wall-clock time in the exchange's time zone."""
     if tz == "UTC":
         return F.to_date(ts)
-    return F.to_date(F.convert_timezone(F.lit("UTC"), F.lit(tz), ts.cast("timestamp_ntz")))
+    return F.to_date(local_time(ts, tz))
+
+
+def local_time(ts: Column, tz: str) -> Column:
+    """A UTC wall-clock time on the exchange's clock."""
+    return F.convert_timezone(F.lit("UTC"), F.lit(tz), ts.cast("timestamp_ntz"))
+
+
+def utc_time(local: Column, tz: str) -> Column:
+    """A time on the exchange's clock in UTC: the earlier one where the clock shows it twice."""
+    return F.convert_timezone(F.lit(tz), F.lit("UTC"), local.cast("timestamp_ntz"))
+
+
+def bar_start(interval: str, tz: str = "UTC") -> Column:
+    """UTC start of the bar that a tick falls in. Bars are cut on the exchange's clock, hence none
+    crosses its midnight unless it is longer than a day; an hour that the clock repeats is one hour."""
+    if tz == "UTC":
+        return F.window("ts", interval)["start"]
+    return utc_time(F.window(local_time(F.col("ts"), tz), interval)["start"], tz)
 
 
 def bars(
@@ -46,11 +76,12 @@ def bars(
     one day of bars.
     """
     session = session_day(F.col("bar"), tz).alias("session_date")
-    if sequential_ids and _in_utc(ticks.sparkSession):
-        rows, keys, order = packed_order(ticks, interval), ["symbol", "bar", "id_block"], F.col("tick_key")
-        first, last = packed_position("first_key"), packed_position("last_key")
+    bits = _id_bits(interval) if sequential_ids and _in_utc(ticks.sparkSession) else None
+    if bits:
+        rows, keys, order = packed_order(ticks, interval, tz, bits), ["symbol", "bar", "id_block"], F.col("tick_key")
+        first, last = packed_position("first_key", bits), packed_position("last_key", bits)
     else:
-        rows = ticks.withColumn("bar", F.window("ts", interval)["start"])
+        rows = ticks.withColumn("bar", bar_start(interval, tz))
         keys, order = ["symbol", "bar"], F.struct("ts", "event_id")
         first, last = F.col("first_key"), F.col("last_key")
     parts = rows.groupBy(*keys).agg(
@@ -74,47 +105,62 @@ def bars(
     )
 
 
-def packed_order(ticks: DataFrame, interval: str) -> DataFrame:
+def _id_bits(interval: str) -> int | None:
+    """Bits left for ids beside offsets into a bar of this length; None where too few are left, or
+    where the interval is written in another way than as numbers and units."""
+    parts = re.findall(r"(\d+)\s+([a-z]+?)s?(?![a-z])", interval.strip().lower())
+    if not parts or any(unit not in _MICROS for _, unit in parts) or re.sub(r"\d+\s+[a-z]+", "", interval.lower()).strip():
+        return None
+    longest = sum(int(n) * _MICROS[unit] for n, unit in parts) + _SET_BACK
+    bits = _KEY_BITS - longest.bit_length()
+    return bits if bits >= _LEAST_ID_BITS else None
+
+
+def packed_order(ticks: DataFrame, interval: str, tz: str, bits: int) -> DataFrame:
     """Ticks with their bar and their place in it as one long per block of ids.
 
     Spark aggregates by hashing only while its buffers are of fixed width. An extremum over
-    the pair (ts, event_id) is not, and would sort all ticks. Within a block of 2**26 ids
+    the pair (ts, event_id) is not, and would sort all ticks. Within a block of 2**bits ids
     the offset into the bar followed by the low id bits sorts exactly like the pair, so
     blocks are reduced by hashing and the few results per bar are merged by the full pair.
+    ``bits`` are what the interval's offsets leave of a long.
     """
-    spans = ticks.select("symbol", "px", "ts", "event_id", F.window("ts", interval)["start"].alias("bar"))
+    spans = ticks.select("symbol", "px", "ts", "event_id", bar_start(interval, tz).alias("bar"))
     offset = "unix_micros(timestamp(ts)) - unix_micros(timestamp(bar))"
     return spans.selectExpr(
         "symbol",
         "px",
         "bar",
-        f"shiftright(event_id, {_ID_BITS}) as id_block",
-        f"shiftleft({offset}, {_ID_BITS}) | (event_id & {_ID_MASK}) as tick_key",
+        f"shiftright(event_id, {bits}) as id_block",
+        f"shiftleft({offset}, {bits}) | (event_id & {(1 << bits) - 1}) as tick_key",
     )
 
 
-def packed_position(key: str) -> Column:
+def packed_position(key: str, bits: int) -> Column:
     """The pair (offset, id) of a packed key in sortable form."""
-    return F.expr(f"struct(shiftright({key}, {_ID_BITS}), id_block, {key})")
+    return F.expr(f"struct(shiftright({key}, {bits}), id_block, {key})")
 
 
-def unpacked(key: str) -> tuple[Column, Column]:
+def unpacked(key: str, bits: int) -> tuple[Column, Column]:
     """Tick time and event id of a packed key."""
     return (
-        F.expr(f"timestampadd(microsecond, shiftright({key}, {_ID_BITS}), bar)"),
-        F.expr(f"shiftleft(id_block, {_ID_BITS}) | ({key} & {_ID_MASK})"),
+        F.expr(f"timestampadd(microsecond, shiftright({key}, {bits}), bar)"),
+        F.expr(f"shiftleft(id_block, {bits}) | ({key} & {(1 << bits) - 1})"),
     )
 
 
-def first_ticks_by_price(ticks: DataFrame, interval: str = "1 hour", sequential_ids: bool = True) -> DataFrame:
+def first_ticks_by_price(
+    ticks: DataFrame, interval: str = "1 hour", tz: str = "UTC", sequential_ids: bool = True
+) -> DataFrame:
     """First (ts, event_id) of each price in each bar; several rows per price where ids span blocks."""
-    if sequential_ids and _in_utc(ticks.sparkSession):
-        first = packed_order(ticks, interval).groupBy("symbol", "bar", "id_block", "px").agg(
+    bits = _id_bits(interval) if sequential_ids and _in_utc(ticks.sparkSession) else None
+    if bits:
+        first = packed_order(ticks, interval, tz, bits).groupBy("symbol", "bar", "id_block", "px").agg(
             F.min("tick_key").alias("first_key")
         )
-        ts, event_id = unpacked("first_key")
+        ts, event_id = unpacked("first_key", bits)
         return first.select("symbol", "bar", "px", F.struct(ts.alias("ts"), event_id.alias("event_id")).alias("tick"))
-    spans = ticks.withColumn("bar", F.window("ts", interval)["start"])
+    spans = ticks.withColumn("bar", bar_start(interval, tz))
     return spans.groupBy("symbol", "bar", "px").agg(F.min(F.struct("ts", "event_id")).alias("tick"))
 
 

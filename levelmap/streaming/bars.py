@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from levelmap.operators.snapshot import snapshot
 from levelmap.schemas import EVENT_SCHEMA
-from levelmap.sources.ticks import session_day, ticks_from_events
+from levelmap.sources.ticks import local_time, ticks_from_events, utc_time
+
 
 def read_tick_stream(
     spark: SparkSession, folder: str, pattern: str = "events*.parquet", max_files: int | None = None
@@ -24,14 +26,21 @@ def read_tick_stream(
     return ticks.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def stream_bars(ticks: DataFrame, interval: str = "1 hour", delay: str = "0 seconds", tz: str = "UTC") -> DataFrame:
-    """Bars of a stream.
+def stream_bars(ticks: DataFrame, delay: str, interval: str = "1 hour", tz: str = "UTC") -> DataFrame:
+    """Bars of a stream, cut on the exchange's clock like those of a batch.
 
     In append mode a bar comes out once the watermark has passed its end: it is confirmed
     and final. In update mode the forming bar comes out whenever it changes.
+
+    The watermark trails the latest tick of any symbol by ``delay`` and older ticks are dropped,
+    so the delay must cover how far one feed may run behind another, and, where clocks are
+    set back, that hour as well. ``dropped_ticks`` counts what was lost.
     """
     order = F.struct("ts", "event_id")
-    grouped = ticks.withWatermark("ts", delay).groupBy("symbol", F.window("ts", interval).alias("span"))
+    clock = F.col("ts") if tz == "UTC" else local_time(F.col("ts"), tz).cast("timestamp")
+    timed = ticks.withColumn("clock", clock).withWatermark("clock", delay)
+    grouped = timed.groupBy("symbol", F.window("clock", interval).alias("span"))
+    start = F.col("span.start") if tz == "UTC" else utc_time(F.col("span.start"), tz).cast("timestamp")
     return grouped.agg(
         F.min_by("px", order).alias("open"),
         F.max("px").alias("high"),
@@ -40,8 +49,8 @@ def stream_bars(ticks: DataFrame, interval: str = "1 hour", delay: str = "0 seco
         F.count(F.lit(1)).alias("ticks"),
     ).select(
         "symbol",
-        F.col("span.start").alias("ts"),
-        session_day(F.col("span.start"), tz).alias("session_date"),
+        start.alias("ts"),
+        F.to_date("span.start").alias("session_date"),
         "open",
         "high",
         "low",
@@ -50,6 +59,13 @@ def stream_bars(ticks: DataFrame, interval: str = "1 hour", delay: str = "0 seco
     )
 
 
+def dropped_ticks(query: StreamingQuery) -> int:
+    """Rows that came after the watermark had passed them, over the query's recent progress. They are
+    counted after reduction within a batch, so that one may stand for several ticks of a bar."""
+    operators = [o for p in query.recentProgress for o in p["stateOperators"]]
+    return sum(o["numRowsDroppedByWatermark"] for o in operators)
+
+
 def forming_view(bars: DataFrame, zoned_sheets: DataFrame) -> DataFrame:
     """The summary of each bar as it stands, confirmed or not. Stateless, for update mode."""
     joined = bars.join(zoned_sheets, ["symbol", "session_date"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from helpers import DAY, at, context_with_sheets, make_bars, make_sheets, make_ticks, session_rows, values, zone_list
@@ -16,6 +17,7 @@ from levelmap.functions import zones as zone_rules
 from levelmap.operators import alerts, joins, levels, nodes, pin, sessions, snapshot, zones
 from levelmap.schemas import SLOTS, Params, sheet_defaults
 from levelmap.sources import ticks as tick_source
+from levelmap.sources.sheets import read_sheets
 
 NEXT = DAY + dt.timedelta(days=1)
 
@@ -494,3 +496,51 @@ def test_bars_split_at_the_interval_and_take_the_exchange_day(spark):
     before = DAY - dt.timedelta(days=1)
     assert got == [(at(DAY, 3), before), (at(DAY, 4), before), (at(DAY, 5), DAY)]
     assert tick_source.bars(ticks, interval="4 hours").count() == 2
+
+
+def random_ticks(spark, seed=3):
+    """Ticks about both changes of clocks in New York, ids in time order but for some."""
+    rng, rows = random.Random(seed), []
+    for start in (dt.datetime(2024, 3, 8), dt.datetime(2024, 11, 1)):
+        for k in range(900):
+            ts = start + dt.timedelta(seconds=rng.randint(0, 6 * 86400), microseconds=rng.randint(0, 10**6 - 1))
+            rows.append((ts, rng.choice([k, k << 20, k << 40]), rng.randint(1, 500)))
+    return make_ticks(spark, rows)
+
+
+@pytest.mark.parametrize("tz", ["UTC", "America/New_York", "Asia/Kolkata"])
+@pytest.mark.parametrize("interval", ["1 minute", "4 hours", "1 day", "2 days", "1 week", "40 weeks"])
+def test_packed_bars_equal_plain_ones(spark, interval, tz):
+    ticks = random_ticks(spark)
+    packed, plain = (tick_source.bars(ticks, interval, tz, sequential_ids=s) for s in (True, False))
+    assert sorted(packed.collect()) == sorted(plain.collect())
+    first = [tick_source.first_ticks_by_price(ticks, interval, tz, s).groupBy("bar", "px").agg(F.min("tick")).collect() for s in (True, False)]
+    assert sorted(first[0]) == sorted(first[1])
+
+
+@pytest.mark.parametrize("tz", ["America/New_York", "Asia/Kolkata"])
+@pytest.mark.parametrize("interval", ["1 hour", "4 hours", "1 day"])
+def test_no_bar_holds_two_local_days(spark, interval, tz):
+    ticks = random_ticks(spark).withColumn("day", tick_source.session_day(F.col("ts"), tz))
+    spans = ticks.withColumn("bar", tick_source.bar_start(interval, tz))
+    assert spans.groupBy("bar").agg(F.count_distinct("day").alias("n")).filter("n > 1").count() == 0
+    assert spans.filter(tick_source.session_day(F.col("bar"), tz) != F.col("day")).count() == 0
+    assert spans.filter("bar > ts").count() == 0
+
+
+def test_nan_prices_are_unset(spark):
+    nan = float("nan")
+    sheet = make_sheets(spark, {"g1p": nan, "mq_ps0": nan, "zero_gamma": nan}).first()
+    assert (sheet.g1p, sheet.mq_ps0, sheet.zero_gamma) == (0.0, 0.0, 0.0)
+    values_of = [(1, nan), (2, float("inf")), (3, 4.0), (4, None)]
+    events = spark.createDataFrame([("S", at(DAY, 9), i, v) for i, v in values_of], "event_type string, ts timestamp_ntz, event_id long, value double")
+    assert [r.event_id for r in tick_source.ticks_from_events(events).collect()] == [3]
+
+
+def test_the_latest_version_of_a_sheet_wins(spark, tmp_path):
+    rows = [("S", DAY, 1.0, at(DAY, 8)), ("S", DAY, 2.0, at(DAY, 10)), ("S", DAY, 3.0, at(DAY, 9)), ("S", DAY, 9.0, None)]
+    path = str(tmp_path / "sheets")
+    spark.createDataFrame(rows, "symbol string, session_date date, g1p double, entered_at timestamp_ntz").write.parquet(path)
+    assert [r.g1p for r in read_sheets(spark, path).collect()] == [2.0]
+    spark.createDataFrame([r[:3] for r in rows], "symbol string, session_date date, g1p double").write.parquet(path + "2")
+    assert [r.g1p for r in read_sheets(spark, path + "2").collect()] == [9.0]

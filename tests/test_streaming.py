@@ -41,7 +41,7 @@ def wall_clock(df):
 
 def test_alerts_of_many_batches_equal_the_batch_result(spark, inputs, split_events, tmp_path):
     feed = stream.read_tick_stream(spark, split_events, "*.parquet", max_files=1)
-    context = stream_context(stream.stream_bars(feed))
+    context = stream_context(stream.stream_bars(feed, "0 seconds"))
     out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
     sinks.start_alerts(
         context, lambda: inputs.sheets, out, checkpoint, partitions=2, availableNow=True
@@ -108,7 +108,7 @@ def test_a_sheet_entered_while_running_applies_to_later_batches(spark, tmp_path)
     entered = []
 
     def run():
-        context = stream_context(stream.stream_bars(stream.read_tick_stream(spark, folder, "*.parquet")))
+        context = stream_context(stream.stream_bars(stream.read_tick_stream(spark, folder, "*.parquet"), "0 seconds"))
         sinks.start_alerts(
             context,
             lambda: make_sheets(spark, *entered),
@@ -133,7 +133,7 @@ def test_forming_bar_changes_until_its_last_version(spark, tmp_path):
     sheets = zones.with_zones(make_sheets(spark, {"zero_gamma": 19005.0, "g1p": 19004.0}))
 
     def run():
-        forming = stream.stream_bars(stream.read_tick_stream(spark, folder, "*.parquet"))
+        forming = stream.stream_bars(stream.read_tick_stream(spark, folder, "*.parquet"), "0 seconds")
         view = stream.forming_view(forming, sheets)
         sinks.start_table(
             view, str(tmp_path / "out"), str(tmp_path / "cp"), "update", partitions=2, availableNow=True
@@ -152,7 +152,7 @@ def test_forming_bar_changes_until_its_last_version(spark, tmp_path):
 def test_contexts_agree_column_by_column(spark, inputs, split_events, tmp_path):
     feed = stream.read_tick_stream(spark, split_events, "*.parquet", max_files=1)
     sinks.start_table(
-        stream_context(stream.stream_bars(feed)),
+        stream_context(stream.stream_bars(feed, "0 seconds")),
         str(tmp_path / "out"),
         str(tmp_path / "cp"),
         partitions=3,
@@ -165,3 +165,33 @@ def test_contexts_agree_column_by_column(spark, inputs, split_events, tmp_path):
     assert order(streamed) == order(closed.select(streamed.columns))
     assert batch.count() - streamed.count() <= 5
     assert joins.by_session(streamed, zones.with_zones(inputs.sheets)).count() > 0
+
+
+def lagging_feeds(spark, tmp_path, delay):
+    """Three symbols over the same four hours, one file and micro-batch each."""
+    folder = str(tmp_path / "feed")
+    for k in range(3):
+        ticks = [(at(DAY, 9 + hour), 10 * k + hour, 19000 + k) for hour in range(4)]
+        rows = make_ticks(spark, ticks, symbol="ABC"[k]).selectExpr("event_id", "ts", "symbol as event_type", "(px - 19000) / 4 as value")
+        rows.coalesce(1).write.mode("append").parquet(folder)
+    write_events(spark, [(at(DAY + dt.timedelta(days=2), 9), 99, 19000)], folder)
+    feed = stream.read_tick_stream(spark, folder, "*.parquet", max_files=1)
+    query = sinks.start_table(
+        stream.stream_bars(feed, delay), str(tmp_path / "out"), str(tmp_path / "cp"), partitions=2, availableNow=True
+    )
+    query.awaitTermination()
+    return spark.read.parquet(str(tmp_path / "out")).filter("symbol in ('A', 'B', 'C')").count(), stream.dropped_ticks(query)
+
+
+def test_the_delay_covers_lagging_feeds(spark, tmp_path):
+    assert lagging_feeds(spark, tmp_path, "6 hours") == (12, 0)
+
+
+def test_ticks_beyond_the_delay_are_counted(spark, tmp_path):
+    kept, dropped = lagging_feeds(spark, tmp_path, "0 seconds")
+    assert dropped > 0 and kept + dropped == 12
+
+
+def test_the_delay_must_be_chosen(spark, tmp_path):
+    with pytest.raises(TypeError):
+        stream.stream_bars(stream.read_tick_stream(spark, str(tmp_path), "*.parquet"))
