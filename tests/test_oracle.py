@@ -12,9 +12,11 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 import __spark_entry__ as entry  # noqa: E402
 from check import compare, connect  # noqa: E402
 
+from levelmap.plans import catalog, oracle  # noqa: E402
+
 FOLDER = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
+QUERIES = catalog.queries()
+SQL = oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -24,6 +26,7 @@ def con():
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+    assert set(QUERIES) <= set(entry.queries()) and SQL.items() <= entry.oracle_sql().items()
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
