@@ -23,7 +23,7 @@ HEADLINE = (
     "bars_1h sheet_defaults sheet_static sheet_by_session sheet_asof level_order regime_mode prev_close "
     "session_reset_dom last_bar node_flip_state node_flip_event any_flip node_label zone_clusters zone_counts "
     "zone_entry zone_entry_any zone_entry_intrabar zone_touch_count pin_class pin_break alerts snapshot "
-    "annotations stream_bars stream_alerts stream_forming"
+    "annotations stream_bars stream_alerts stream_forming stream_zone_entry"
 ).split()
 
 

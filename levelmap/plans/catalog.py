@@ -8,7 +8,7 @@ the tables; the operators are the same.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import cached_property, partial
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,11 +17,11 @@ from pyspark.sql.streaming import StreamingQuery
 from levelmap.functions import regime
 from levelmap.operators import alerts, joins, levels, nodes, pin, sessions, snapshot, zones
 from levelmap.schemas import BAR_SCHEMA
-from levelmap.sources.sheets import sheets_from_ticks, with_defaults
+from levelmap.sources.sheets import sheets_from_ticks, stored_sheets, with_defaults
+from levelmap.sources.sinks import write_by_session
 from levelmap.sources.ticks import bars, read_ticks
 from levelmap.streaming import bars as stream
-from levelmap.streaming import sinks
-from levelmap.streaming.context import stream_context
+from levelmap.streaming import entries, sinks
 
 # The whole table is one batch of the streams here, so no tick can come late.
 NO_DELAY = "0 seconds"
@@ -348,30 +348,41 @@ def annotations(i: Inputs) -> DataFrame:
 # --- streams, run to the end of the data on disk ------------------------------
 
 
-def _run_out(spark: SparkSession, start: Callable[..., StreamingQuery]) -> DataFrame:
-    folder = sinks.shared_folder(spark)
-    cores = spark.sparkContext.defaultParallelism
-    start(out=f"{folder}/out", checkpoint=f"{folder}/cp", partitions=cores, availableNow=True).awaitTermination()
-    done = spark.read.parquet(f"{folder}/out")
+def _run_out(i: Inputs, df: DataFrame, start: Callable[..., StreamingQuery], sheets: bool = True, **options) -> DataFrame:
+    """Runs a stream to its end, against sheets published beforehand if it takes any."""
+    folder = sinks.shared_folder(i.spark)
+    options |= {"out": f"{folder}/out", "checkpoint": f"{folder}/cp", "partitions": i.spark.sparkContext.defaultParallelism}
+    if sheets:
+        write_by_session(sheets_from_ticks(i.ticks), f"{folder}/sheets")
+        options["load_sheets"] = stored_sheets(i.spark, f"{folder}/sheets")
+    start(df, availableNow=True, **options).awaitTermination()
+    done = i.spark.read.parquet(f"{folder}/out")
     # Streams carry zoned timestamps, batch queries and tables wall-clock ones.
     return done.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
+def _live_ticks(i: Inputs) -> DataFrame:
+    return stream.read_tick_stream(i.spark, i.sf_dir)
+
+
 @_query
 def stream_bars(i: Inputs) -> DataFrame:
-    confirmed = stream.stream_bars(stream.read_tick_stream(i.spark, i.sf_dir), delay=NO_DELAY)
-    return _run_out(i.spark, partial(sinks.start_table, confirmed)).select(*BAR_SCHEMA.names)
+    confirmed = stream.stream_bars(_live_ticks(i), delay=NO_DELAY)
+    return _run_out(i, confirmed, sinks.start_table, sheets=False).select(*BAR_SCHEMA.names)
 
 
 @_query
 def stream_alerts(i: Inputs) -> DataFrame:
-    context = stream_context(stream.stream_bars(stream.read_tick_stream(i.spark, i.sf_dir), delay=NO_DELAY))
-    return _run_out(i.spark, partial(sinks.start_alerts, context, lambda: i.sheets)).drop("batch_id")
+    confirmed = stream.stream_bars(_live_ticks(i), delay=NO_DELAY)
+    return _run_out(i, confirmed, sinks.start_alerts).drop("batch_id")
 
 
 @_query
 def stream_forming(i: Inputs) -> DataFrame:
-    forming = stream.stream_bars(stream.read_tick_stream(i.spark, i.sf_dir), delay=NO_DELAY)
-    view = stream.forming_view(forming, i.zoned)
-    updates = _run_out(i.spark, partial(sinks.start_table, view, mode="update"))
-    return sinks.latest_versions(updates, "symbol", "ts")
+    forming = stream.stream_bars(_live_ticks(i), delay=NO_DELAY)
+    return sinks.latest_versions(_run_out(i, forming, sinks.start_forming), "symbol", "ts")
+
+
+@_query
+def stream_zone_entry(i: Inputs) -> DataFrame:
+    return _run_out(i, _live_ticks(i), entries.start_entries, delay=NO_DELAY).drop("batch_id")

@@ -523,6 +523,7 @@ _QUERIES |= {
     ),
     "stream_forming": (("bar_snap",), "select * from bar_snap"),
 }
+_QUERIES["stream_zone_entry"] = _QUERIES["zone_entry_intrabar"]
 
 
 def _needed(names: tuple[str, ...]) -> set[str]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,6 +64,18 @@ def read_sheets(spark: SparkSession, path: str, params: Params = Params()) -> Da
     return with_defaults(latest(spark.read.schema(schema).parquet(path)), params)
 
 
+def stored_sheets(
+    spark: SparkSession, path: str, params: Params = Params()
+) -> Callable[[dt.date, dt.date], DataFrame]:
+    """Loads the sheets of a span of sessions, as the table is at the time of the call. In a table
+    written by session only the folders of those days are opened."""
+
+    def load(first: dt.date, last: dt.date) -> DataFrame:
+        return read_sheets(spark, path, params).filter(F.col("session_date").between(first, last))
+
+    return load
+
+
 def sheets_from_ticks(ticks: DataFrame, tz: str = "UTC") -> DataFrame:
     """Raw sheets made of evenly spaced order statistics of the day before.
 

@@ -1,32 +1,26 @@
-"""What each confirmed bar needs to know of its symbol's past, kept as keyed state.
+"""What each confirmed bar needs to know of its symbol's past, carried from batch to batch.
 
-The state of a symbol is four values, whatever the number of nodes or zones: its last close,
-the session that was in, and the extremes of that session's closes.
+The past of a symbol is one row, whatever the number of nodes or zones: its last close, the
+session that was in, and the extremes of that session's closes. Within a micro-batch the
+operators of the batch path apply, so both paths follow one rule and a hot symbol is spread
+by session in either.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
-from operator import itemgetter
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-CONTEXT_SCHEMA = T.StructType(
+from levelmap.operators.sessions import bar_context, session_stats
+from levelmap.schemas import SHEET_KEYS
+
+CARRY_SCHEMA = T.StructType(
     [
         T.StructField("symbol", T.StringType()),
-        T.StructField("session_date", T.DateType()),
-        T.StructField("ts", T.TimestampType()),
-        T.StructField("close", T.DoubleType()),
-        T.StructField("prev_close", T.DoubleType()),
-        T.StructField("low_before", T.DoubleType()),
-        T.StructField("high_before", T.DoubleType()),
-    ]
-)
-_STATE_SCHEMA = T.StructType(
-    [
         T.StructField("session_date", T.DateType()),
         T.StructField("close", T.DoubleType()),
         T.StructField("low", T.DoubleType()),
@@ -37,63 +31,68 @@ _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class BarHistory(StatefulProcessor):
-    """Per symbol: previous close across sessions, close extremes within the session.
-
-    A call gets the symbol's newly confirmed bars of one micro-batch, in any order. Append
-    mode hands out later bars in later batches, so sorting within the call is enough. In
-    live running a call sees one bar or a few. A long backlog is better worked off by the
-    batch operators, or with ``max_files`` on the source, which bounds what a call holds.
-    """
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._history = handle.getValueState("history", _STATE_SCHEMA)
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        day = previous = low = high = None
-        if self._history.exists():
-            day, previous, low, high = self._history.get()
-        for bar in sorted(rows, key=itemgetter("ts")):
-            if bar["session_date"] != day:
-                day, low, high = bar["session_date"], None, None
-            close = bar["close"]
-            yield Row(
-                symbol=key[0],
-                session_date=day,
-                ts=bar["ts"],
-                close=close,
-                prev_close=previous,
-                low_before=low,
-                high_before=high,
-            )
-            previous = close
-            low, high = (close, close) if low is None else (min(low, close), max(high, close))
-        self._history.update((day, previous, low, high))
-
-    def close(self) -> None:
-        pass
-
-
-def stream_context(confirmed: DataFrame) -> DataFrame:
-    """Confirmed bars (append mode) with the columns of the batch operator ``bar_context``."""
+def seeded_context(bars: DataFrame, carry: DataFrame) -> DataFrame:
+    """``bar_context`` of newly confirmed bars that continue the carried rows."""
+    past = carry.select("symbol", F.struct("session_date", "close", "low", "high").alias("past"))
+    same = F.col("past.session_date") == F.col("session_date")
     return (
-        confirmed.select("symbol", "session_date", "ts", "close")
-        .groupBy("symbol")
-        .transformWithState(
-            statefulProcessor=BarHistory(),
-            outputStructType=CONTEXT_SCHEMA,
-            outputMode="Append",
-            timeMode="None",
+        bar_context(bars)
+        .join(past, "symbol", "left")
+        .select(
+            *SHEET_KEYS,
+            "ts",
+            "close",
+            F.coalesce("prev_close", "past.close").alias("prev_close"),
+            F.least("low_before", F.when(same, F.col("past.low"))).alias("low_before"),
+            F.greatest("high_before", F.when(same, F.col("past.high"))).alias("high_before"),
         )
     )
 
 
+def carried_on(bars: DataFrame, carry: DataFrame) -> DataFrame:
+    """The carried rows once these bars are in: one row per symbol, of its latest session."""
+    fresh = session_stats(bars).selectExpr(
+        *SHEET_KEYS, "last_close as close", "low_close as low", "high_close as high", "true as fresh"
+    )
+    sessions = (
+        fresh.unionByName(carry.withColumn("fresh", F.lit(False)))
+        .groupBy(*SHEET_KEYS)
+        .agg(F.max_by("close", "fresh").alias("close"), F.min("low").alias("low"), F.max("high").alias("high"))
+    )
+    row = F.struct("session_date", "close", "low", "high")
+    return sessions.groupBy("symbol").agg(F.max_by(row, "session_date").alias("row")).select("symbol", "row.*")
+
+
+class Turns:
+    """A table that each micro-batch replaces, in two folders by turns.
+
+    Batch n reads what batch n - 1 left in the one and writes the other, so that a repeated
+    batch starts from the same rows, and no more than two versions are ever stored.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, schema: T.StructType):
+        self.spark, self.folder, self.schema = spark, folder, schema
+
+    def _path(self, batch_id: int) -> str:
+        return f"{self.folder}/turn-{batch_id % 2}"
+
+    def before(self, batch_id: int) -> DataFrame:
+        if batch_id == 0:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(self._path(batch_id - 1))
+
+    def put(self, df: DataFrame, batch_id: int) -> DataFrame:
+        path = self._path(batch_id)
+        df.select(*self.schema.names).write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(self.schema).parquet(path)
+
+
 @contextmanager
-def stream_settings(spark: SparkSession, partitions: int | None = None):
-    """Session settings under which a stream with keyed state starts; restored afterwards.
+def stream_settings(spark: SparkSession, partitions: int | None = None) -> Iterator[None]:
+    """Session settings under which a stream with state starts; restored afterwards.
 
-    Keyed state needs the RocksDB provider. ``partitions`` is the number of state partitions,
-    which stays with the checkpoint for good; without it the session's shuffle setting counts.
+    ``partitions`` is the number of state partitions, which stays with the checkpoint for
+    good; without it the session's shuffle setting counts.
     """
     wanted = {_PROVIDER: _ROCKSDB}
     if partitions:

@@ -1,7 +1,13 @@
-"""Running a stream into Parquet."""
+"""Running a stream into Parquet.
+
+Every micro-batch overwrites a folder of its own, so that a repeated batch stores nothing
+twice. Sheets are loaded for the sessions a batch holds, at the time it runs; a batch
+without rows loads none.
+"""
 
 from __future__ import annotations
 
+import datetime as dt
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -12,7 +18,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from levelmap import fixed
 from levelmap.operators import alerts, joins, zones
-from levelmap.streaming.context import stream_settings
+from levelmap.schemas import SHEET_SCHEMA
+from levelmap.sources.sheets import with_defaults
+from levelmap.streaming.bars import forming_view
+from levelmap.streaming.context import CARRY_SCHEMA, Turns, carried_on, seeded_context, stream_settings
+
+#: The sheets, with defaults, of the sessions from one day to another, both included.
+SheetLoader = Callable[[dt.date, dt.date], DataFrame]
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -29,43 +41,86 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/levelmap-{uuid.uuid4().hex}"
 
 
-def start_alerts(
-    context: DataFrame,
-    load_sheets: Callable[[], DataFrame],
-    out: str,
+def zoned_sheets(rows: DataFrame, load_sheets: SheetLoader) -> DataFrame:
+    """The sheets of the sessions between the first and the last of these rows, with zones."""
+    first, last = rows.agg(F.min("session_date"), F.max("session_date")).first()
+    if first is None:
+        return zones.with_zones(with_defaults(rows.sparkSession.createDataFrame([], SHEET_SCHEMA)))
+    return zones.with_zones(load_sheets(first, last))
+
+
+def start_batches(
+    df: DataFrame,
+    write: Callable[[DataFrame, int], None],
     checkpoint: str,
-    brand: str = fixed.DEFAULT_BRAND,
+    mode: str = "append",
     partitions: int | None = None,
     **trigger,
 ) -> StreamingQuery:
-    """Writes the alerts of a context stream, one folder per micro-batch.
+    """Runs ``write`` on each micro-batch."""
+    with stream_settings(df.sparkSession, partitions):
+        writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
+        return writer.foreachBatch(write).trigger(**trigger).start()
+
+
+def start_contexts(
+    confirmed: DataFrame, use: Callable[[DataFrame, int], None], checkpoint: str, **options
+) -> StreamingQuery:
+    """Hands ``use`` the contexts of each micro-batch of confirmed bars (append mode).
 
-    Sheets are loaded anew for each batch, so a sheet entered while the stream runs applies
-    from the next batch on. A repeated batch overwrites its own folder, hence each alert is
-    stored once.
+    The bars of a batch are stored first: the batch is evaluated once, and what follows is a
+    batch query on a table.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        sheets = zones.with_zones(load_sheets())
-        raised = alerts.alerts(joins.by_session(batch, sheets), brand)
+        spark = batch.sparkSession
+        bars = Turns(spark, f"{checkpoint}/bars", confirmed.schema).put(batch, batch_id)
+        past = Turns(spark, f"{checkpoint}/past", CARRY_SCHEMA)
+        before = past.before(batch_id)
+        use(seeded_context(bars, before), batch_id)
+        past.put(carried_on(bars, before), batch_id)
+
+    return start_batches(confirmed, write, checkpoint, **options)
+
+
+def start_alerts(
+    confirmed: DataFrame,
+    load_sheets: SheetLoader,
+    out: str,
+    checkpoint: str,
+    brand: str = fixed.DEFAULT_BRAND,
+    **options,
+) -> StreamingQuery:
+    """Writes the alerts of a stream of confirmed bars. A sheet entered while the stream runs
+    applies from the next batch on."""
+
+    def use(context: DataFrame, batch_id: int) -> None:
+        raised = alerts.alerts(joins.by_session(context, zoned_sheets(context, load_sheets)), brand)
         raised.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    with stream_settings(context.sparkSession, partitions):
-        writer = context.writeStream.outputMode("append").option("checkpointLocation", checkpoint)
-        return writer.foreachBatch(write).trigger(**trigger).start()
+    return start_contexts(confirmed, use, checkpoint, **options)
 
 
-def start_table(
-    df: DataFrame, out: str, checkpoint: str, mode: str = "append", partitions: int | None = None, **trigger
+def start_forming(
+    forming: DataFrame, load_sheets: SheetLoader, out: str, checkpoint: str, **options
 ) -> StreamingQuery:
-    """Writes a stream as it is, one folder per micro-batch."""
+    """Writes the summary of each bar that changed (update mode), under the sheets of the moment."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        bars = Turns(batch.sparkSession, f"{checkpoint}/bars", forming.schema).put(batch, batch_id)
+        view = forming_view(bars, zoned_sheets(bars, load_sheets))
+        view.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+
+    return start_batches(forming, write, checkpoint, mode="update", **options)
+
+
+def start_table(df: DataFrame, out: str, checkpoint: str, **options) -> StreamingQuery:
+    """Writes a stream as it is."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    with stream_settings(df.sparkSession, partitions):
-        writer = df.writeStream.outputMode(mode).option("checkpointLocation", checkpoint)
-        return writer.foreachBatch(write).trigger(**trigger).start()
+    return start_batches(df, write, checkpoint, **options)
 
 
 def latest_versions(updates: DataFrame, *keys: str) -> DataFrame:

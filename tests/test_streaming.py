@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from levelmap.operators import alerts, joins, sessions, zones
 from levelmap.plans.catalog import Inputs
+from levelmap.sources.sheets import sheets_from_ticks, stored_sheets
+from levelmap.sources.sinks import write_by_session
 from levelmap.sources.ticks import bars
 from levelmap.streaming import bars as stream
-from levelmap.streaming import sinks
-from levelmap.streaming.context import stream_context
+from levelmap.streaming import entries, sinks
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -35,16 +36,26 @@ def split_events(spark, tmp_path_factory):
     return folder
 
 
+def of_days(sheets):
+    return lambda first, last: sheets.filter(F.col("session_date").between(first, last))
+
+
+def start_contexts(confirmed, tmp_path, partitions):
+    def store(context, batch_id):
+        context.write.mode("overwrite").parquet(str(tmp_path / "out" / f"batch_id={batch_id}"))
+
+    return sinks.start_contexts(confirmed, store, str(tmp_path / "cp"), partitions=partitions, availableNow=True)
+
+
 def wall_clock(df):
     return df.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
 
 def test_alerts_of_many_batches_equal_the_batch_result(spark, inputs, split_events, tmp_path):
     feed = stream.read_tick_stream(spark, split_events, "*.parquet", max_files=1)
-    context = stream_context(stream.stream_bars(feed, "0 seconds"))
     out, checkpoint = str(tmp_path / "out"), str(tmp_path / "cp")
     sinks.start_alerts(
-        context, lambda: inputs.sheets, out, checkpoint, partitions=2, availableNow=True
+        stream.stream_bars(feed, "0 seconds"), of_days(inputs.sheets), out, checkpoint, partitions=2, availableNow=True
     ).awaitTermination()
     written = wall_clock(spark.read.parquet(out))
     assert written.select("batch_id").distinct().count() > 1
@@ -66,9 +77,7 @@ def write_events(spark, ticks, folder):
 
 def run_bars(spark, folder, tmp_path, delay="0 seconds"):
     confirmed = stream.stream_bars(stream.read_tick_stream(spark, folder, "*.parquet"), delay=delay)
-    sinks.start_table(
-        stream_context(confirmed), str(tmp_path / "out"), str(tmp_path / "cp"), partitions=2, availableNow=True
-    ).awaitTermination()
+    start_contexts(confirmed, tmp_path, 2).awaitTermination()
     return wall_clock(spark.read.parquet(str(tmp_path / "out")))
 
 
@@ -108,10 +117,9 @@ def test_a_sheet_entered_while_running_applies_to_later_batches(spark, tmp_path)
     entered = []
 
     def run():
-        context = stream_context(stream.stream_bars(stream.read_tick_stream(spark, folder, "*.parquet"), "0 seconds"))
         sinks.start_alerts(
-            context,
-            lambda: make_sheets(spark, *entered),
+            stream.stream_bars(stream.read_tick_stream(spark, folder, "*.parquet"), "0 seconds"),
+            lambda first, last: make_sheets(spark, *entered),
             str(tmp_path / "out"),
             str(tmp_path / "cp"),
             partitions=2,
@@ -130,13 +138,17 @@ def test_a_sheet_entered_while_running_applies_to_later_batches(spark, tmp_path)
 
 def test_forming_bar_changes_until_its_last_version(spark, tmp_path):
     folder = str(tmp_path / "feed")
-    sheets = zones.with_zones(make_sheets(spark, {"zero_gamma": 19005.0, "g1p": 19004.0}))
+    entered = [{"zero_gamma": 19005.0, "g1p": 19004.0}]
 
     def run():
         forming = stream.stream_bars(stream.read_tick_stream(spark, folder, "*.parquet"), "0 seconds")
-        view = stream.forming_view(forming, sheets)
-        sinks.start_table(
-            view, str(tmp_path / "out"), str(tmp_path / "cp"), "update", partitions=2, availableNow=True
+        sinks.start_forming(
+            forming,
+            of_days(make_sheets(spark, *entered)),
+            str(tmp_path / "out"),
+            str(tmp_path / "cp"),
+            partitions=2,
+            availableNow=True,
         ).awaitTermination()
         updates = wall_clock(spark.read.parquet(str(tmp_path / "out")))
         rows = sinks.latest_versions(updates, "symbol", "ts").collect()
@@ -147,17 +159,16 @@ def test_forming_bar_changes_until_its_last_version(spark, tmp_path):
     assert run() == [(start, 19010.0, "FADE EDGES", 5.0, 19000.0, "▲ 0  ▼ 1")]
     write_events(spark, [(start + dt.timedelta(minutes=1), 2, 19001)], folder)
     assert run() == [(start, 19001.0, "TRANSIZIONE", -4.0, 19009.0, "▲ 1  ▼ 0")]
+    # A sheet of the next day, entered while the stream runs, applies to that day's first bar.
+    next_day = DAY + dt.timedelta(days=1)
+    entered.append({"session_date": next_day, "zero_gamma": 19000.0})
+    write_events(spark, [(at(next_day, 9), 3, 19002)], folder)
+    assert run()[-1][:4] == (at(next_day, 9), 19002.0, "FADE EDGES", 2.0)
 
 
 def test_contexts_agree_column_by_column(spark, inputs, split_events, tmp_path):
     feed = stream.read_tick_stream(spark, split_events, "*.parquet", max_files=1)
-    sinks.start_table(
-        stream_context(stream.stream_bars(feed, "0 seconds")),
-        str(tmp_path / "out"),
-        str(tmp_path / "cp"),
-        partitions=3,
-        availableNow=True,
-    ).awaitTermination()
+    start_contexts(stream.stream_bars(feed, "0 seconds"), tmp_path, 3).awaitTermination()
     streamed = wall_clock(spark.read.parquet(str(tmp_path / "out"))).drop("batch_id")
     batch = sessions.bar_context(bars(inputs.ticks)).select(streamed.columns)
     order = lambda df: sorted(map(str, df.collect()))
@@ -195,3 +206,73 @@ def test_ticks_beyond_the_delay_are_counted(spark, tmp_path):
 def test_the_delay_must_be_chosen(spark, tmp_path):
     with pytest.raises(TypeError):
         stream.stream_bars(stream.read_tick_stream(spark, str(tmp_path), "*.parquet"))
+
+
+def test_a_repeated_batch_continues_from_the_same_past(spark, split_events, tmp_path):
+    def run():
+        feed = stream.read_tick_stream(spark, split_events, "*.parquet", max_files=1)
+        start_contexts(stream.stream_bars(feed, "0 seconds"), tmp_path, 2).awaitTermination()
+        return sorted(map(str, spark.read.parquet(str(tmp_path / "out")).collect()))
+
+    whole = run()
+    # Without its commit the last batch counts as broken off and is run again.
+    commits = [p for p in (tmp_path / "cp" / "commits").iterdir() if p.name.isdigit()]
+    last = max(commits, key=lambda p: int(p.name))
+    last.unlink()
+    (last.parent / f".{last.name}.crc").unlink(missing_ok=True)
+    assert run() == whole
+
+
+def test_sheets_are_read_for_the_days_of_a_batch_only(spark, inputs, tmp_path):
+    path = str(tmp_path / "sheets")
+    write_by_session(sheets_from_ticks(inputs.ticks), path)
+    asked = []
+
+    def load(first, last):
+        asked.append((first, last))
+        return stored_sheets(spark, path)(first, last)
+
+    bars_of_day = inputs.bars.filter("session_date = date'2024-01-09'")
+    sheets = sinks.zoned_sheets(bars_of_day, load)
+    assert asked == [(dt.date(2024, 1, 9),) * 2] and sheets.count() == bars_of_day.select("symbol").distinct().count()
+    plan = sheets._jdf.queryExecution().executedPlan().toString()
+    assert "session_date" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert sinks.zoned_sheets(inputs.bars.filter("false"), load).count() == 0 and len(asked) == 1
+
+
+def entered(spark, folder, sheets, tmp_path, delay, max_files=None):
+    entries.start_entries(
+        stream.read_tick_stream(spark, folder, "*.parquet", max_files=max_files),
+        of_days(sheets),
+        str(tmp_path / "out"),
+        str(tmp_path / "cp"),
+        delay,
+        partitions=2,
+        availableNow=True,
+    ).awaitTermination()
+    return wall_clock(spark.read.parquet(str(tmp_path / "out")))
+
+
+def test_live_zone_entries_equal_those_of_the_batch(spark, inputs, split_events, tmp_path):
+    live = entered(spark, split_events, inputs.sheets, tmp_path, "0 seconds", max_files=1)
+    assert live.select("batch_id").distinct().count() > 1
+    batch = zones.intrabar_entries(inputs.ticks, inputs.zoned_context)
+    assert sorted(map(str, live.select(batch.columns).collect())) == sorted(map(str, batch.collect()))
+
+
+def test_an_entry_is_raised_once_by_the_forming_bar(spark, tmp_path):
+    folder = str(tmp_path / "feed")
+    sheets = make_sheets(spark, {"g1p": 19100.0, "g2p": 19102.0})
+    minute = dt.timedelta(minutes=1)
+    columns = ["ts", "side", "event_id", "px"]
+
+    def run(*ticks):
+        write_events(spark, ticks, folder)
+        return sorted(tuple(r) for r in entered(spark, folder, sheets, tmp_path, "2 hours").select(columns).collect())
+
+    first = (at(DAY, 10), "below", 2, 19100.0)
+    assert run((at(DAY, 9), 1, 19000), (at(DAY, 10), 2, 19100)) == [first]
+    # The bar enters again and closes outside; a tick older than the bars kept changes nothing.
+    assert run((at(DAY, 10) + minute, 3, 19000), (at(DAY, 10) + 2 * minute, 4, 19101)) == [first]
+    again = (at(DAY, 12), "below", 6, 19101.0)
+    assert run((at(DAY, 11), 5, 19000), (at(DAY, 12), 6, 19101), (at(DAY, 8), 7, 19101)) == [first, again]
