@@ -34,9 +34,9 @@ def near_in_groups(rows: DataFrame, limit: int, *, forest: bool) -> DataFrame:
             starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             ends = np.r_[starts[1:], len(key)]
             indexed = np.add.reduceat((role == 0).astype(np.int64), starts)
-            probes = ends - starts - indexed
-            # Alone with its own probes, an entry has no partner.
-            busy = (indexed > 1) | ((indexed == 1) & (probes > 0))
+            others = np.add.reduceat((ids != np.repeat(ids[starts], ends - starts)).astype(np.int64), starts)
+            # Alone with its own probes and copies, an entry has no partner.
+            busy = (indexed > 0) & (others > 0)
             busy[0] = busy[-1] = True
             found: list[tuple[np.ndarray, np.ndarray]] = []
             for s in np.flatnonzero(busy).tolist():
