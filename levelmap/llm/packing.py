@@ -7,17 +7,18 @@ neighbours on the curve share sequences, and are laid end to end into sequences
 
 from __future__ import annotations
 
-import os
+import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pyarrow as pa
 import public_tokenizers
-import regex
+import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from levelmap.llm.common import keep, text_of
 
@@ -27,22 +28,39 @@ END = 1
 BUCKETS, DIMS, BITS = 4096, 4, 12
 
 
-class WordIds(dict):
-    """Ids, as two-byte numbers, of the words into which the tokenizer first splits a text; each
-    word is encoded by itself. The memo is emptied when it holds `most`, which only costs time."""
+def encoder(path: str) -> Callable[[str], np.ndarray]:
+    """From a text to its ids as `tokenizers` gives them for the file at `path`, without special tokens.
 
-    def __init__(self, tokenizer, most: int = 600_000):
-        self.tokenizer, self.most = tokenizer, most
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
-
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        words = [self.split(t) for t in texts]
-        if len(self) > self.most:
-            self.clear()
-        unseen = list(set().union(*words).difference(self))
-        encoded = self.tokenizer.encode_batch(unseen, add_special_tokens=False)
-        self.update((w, np.array(e.ids, "<u2").tobytes()) for w, e in zip(unseen, encoded, strict=True))
-        return [np.frombuffer(b"".join(map(self.__getitem__, w)), "<u2") for w in words]
+    Where the file is plain byte-level BPE with its merges in the order of their ids, these ids are
+    ranks, and `tiktoken` finds the same ids from the file's vocabulary in less than half the time.
+    Any other file is left to `tokenizers`.
+    """
+    model = Tokenizer.from_file(path)
+    model.encode_special_tokens = True  # their strings in a text are ordinary text
+    if model.get_vocab_size() > 1 << 16:
+        raise ValueError("two bytes an id are too few for this vocabulary")
+    ranks = _ranks(json.loads(model.to_str()))
+    if ranks:
+        ranked = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        return lambda text: ranked.encode_to_numpy(text, disallowed_special=()).astype("<u2")
+    return lambda text: np.array(model.encode(text, add_special_tokens=False).ids, "<u2")
+
+
+def _ranks(file: dict) -> dict[bytes, int] | None:
+    """Byte strings of the ids of a byte-level BPE file; None if ids are not ranks of merges there."""
+    bpe, split = file["model"], file["pre_tokenizer"] or {}
+    plain = bpe["type"] == "BPE" and not file["normalizer"] and split.get("type") == "ByteLevel"
+    odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges")
+    if not plain or split["add_prefix_space"] or not split["use_regex"] or any(bpe.get(k) for k in odd):
+        return None
+    merged = [bpe["vocab"]["".join(m)] for m in bpe["merges"]]
+    if merged != list(range(256, len(bpe["vocab"]))):
+        return None
+    # The format writes visible bytes as themselves and the others, in order, as characters from 256 on.
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [x for x in range(256) if x not in visible]
+    byte_of = {chr(x): x for x in visible} | {chr(256 + n): x for n, x in enumerate(hidden)}
+    return {bytes(map(byte_of.__getitem__, word)): n for word, n in bpe["vocab"].items()}
 
 
 def _hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -88,18 +106,11 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
     """(doc_id, place, n, ids binary of two-byte ids, the closing id included) for every row."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        model = Tokenizer.from_file(tokenizer)
-        model.encode_special_tokens = True  # their strings in a text are ordinary text
-        if model.get_vocab_size() > 1 << 16:
-            raise ValueError("two bytes an id are too few for this vocabulary")
-        memo, close = WordIds(model), np.array([end], "<u2")
+        encode, close = encoder(tokenizer), np.array([end], "<u2")
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                ids = memo.ids(part.column(1).to_pylist())
+                ids = [encode(t) for t in part.column(1).to_pylist()]
                 whole = [np.r_[x, close] for x in ids]
                 yield pa.RecordBatch.from_arrays(
                     [

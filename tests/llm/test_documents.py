@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import random
 import zlib
 from itertools import product
@@ -337,6 +338,20 @@ def test_packing_holds_every_id_once(spark, odd, empty):
     assert packing.sequences(empty).count() == 0
 
 
+@pytest.mark.parametrize("name, ranked", [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
+def test_ids_are_those_of_the_tokenizer(name, ranked):
+    model = Tokenizer.from_file(public_tokenizers.path(name))
+    model.encode_special_tokens = True
+    assert bool(packing._ranks(json.loads(model.to_str()))) is ranked
+    rng = random.Random(5)
+    pieces = ["'s", "don't", " ", "  ", "\n", "\u3000", "12", "é", "漢字", "\U0001f600", "<|endoftext|>", "--", "Word", "\x00"]
+    texts = ["", LONG, " " * 100_000, "a" * 100_000] + ["".join(rng.choices(pieces, k=40)) for _ in range(300)]
+    texts += [f"a{chr(c)}{chr(c)}1 {chr(c)}" for c in range(0, 0x11_0000, 7) if not 0xD800 <= c < 0xE000]
+    encode = packing.encoder(public_tokenizers.path(name))
+    for text, right in zip(texts, model.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert encode(text).tolist() == right.ids
+
+
 def test_hilbert_places_are_a_walk_through_all_cells():
     bits = 2
     cells = np.array(list(product(range(4), repeat=packing.DIMS)))
