@@ -14,12 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from levelmap.llm.common import keep, text_bytes, text_of
 from levelmap.llm.groups import components, near_in_groups
+from levelmap.llm.overlap import near_copies, shingle_hashes
 
 SHINGLE = 3
 DISTANCE = 3
@@ -31,16 +31,9 @@ def fingerprint(text: bytes, words_in_shingle: int = SHINGLE) -> int:
 
     A-Z are lower-cased and words are what ASCII white space separates, as bytes methods do.
     """
-    words = text.lower().split()
-    if not words:
+    hashes = shingle_hashes(text, words_in_shingle)
+    if not len(hashes):
         return 0
-    line = b" ".join(words)
-    k = min(words_in_shingle, len(words))
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.r_[0, ends[:-1] + 1]
-    digest, seed = xxhash.xxh64_intdigest, 42
-    spans = zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)
-    hashes = np.fromiter((digest(line[a:b], seed) for a, b in spans), np.uint64, len(words) - k + 1)
     set_in = np.zeros(64, np.int64)
     for at in range(0, len(hashes), CHUNK):
         part = hashes[at : at + CHUNK].astype(">u8").view(np.uint8)
@@ -108,15 +101,18 @@ def near_duplicates(docs: DataFrame, *, words_in_shingle: int = SHINGLE, distanc
     )
 
 
-def representatives(docs: DataFrame, **options) -> DataFrame:
+def representatives(docs: DataFrame, *, least: tuple[int, int] | None = None, **options) -> DataFrame:
     """`docs` with one document of each component: that of the smallest doc_id, with the same columns.
 
+    Components are those of near fingerprints or, where `least` is given as numerator and denominator,
+    of that Jaccard similarity or more between sets of shingles, which 64 bits cannot find (`near_copies`).
     Rows that repeat a doc_id are one document, of which the smallest text stays. Rows without a
     doc_id are told apart by their texts and stay only where their component has no id.
     """
     unnamed = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
     keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), unnamed))
-    found = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), **options)
+    texts = keyed.select(F.col("_key").alias("doc_id"), "text")
+    found = near_copies(texts, least=least, **options) if least else near_duplicates(texts, **options)
     kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
     rows = keyed.join(kept, "_key", "left_semi").groupBy("_key")
     return rows.agg(F.min_by(F.struct(*docs.columns), text_of()).alias("_row")).select("_row.*")

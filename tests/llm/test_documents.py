@@ -266,6 +266,48 @@ def test_representatives(odd, empty):
     assert simhash.representatives(empty).count() == 0
 
 
+def _shingles(text: str) -> frozenset:
+    words = text.encode().lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def test_near_duplicate_stage_against_all_pairs(spark):
+    """Edited copies, a shared passage, a group of copies and tiny texts: what stays is what brute force keeps."""
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    passage = rng.choices(words, k=40)
+    texts = []
+    for _ in range(60):
+        base = rng.choices(words, k=rng.randint(30, 300))
+        texts.append(base)
+        for edits in range(1, 6):
+            texts.append([rng.choice(words) if rng.random() < edits / 100 else w for w in base])
+    texts += [passage + rng.choices(words, k=rng.randint(5, 60)) for _ in range(60)]
+    group = rng.choices(words, k=120)
+    for _ in range(80):
+        at = rng.randrange(120)
+        texts.append(group[:at] + [rng.choice(words)] + group[at + 1 :])
+    texts += [words[:n] for n in (0, 0, 1, 1, 4, 5, 6, 7)]
+    rows = list(enumerate(map(" ".join, texts)))
+    rng.shuffle(rows)
+    sets = {i: _shingles(t) for i, t in rows}
+    ids = sorted(sets)
+    pairs = [
+        (a, b) for k, a in enumerate(ids) for b in ids[:k]
+        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    ]
+    far = [(a, b) for a, b in pairs if (_plain_bits(sets[a]) ^ _plain_bits(sets[b])).bit_count() > simhash.DISTANCE]
+    assert len(far) > 50  # what fingerprints within 3 bits do not link
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()
+    assert sorted(r.doc_id for r in got) == sorted(set(_roots(ids, pairs).values()))
+
+
+def _plain_bits(shingles) -> int:
+    hashes = [xxhash.xxh64_intdigest(b" ".join(s), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
 def test_components_of_a_chain_and_a_star(spark):
     rng = random.Random(3)
     names = [rng.getrandbits(60) for _ in range(400)]
