@@ -199,6 +199,28 @@ def test_line_links_against_all_pairs(spark):
         assert [first[roots[name(own[no])]] for no in r.line_nos] == list(zip(r.class_docs, r.class_lines, strict=True))
 
 
+def test_short_lines_are_classed_by_equality(spark):
+    rng = random.Random(11)
+    stock = ["Read more", "}", "Share this page", "a b c d e f g h i", "a b c d e f g h j", " Read more", "", "  \t "]
+    texts = ["\n".join(rng.choice([*stock, f"only here {i} {k}"]) for k in range(8)) for i in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    first, count, want, left = {}, {}, {}, {}
+    for i, text in enumerate(texts):
+        own = text.split("\n")
+        for no, x in enumerate(own):
+            count[x] = count.get(x, 0) + 1
+            first.setdefault(x, (i, no))
+        gone = [no for no, x in enumerate(own) if x.strip() and first[x] != (i, no)]
+        want[i], left[i] = gone, "\n".join(x for no, x in enumerate(own) if no not in gone)
+    assert sum(map(len, want.values())) > 50
+    for r in lines.line_classes(docs).collect():
+        own = texts[r.doc_id].split("\n")
+        assert r.removed == want[r.doc_id] and r.links == 0
+        assert r.line_nos == [no for no, x in enumerate(own) if x.strip() and count[x] > 1]
+        assert list(zip(r.class_docs, r.class_lines, strict=True)) == [first[own[no]] for no in r.line_nos]
+    assert {r.doc_id: r.text for r in lines.without_repeats(docs).collect()} == left
+
+
 def test_line_dedup_of_odd_rows(odd, empty):
     assert lines.line_classes(odd).count() == len(ODD)
     clean = lines.without_repeats(odd)
