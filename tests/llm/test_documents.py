@@ -160,6 +160,16 @@ def test_classifiers_without_labels_and_odd_rows(spark, odd, empty, operator, ba
     assert operator.scores(empty, _labels(spark)).count() == 0
 
 
+def test_toxicity_counts_all_rows_but_those_for_the_curve(spark, monkeypatch):
+    docs, labels = _trained(spark)
+    counted, real = [], toxicity.pair_counts
+    monkeypatch.setattr(toxicity, "CALIBRATION_ROWS", 20)
+    monkeypatch.setattr(toxicity, "pair_counts", lambda learning, subs: counted.append(learning.count()) or real(learning, subs))
+    toxicity.fitted(docs, labels)
+    learning = sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(1200))
+    assert learning - 45 <= counted[0] < learning
+
+
 # ---- lines -------------------------------------------------------------------------------
 
 
