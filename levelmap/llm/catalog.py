@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from levelmap.llm import lines, mincut, mixture, packing, quality, simhash, topk, toxicity, urlrules, video
+from levelmap.llm import lines, mincut, mixture, packing, quality, simhash, topk, toxicity, urlrules, video, winnow
 from levelmap.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,11 +52,16 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(read(spark, sf_dir, "pages"))
 
 
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnow.digests(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_video, op2_quality, op3_line_dedup, op4_simhash, op5_main_text,
         op6_toxicity, op7_packing, op8_topk, op9_mixture, op10_url_filter,
+        op12_decontaminate,
     )
 }
 
@@ -73,4 +78,8 @@ from (select *, row_number() over (partition by query_id order by score desc, ve
 where rank <= {topk.TOP}
 """
 
-ORACLE_SQL = {"op8_topk": TOPK_SQL, "op9_mixture": mixture.MIX_SQL.format(documents="documents")}
+ORACLE_SQL = {
+    "op8_topk": TOPK_SQL,
+    "op9_mixture": mixture.MIX_SQL.format(documents="documents"),
+    "op12_decontaminate": winnow.LEAKS_SQL,
+}
