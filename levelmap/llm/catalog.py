@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from levelmap.llm import lines, mincut, mixture, packing, quality, simhash, topk, toxicity, urlrules, video, winnow
+from levelmap.llm import (
+    covertree, lines, mincut, mixture, packing, quality, simhash, threshold, topk, toxicity, urlrules, video, winnow,
+)
 from levelmap.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,16 +54,24 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(read(spark, sf_dir, "pages"))
 
 
+def op11_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threshold.clusters(read(spark, sf_dir, "embeddings"))
+
+
 def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnow.digests(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.digests(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_video, op2_quality, op3_line_dedup, op4_simhash, op5_main_text,
         op6_toxicity, op7_packing, op8_topk, op9_mixture, op10_url_filter,
-        op12_decontaminate,
+        op11_clusters, op12_decontaminate, op13_codes,
     )
 }
 
@@ -81,5 +91,7 @@ where rank <= {topk.TOP}
 ORACLE_SQL = {
     "op8_topk": TOPK_SQL,
     "op9_mixture": mixture.MIX_SQL.format(documents="documents"),
+    "op11_clusters": threshold.CLUSTERS_SQL,
     "op12_decontaminate": winnow.LEAKS_SQL,
+    "op13_codes": covertree.CODES_SQL,
 }

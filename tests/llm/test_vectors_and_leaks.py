@@ -1,0 +1,254 @@
+"""Clusters, codes and benchmark passages against brute force and SQL, and their results for odd rows."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import os
+import random
+import re
+import sys
+
+import numpy as np
+import pytest
+
+sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), "tools"))
+
+from check import compare, connect  # noqa: E402
+
+from levelmap.llm import catalog, covertree, threshold, winnow  # noqa: E402
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.mark.parametrize("name", ["op11_clusters", "op12_decontaminate", "op13_codes"])
+def test_query_matches_sql(spark, name):
+    ok, note = compare(spark, connect(SF), SF, name, catalog.QUERIES[name], catalog.ORACLE_SQL[name])
+    assert ok, note
+
+
+# ---- benchmark passages ------------------------------------------------------------------
+
+ITEMS = "item_id long, text string, row int, n int"
+DOCS = "doc_id long, text string, row string, found int, spans string, set_id int, owners int"
+
+
+def _words(text):
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower)
+
+
+def _hits(docs, items):
+    windows = []
+    for item, text, *_ in items:
+        w = _words(text)
+        n = min(len(w), winnow.WINDOW)
+        windows += [(w[i : i + n], "" if item is None else str(item)) for i in range(len(w) - n + 1) if n]
+    out = []
+    for doc, text, *_ in docs:
+        w, hit, ids = _words(text), set(), set()
+        for window, item in windows:
+            for i in range(len(w) - len(window) + 1):
+                if w[i : i + len(window)] == window:
+                    hit |= set(range(i, i + len(window)))
+                    ids.add(item)
+        sha = hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
+        out.append((doc, len(w), len(hit), len(ids), sha, bool(hit)))
+    return sorted(out, key=repr)
+
+
+def _check_leaks(spark, docs, items):
+    docs = [(*d, "x", 1, "y", 2, 3)[:7] for d in docs]
+    items = [(*i, 1, 2)[:4] for i in items]
+    got = winnow.digests(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    want = _hits(docs, items)
+    assert sorted((tuple(r) for r in got), key=repr) == want
+    return want
+
+
+def test_leaks_against_brute_force(spark):
+    rng = random.Random(5)
+    vocabulary = ["a", "b", "Ab", "ß", "é1", "zz", "漢字"]
+
+    def text(most):
+        return "".join(rng.choice(vocabulary) + rng.choice([" ", ", ", "\n", "-", "\x00", "`"]) for _ in range(rng.randint(0, most)))
+
+    items = [(i % 7, text(18)) for i in range(12)]
+    docs = [(i, text(60) + rng.choice(items)[1].upper() + text(30)) for i in range(60)]
+    want = _check_leaks(spark, docs, items)
+    assert 0 < sum(r[5] for r in want)
+
+
+def test_leaks_of_odd_rows(spark):
+    whole = " ".join(f"w{i}" for i in range(25))
+    items = [(1, whole), (1, whole), (2, "w3 " * 3), (None, " ".join(f"w{i}" for i in range(4, 20))), (3, None), (4, ""), (5, "..."), (6, "Einzig")]
+    docs = [
+        (1, whole), (1, whole), (2, None), (3, ""), (4, " \n"), (None, whole.upper()), (5, "w3 w3 w3"), (6, "einzig"),
+        (7, "x " * 30_000 + whole + " y" * 30_000), (8, " ".join(f"w{i}" for i in range(9))), (9, "einzig " * 5000), (10, "q" * 300_000 + " " + whole),
+    ]
+    _check_leaks(spark, docs, items)
+    _check_leaks(spark, docs, [])
+    _check_leaks(spark, [], items)
+
+
+def test_spans_and_items(spark):
+    passage = " ".join(f"p{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"a b {passage} c {passage}"), (2, "none")], "doc_id long, text string")
+    items = spark.createDataFrame([(10, passage), (9, passage + " end")], "item_id long, text string")
+    documents, sets = winnow.leaks(docs, items)
+    rows = {r.doc_id: r for r in documents.collect()}
+    assert [tuple(s) for s in rows[1].spans] == [(2, 14), (15, 27)] and rows[1].n_hit == 24
+    assert rows[2].spans == [] and rows[2].set_id is None
+    assert [(r.set_id, r["items"]) for r in sets.collect()] == [(rows[1].set_id, ["10", "9"])]
+
+
+def test_equal_windows_share_their_fingerprint():
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("abc") for _ in range(40)).encode() for _ in range(20)]
+    bounds = np.cumsum([0, *map(len, texts)])
+    words = winnow.Words(np.frombuffer(b"".join(texts), np.uint8), bounds)
+    at, prints = words.windows(winnow.WINDOW, winnow.GRAM)
+    assert len(at) == 20 * 31
+    seen = {}
+    for a, p in zip(at.tolist(), prints.tolist()):
+        assert seen.setdefault(words.identity(a, winnow.WINDOW), p) == p
+
+
+# ---- clusters ----------------------------------------------------------------------------
+
+VECTORS = "vec_id long, embedding array<float>, label int, v int, cluster string, chunk string"
+
+
+def _vectors(spark, rows):
+    return spark.createDataFrame([(*r, 1, "x", "y")[:6] for r in rows], VECTORS)
+
+
+def _whole(vector, scale):
+    return [math.floor(scale * float(np.float32(x))) for x in vector]
+
+
+def _fine(vector):
+    return vector is not None and all(x is not None and math.isfinite(x) for x in vector)
+
+
+def _far(a, b):
+    return sum((x - y) ** 2 for x, y in zip(a, b))
+
+
+def _long(x):
+    return x if x < 1 << 63 else None
+
+
+def _clusters(rows):
+    kept = [(r[0], _whole(r[1], threshold.SCALE)) for r in rows if _fine(r[1]) and len(r[1]) == threshold.WIDTH]
+    hashed = sorted(kept, key=lambda r: (r[0] is None, hashlib.sha256(f"1:{r[0]}".encode()).hexdigest(), r[1]))
+    centroids = [v for _, v in hashed[: threshold.CLUSTERS]]
+    for last in (False, False, False, True):
+        own = [min(range(len(centroids)), key=lambda c: (_far(v, centroids[c]), c)) for _, v in kept]
+        for c in range(0 if last else len(centroids)):
+            mine = [v for (_, v), o in zip(kept, own) if o == c]
+            if mine:
+                centroids[c] = [sum(x) // len(mine) for x in zip(*mine)]
+    far = [_far(v, centroids[o]) for (_, v), o in zip(kept, own)]
+    of = {c: sum(f for f, o in zip(far, own) if o == c) for c in own}
+    large = {o for f, o in zip(far, own) if f >= 1 << 63}
+    names = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids]
+    return [
+        (i, o, _long(f), None if o in large else of[o], None if large else sum(far), names[o])
+        for (i, _), o, f in zip(kept, own, far)
+    ]
+
+
+def _random_vectors(rng, n, spread=0.15):
+    return [(i, [rng.gauss(0, spread) for _ in range(64)], rng.choice([1, 2, None])) for i in range(n)]
+
+
+def _check_clusters(spark, rows):
+    got = [tuple(r) for r in threshold.clusters(_vectors(spark, rows)).collect()]
+    assert sorted(got, key=repr) == sorted(_clusters(rows), key=repr)
+
+
+def test_clusters_against_brute_force(spark):
+    rng = random.Random(3)
+    # Coarse components make many equal distances and repeated vectors.
+    coarse = [(i, [rng.choice([0.0, 1 / 64]) if d < 3 else 0.0 for d in range(64)], 1) for i in range(60)]
+    _check_clusters(spark, coarse)
+    _check_clusters(spark, _random_vectors(rng, 150) + [(5, [0.5] * 64, 1)] * 40)
+
+
+def test_clusters_of_odd_rows(spark):
+    rng = random.Random(4)
+    rows = _random_vectors(rng, 20)
+    odd = [
+        (100, None, 1), (101, [], 1), (102, [0.1] * 63, 1), (103, [0.1] * 65, 1), (104, [float("nan")] * 64, 1),
+        (105, [None] + [0.1] * 63, 1), (106, [float("inf")] + [0.1] * 63, 1), (None, [0.2] * 64, 1), rows[0], rows[0],
+    ]
+    _check_clusters(spark, rows + odd)
+    _check_clusters(spark, rows[:3])
+    _check_clusters(spark, [])
+    _check_clusters(spark, odd[:7])
+    _check_clusters(spark, rows + [(200, [2.0**40] + [0.0] * 63, 1), (201, [-(2.0**50)] * 64, 1), (202, [2.0**30] * 64, 1)])
+
+
+# ---- codes -------------------------------------------------------------------------------
+
+
+def _codes(rows):
+    kept = [(r[0], r[2], _whole(r[1], covertree.SCALE)) for r in rows if _fine(r[1])]
+    width = -(-max((len(v) for _, _, v in kept), default=0) // covertree.PARTS) * covertree.PARTS
+    step = width // covertree.PARTS
+    kept = [(i, label, v + [0] * (width - len(v))) for i, label, v in kept]
+    cut = [[v[p * step : (p + 1) * step] for p in range(covertree.PARTS)] for _, _, v in kept]
+    first = sorted(range(len(kept)), key=lambda r: (kept[r][0] is None, kept[r][0] or 0, kept[r][2]))[: covertree.ENTRIES]
+    books = [[cut[r][p] for r in first] for p in range(covertree.PARTS)]
+    for last in (False, False, True):
+        own = [[min(range(len(b)), key=lambda e: (_far(c[p], b[e]), e)) for p, b in enumerate(books)] for c in cut]
+        for p, book in enumerate(books):
+            for e in range(0 if last else len(book)):
+                mine = [c[p] for c, o in zip(cut, own) if o[p] == e]
+                if mine:
+                    book[e] = [sum(x) // len(mine) for x in zip(*mine)]
+    errors = [sum(_far(c[p], books[p][o[p]]) for p in range(covertree.PARTS)) for c, o in zip(cut, own)]
+    name = hashlib.sha256(",".join(str(x) for book in books for e in book for x in e).encode()).hexdigest()
+    out = []
+    for (i, label, _), o, error in zip(kept, own, errors):
+        of = [f for (_, other, _), f in zip(kept, errors) if other == label]
+        out.append((i, "".join(f"{e:02x}" for e in o), _long(error), sum(of) if all(map(_long, of)) or max(of) < 1 << 63 else None, name))
+    return out
+
+
+def _check_codes(spark, rows):
+    got = [tuple(r) for r in covertree.digests(_vectors(spark, rows)).collect()]
+    assert sorted(got, key=repr) == sorted(_codes(rows), key=repr)
+
+
+def test_codes_against_brute_force(spark):
+    rng = random.Random(6)
+    _check_codes(spark, _random_vectors(rng, 220) + [(3, [0.25] * 64, 1)] * 50)
+    _check_codes(spark, [(i, [rng.choice([0.0, 1 / 256]) for _ in range(64)], None) for i in range(90)])
+
+
+def test_codes_of_odd_rows(spark):
+    rng = random.Random(7)
+    rows = _random_vectors(rng, 30)
+    odd = [
+        (100, None, 1), (101, [], 1), (102, [0.1] * 7, 2), (103, [0.1] * 65, None), (104, [float("nan")] * 64, 1),
+        (105, [None] + [0.1] * 63, 1), (106, [float("inf")] + [0.1] * 63, 1), (None, [0.2] * 64, 1), rows[0], rows[0],
+    ]
+    _check_codes(spark, rows + odd)
+    _check_codes(spark, rows[:2])
+    _check_codes(spark, [])
+    _check_codes(spark, odd[:1] + odd[4:7])
+    _check_codes(spark, [(1, [], 1), (2, [], None)])
+    _check_codes(spark, rows + [(200, [2.0**40] + [0.0] * 63, 1), (201, [2.0**40 + 2.0**30] * 64, 2)])
+
+
+def test_trees_settle_most_nodes_whole():
+    rng = np.random.default_rng(1)
+    centres = rng.integers(-400, 400, (64, 4))
+    points = centres[rng.integers(0, 64, 4096)] + rng.integers(-5, 6, (4096, 4))
+    tree = covertree.build(points)
+    own = points[tree["order"]]
+    found = covertree.Assigned(tree, own, centres)
+    assert (found.entries(len(own)) == covertree.squares(own, centres).argmin(1)).all()
+    assert found.compared < 0.3 * len(own) * len(centres) and found.size.sum() > 0.9 * len(own)
