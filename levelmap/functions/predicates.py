@@ -11,6 +11,11 @@ def is_active(price: Column) -> Column:
     return F.coalesce(F.nanvl(price, F.lit(0.0)), F.lit(0.0)) != 0.0
 
 
+def is_active_sql(price: str) -> str:
+    """``is_active`` as SQL text, for use inside larger expressions."""
+    return f"coalesce(nanvl({price}, 0D), 0D) != 0D"
+
+
 def holds(condition: Column) -> Column:
     """The condition as a strict boolean: unknown counts as false."""
     return F.coalesce(condition, F.lit(False))

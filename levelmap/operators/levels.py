@@ -14,7 +14,7 @@ from levelmap.functions import predicates
 from levelmap.schemas import SHEET_KEYS, SLOTS, Slot
 
 
-def level_array(*fields: str) -> Column:
+def level_array_sql(*fields: str) -> str:
     """All slots of the sheet row as an array of structs in list order, with the fields named."""
 
     def entry(s: Slot) -> str:
@@ -28,7 +28,11 @@ def level_array(*fields: str) -> Column:
         }
         return "struct(" + ", ".join(f"{values[f]} as {f}" for f in fields) + ")"
 
-    return F.expr("array(" + ", ".join(entry(s) for s in SLOTS) + ")")
+    return "array(" + ", ".join(entry(s) for s in SLOTS) + ")"
+
+
+def level_array(*fields: str) -> Column:
+    return F.expr(level_array_sql(*fields))
 
 
 def level_rows(sheets: DataFrame) -> DataFrame:
@@ -40,15 +44,15 @@ def active_levels(sheets: DataFrame) -> DataFrame:
     return level_rows(sheets).filter(predicates.is_active(F.col("price")))
 
 
-def sorted_levels() -> Column:
+def sorted_levels_sql() -> str:
     """The sheet row's active levels by price; equal prices stay in list order."""
-    active = F.filter(level_array("price", "slot", "source"), lambda v: predicates.is_active(v["price"]))
-    return F.sort_array(active)
+    levels = level_array_sql("price", "slot", "source")
+    return f"sort_array(filter({levels}, v -> {predicates.is_active_sql('v.price')}))"
 
 
 def level_order(sheets: DataFrame) -> DataFrame:
     """Active levels with their 1-based position by (price, slot) within the sheet."""
-    ordered = sheets.select(*SHEET_KEYS, F.posexplode_outer(sorted_levels()).alias("i", "v"))
+    ordered = sheets.select(*SHEET_KEYS, F.posexplode_outer(F.expr(sorted_levels_sql())).alias("i", "v"))
     return ordered.filter("i is not null").select(
         *SHEET_KEYS, (F.col("i") + 1).alias("pos"), "v.slot", "v.source", "v.price"
     )

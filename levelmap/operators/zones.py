@@ -6,19 +6,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from levelmap.functions import zones
-from levelmap.operators.levels import sorted_levels
+from levelmap.operators.levels import sorted_levels_sql
 from levelmap.schemas import SHEET_KEYS
 from levelmap.sources.ticks import first_ticks_by_price
 
 
 def with_zones(sheets: DataFrame) -> DataFrame:
     """Adds the sheet's zones as an array of structs (at most 12, as 25 levels pair up)."""
-    return (
-        sheets.withColumn("_levels", sorted_levels())
-        .withColumn("_anchors", zones.zone_anchors("_levels"))
-        .withColumn("zones", zones.zone_array("_levels", "_anchors"))
-        .drop("_levels", "_anchors")
-    )
+    return sheets.withColumn("zones", zones.zone_array(sorted_levels_sql()))
 
 
 def each_zone(zoned: DataFrame, *keep: str) -> DataFrame:
@@ -118,14 +113,22 @@ def intrabar_entries(
     a crowded bar shuffles its distinct prices and not its ticks. Interval and time zone
     are those of the bars.
     """
-    seen = first_ticks_by_price(ticks, interval, tz).withColumnRenamed("bar", "ts")
+    seen = first_ticks_by_price(ticks, interval, tz)
+    return entries_of_first_ticks(seen, context, "symbol", "ts")
+
+
+def entries_of_first_ticks(seen: DataFrame, context: DataFrame, *keys: str) -> DataFrame:
+    """``intrabar_entries`` from the first tick of each price in each bar, joined on ``keys``.
+
+    With the session among the keys, rows that come spread by it stay where they are.
+    """
     outside = F.when(F.col("prev_close") < F.col("bot"), "below").when(F.col("prev_close") > F.col("top"), "above")
     bands = (
         each_zone(context, *SHEET_KEYS, "ts", "prev_close")
         .select(*SHEET_KEYS, "ts", outside.alias("side"), "bot", "top")
         .filter("side is not null")
     )
-    hits = bands.join(seen, ["symbol", "ts"]).filter("px between bot and top")
+    hits = bands.join(seen.withColumnRenamed("bar", "ts"), list(keys)).filter("px between bot and top")
     first = hits.groupBy(*SHEET_KEYS, "ts", "side").agg(
         F.min("tick").alias("tick"), F.min_by("px", "tick").alias("px")
     )

@@ -17,9 +17,9 @@ from pyspark.sql.streaming import StreamingQuery
 from levelmap.functions import regime
 from levelmap.operators import alerts, joins, levels, nodes, pin, sessions, snapshot, zones
 from levelmap.schemas import BAR_SCHEMA
-from levelmap.sources.sheets import sheets_from_ticks, stored_sheets, with_defaults
+from levelmap.sources.sheets import sheets_from_histogram, sheets_from_ticks, stored_sheets, with_defaults
 from levelmap.sources.sinks import write_by_session
-from levelmap.sources.ticks import bars, read_ticks
+from levelmap.sources.ticks import bars, bars_of_cells, first_ticks_of_cells, histogram_of_cells, price_cells, read_ticks
 from levelmap.streaming import bars as stream
 from levelmap.streaming import entries, sinks
 
@@ -291,7 +291,11 @@ def zone_entry_any(i: Inputs) -> DataFrame:
 
 @_query
 def zone_entry_intrabar(i: Inputs) -> DataFrame:
-    return zones.intrabar_entries(i.ticks, i.zoned_context)
+    # Bars, sheets and entries all come from one reduction of the ticks.
+    cells = price_cells(i.ticks)
+    sheets = zones.with_zones(with_defaults(sheets_from_histogram(histogram_of_cells(cells))))
+    context = joins.by_session(sessions.bar_context(bars_of_cells(cells)), sheets)
+    return zones.entries_of_first_ticks(first_ticks_of_cells(cells), context, "symbol", "session_date", "ts")
 
 
 @_query

@@ -164,6 +164,76 @@ def first_ticks_by_price(
     return spans.groupBy("symbol", "bar", "px").agg(F.min(F.struct("ts", "event_id")).alias("tick"))
 
 
+def price_cells(ticks: DataFrame, interval: str = "1 hour", tz: str = "UTC") -> DataFrame:
+    """Ticks reduced once for all that is made of them: (symbol, session_date, px, cell), one row per price and
+    bar (and block of ids), spread by session as bars are.
+
+    ``cell`` holds the bar's start, time and id of the first and of the last tick at that price, and the
+    number of ticks, times in microseconds. As one array it stays whole through the planner, which else
+    drops a field for one use and another for the next: this way all uses share one scan and one exchange.
+    """
+    if not _in_utc(ticks.sparkSession):
+        raise ValueError("set spark.sql.session.timeZone to UTC: elsewhere wall clocks jump")
+    bits = _id_bits(interval)
+    bar = "unix_micros(timestamp(bar))"
+    if bits:
+        reduced = packed_order(ticks, interval, tz, bits).groupBy("symbol", "bar", "id_block", "px").agg(
+            F.min("tick_key").alias("first"), F.max("tick_key").alias("last"), F.count(F.lit(1)).alias("n")
+        )
+        ends = [
+            part
+            for key in ("first", "last")
+            for part in (f"{bar} + shiftright({key}, {bits})", f"shiftleft(id_block, {bits}) | ({key} & {(1 << bits) - 1})")
+        ]
+    else:
+        pair = F.struct(F.expr("unix_micros(timestamp(ts))").alias("ts"), F.col("event_id").alias("id"))
+        reduced = ticks.withColumn("bar", bar_start(interval, tz)).groupBy("symbol", "bar", "px").agg(
+            F.min(pair).alias("first"), F.max(pair).alias("last"), F.count(F.lit(1)).alias("n")
+        )
+        ends = ["first.ts", "first.id", "last.ts", "last.id"]
+    cells = reduced.select(
+        "symbol", session_day(F.col("bar"), tz).alias("session_date"), "px", F.expr(f"array({bar}, {', '.join(ends)}, n)").alias("cell")
+    )
+    # All tests for null that joins add to one of the uses are said here, for all of them.
+    said = " and ".join(f"{c} is not null" for c in ("session_date", "date_add(session_date, 1)", "px", _moment(0)))
+    return cells.filter(said).repartition("symbol", "session_date")
+
+
+def _moment(at: int) -> str:
+    return f"cast(timestamp_micros(cell[{at}]) as timestamp_ntz)"
+
+
+def _place(at: int) -> str:
+    """Time and id of a cell's tick as one number of fixed width, which sorts like the pair."""
+    return f"cast(cell[{at}] as decimal(20)) * 18446744073709551616 + cast(cell[{at + 1}] as decimal(20))"
+
+
+def bars_of_cells(cells: DataFrame) -> DataFrame:
+    """``bars`` of the ticks that the cells came from."""
+    parts = cells.selectExpr(
+        "symbol", "session_date", "px", f"{_moment(0)} as ts", f"{_place(1)} as first", f"{_place(3)} as last", "cell[5] as n"
+    )
+    return parts.groupBy("symbol", "session_date", "ts").agg(
+        F.min_by("px", "first").alias("open"),
+        F.max("px").alias("high"),
+        F.min("px").alias("low"),
+        F.max_by("px", "last").alias("close"),
+        F.sum("n").alias("ticks"),
+    )
+
+
+def first_ticks_of_cells(cells: DataFrame) -> DataFrame:
+    """``first_ticks_by_price`` of the ticks that the cells came from, with their session."""
+    return cells.selectExpr(
+        "symbol", "session_date", f"{_moment(0)} as bar", "px", f"struct({_moment(1)} as ts, cell[2] as event_id) as tick"
+    )
+
+
+def histogram_of_cells(cells: DataFrame) -> DataFrame:
+    """Number of ticks at each price of a session."""
+    return cells.groupBy("symbol", F.col("session_date").alias("day"), "px").agg(F.sum(F.col("cell")[5]).alias("weight"))
+
+
 def _in_utc(spark: SparkSession) -> bool:
     """Offsets are exact only where wall clocks never jump."""
     return spark.conf.get("spark.sql.session.timeZone") in _UTC_NAMES

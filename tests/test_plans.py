@@ -37,12 +37,18 @@ def test_scans_read_only_tick_columns_and_push_filters(plans):
 
 
 def test_ticks_are_scanned_once_per_derived_table(plans):
-    """One scan for bars, one for sheets, one more only where ticks themselves are joined."""
+    """One scan for bars and one for sheets; where ticks themselves are joined, one for all three."""
     for name, plan in plans.items():
-        allowed = 3 if name == "zone_entry_intrabar" else 2
+        allowed = 1 if name == "zone_entry_intrabar" else 2
         assert plan.count("FileScan parquet") <= allowed, name
 
 
+def test_sheets_rank_prices_within_ranges_only(plans):
+    for name in ("sheet_defaults", "zone_entry_intrabar"):
+        frames = re.findall(r"Window \[sum\(weight#\d+L?\)[^\n]*?windowspecdefinition\(([^)]*?) ASC", plans[name])
+        assert frames and all("range#" in f for f in frames), (name, frames)
+
+
 def test_bars_history_shares_one_scan_and_one_spread(plans):
     plan = plans["prev_close"]
     assert plan.count("FileScan parquet") == 1 and "ReusedExchange" in plan

@@ -17,7 +17,7 @@ from levelmap.functions import zones as zone_rules
 from levelmap.operators import alerts, joins, levels, nodes, pin, sessions, snapshot, zones
 from levelmap.schemas import SLOTS, Params, sheet_defaults
 from levelmap.sources import ticks as tick_source
-from levelmap.sources.sheets import read_sheets
+from levelmap.sources.sheets import read_sheets, sheets_from_histogram, sheets_from_ticks
 
 NEXT = DAY + dt.timedelta(days=1)
 
@@ -544,3 +544,29 @@ def test_the_latest_version_of_a_sheet_wins(spark, tmp_path):
     assert [r.g1p for r in read_sheets(spark, path).collect()] == [2.0]
     spark.createDataFrame([r[:3] for r in rows], "symbol string, session_date date, g1p double").write.parquet(path + "2")
     assert [r.g1p for r in read_sheets(spark, path + "2").collect()] == [9.0]
+
+
+def test_sheets_of_a_day_of_off_grid_prices(spark):
+    """More prices than a window should hold, most in one range: the ranks are those of the sorted ticks."""
+    rng = random.Random(8)
+    prices = [19000 + rng.random() * 10 for _ in range(3000)] + [rng.gauss(19000, 4000) for _ in range(2000)] + [19003.5] * 500
+    ticks = make_ticks(spark, [(at(DAY, 1 + i % 20), i, px) for i, px in enumerate(prices)])
+    got = sheets_from_ticks(ticks).collect()
+    cells = sheets_from_histogram(tick_source.histogram_of_cells(tick_source.price_cells(ticks))).collect()
+    assert len(got) == 1 and got == cells
+    ordered, day = sorted(prices), DAY + dt.timedelta(days=1)
+    for s in SLOTS:
+        k = next(k for k in range(25) if k * 7 % 25 == s.slot)
+        want = None if (day.day + s.slot) % 7 == 0 else ordered[k * len(ordered) // 25]
+        assert got[0][s.price_col] == want
+
+
+@pytest.mark.parametrize("interval", ["5 minutes", "1 hour", "36500 days"])
+def test_cells_hold_what_bars_and_first_ticks_need(spark, interval):
+    ticks = random_ticks(spark)
+    cells = tick_source.price_cells(ticks, interval)
+    order = ["symbol", "session_date", "ts", "open", "high", "low", "close", "ticks"]
+    assert sorted(tick_source.bars_of_cells(cells).select(order).collect()) == sorted(tick_source.bars(ticks, interval).select(order).collect())
+    first = tick_source.first_ticks_by_price(ticks, interval).groupBy("symbol", "bar", "px").agg(F.min("tick").alias("tick"))
+    mine = tick_source.first_ticks_of_cells(cells).groupBy("symbol", "bar", "px").agg(F.min("tick").alias("tick"))
+    assert sorted(mine.collect()) == sorted(first.collect())
