@@ -40,3 +40,30 @@ def alerts(context: DataFrame, brand: str = fixed.DEFAULT_BRAND) -> DataFrame:
     )
     rows = context.select(*SHEET_KEYS, "ts", "close", F.inline(raised)).filter("fired")
     return rows.select(*SHEET_KEYS, "ts", "kind", "bias", "close", "title", "message")
+
+
+def alert_feed(context: DataFrame, entries: DataFrame, brand: str = fixed.DEFAULT_BRAND) -> DataFrame:
+    """The alerts of closed bars and the zone entries of forming ones as one table of events.
+
+    ``entries`` are intrabar entries, at most one for each bar and side; their kinds are those of the
+    entry alerts with INTRABAR before, and they carry the tick that raised them. ``close`` is the price
+    at which an event was raised.
+    """
+    closed = alerts(context, brand).select(
+        *SHEET_KEYS, "ts", "kind", "bias", "close", F.lit(None).cast("timestamp_ntz").alias("tick_ts"),
+        F.lit(None).cast("long").alias("event_id"), "title", "message",
+    )
+    return closed.unionByName(intrabar_events(entries, brand))
+
+
+INTRABAR = "intrabar_"
+
+
+def intrabar_events(entries: DataFrame, brand: str = fixed.DEFAULT_BRAND) -> DataFrame:
+    texts = {kind: (bias, title.format(brand=brand), message.format(brand=brand)) for kind, bias, title, message in fixed.ALERTS}
+    below, above = texts["zone_entry_below"], texts["zone_entry_above"]
+    of_side = [F.when(F.col("side") == "below", low).otherwise(high) for low, high in zip(below, above)]
+    return entries.select(
+        *SHEET_KEYS, "ts", F.concat(F.lit(f"{INTRABAR}zone_entry_"), "side").alias("kind"), of_side[0].alias("bias"),
+        F.col("px").alias("close"), "tick_ts", "event_id", of_side[1].alias("title"), of_side[2].alias("message"),
+    )

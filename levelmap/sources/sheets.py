@@ -13,6 +13,7 @@ from levelmap import fixed
 from levelmap.schemas import SHEET_KEYS, SHEET_SCHEMA, SLOTS, Params, sheet_defaults
 from levelmap.sources.ticks import session_day
 
+ENTERED_SCHEMA = T.StructType([*SHEET_SCHEMA.fields, T.StructField("entered_at", T.TimestampNTZType())])
 _N = len(SLOTS)
 #: Points of a price range whose ticks are summed before any price is ranked.
 _RANGE = 16
@@ -63,8 +64,7 @@ def read_sheets(spark: SparkSession, path: str, params: Params = Params()) -> Da
 
     A corrected sheet is a further row with a later ``entered_at``, a UTC wall-clock time.
     """
-    schema = T.StructType([*SHEET_SCHEMA.fields, T.StructField("entered_at", T.TimestampNTZType())])
-    return with_defaults(latest(spark.read.schema(schema).parquet(path)), params)
+    return with_defaults(latest(spark.read.schema(ENTERED_SCHEMA).parquet(path)), params)
 
 
 def stored_sheets(

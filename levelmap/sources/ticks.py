@@ -76,7 +76,7 @@ def bars(
     one day of bars.
     """
     session = session_day(F.col("bar"), tz).alias("session_date")
-    bits = _id_bits(interval) if sequential_ids and _in_utc(ticks.sparkSession) else None
+    bits = _id_bits(interval) if sequential_ids and in_utc(ticks.sparkSession) else None
     if bits:
         rows, keys, order = packed_order(ticks, interval, tz, bits), ["symbol", "bar", "id_block"], F.col("tick_key")
         first, last = packed_position("first_key", bits), packed_position("last_key", bits)
@@ -153,7 +153,7 @@ def first_ticks_by_price(
     ticks: DataFrame, interval: str = "1 hour", tz: str = "UTC", sequential_ids: bool = True
 ) -> DataFrame:
     """First (ts, event_id) of each price in each bar; several rows per price where ids span blocks."""
-    bits = _id_bits(interval) if sequential_ids and _in_utc(ticks.sparkSession) else None
+    bits = _id_bits(interval) if sequential_ids and in_utc(ticks.sparkSession) else None
     if bits:
         first = packed_order(ticks, interval, tz, bits).groupBy("symbol", "bar", "id_block", "px").agg(
             F.min("tick_key").alias("first_key")
@@ -172,7 +172,7 @@ def price_cells(ticks: DataFrame, interval: str = "1 hour", tz: str = "UTC") ->
     number of ticks, times in microseconds. As one array it stays whole through the planner, which else
     drops a field for one use and another for the next: this way all uses share one scan and one exchange.
     """
-    if not _in_utc(ticks.sparkSession):
+    if not in_utc(ticks.sparkSession):
         raise ValueError("set spark.sql.session.timeZone to UTC: elsewhere wall clocks jump")
     bits = _id_bits(interval)
     bar = "unix_micros(timestamp(bar))"
@@ -234,6 +234,6 @@ def histogram_of_cells(cells: DataFrame) -> DataFrame:
     return cells.groupBy("symbol", F.col("session_date").alias("day"), "px").agg(F.sum(F.col("cell")[5]).alias("weight"))
 
 
-def _in_utc(spark: SparkSession) -> bool:
+def in_utc(spark: SparkSession) -> bool:
     """Offsets are exact only where wall clocks never jump."""
     return spark.conf.get("spark.sql.session.timeZone") in _UTC_NAMES
