@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from levelmap import fixed
 from levelmap.functions import pin, zones
@@ -12,6 +13,12 @@ from levelmap.operators.zones import any_entry
 from levelmap.schemas import SHEET_KEYS
 
 
+ALERT_SCHEMA = T.StructType(
+    [T.StructField("symbol", T.StringType()), T.StructField("session_date", T.DateType()), T.StructField("ts", T.TimestampNTZType())]
+    + [T.StructField(n, T.DoubleType() if n == "close" else T.StringType()) for n in ("kind", "bias", "close", "title", "message")]
+)
+
+
 def alerts(context: DataFrame, brand: str = fixed.DEFAULT_BRAND) -> DataFrame:
     """One row per bar and alert raised, from bar context joined with zoned sheets.
 

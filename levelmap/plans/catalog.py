@@ -352,7 +352,14 @@ def annotations(i: Inputs) -> DataFrame:
 # --- streams, run to the end of the data on disk ------------------------------
 
 
-def _run_out(i: Inputs, df: DataFrame, start: Callable[..., StreamingQuery], sheets: bool = True, **options) -> DataFrame:
+def _run_out(
+    i: Inputs,
+    df: DataFrame,
+    start: Callable[..., StreamingQuery],
+    sheets: bool = True,
+    read: Callable[[str], DataFrame] | None = None,
+    **options,
+) -> DataFrame:
     """Runs a stream to its end, against sheets published beforehand if it takes any."""
     folder = sinks.shared_folder(i.spark)
     options |= {"out": f"{folder}/out", "checkpoint": f"{folder}/cp", "partitions": i.spark.sparkContext.defaultParallelism}
@@ -360,7 +367,7 @@ def _run_out(i: Inputs, df: DataFrame, start: Callable[..., StreamingQuery], she
         write_by_session(sheets_from_ticks(i.ticks), f"{folder}/sheets")
         options["load_sheets"] = stored_sheets(i.spark, f"{folder}/sheets")
     start(df, availableNow=True, **options).awaitTermination()
-    done = i.spark.read.parquet(f"{folder}/out")
+    done = read(f"{folder}/out") if read else i.spark.read.parquet(f"{folder}/out")
     # Streams carry zoned timestamps, batch queries and tables wall-clock ones.
     return done.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
 
@@ -384,7 +391,8 @@ def stream_alerts(i: Inputs) -> DataFrame:
 @_query
 def stream_forming(i: Inputs) -> DataFrame:
     forming = stream.stream_bars(_live_ticks(i), delay=NO_DELAY)
-    return sinks.latest_versions(_run_out(i, forming, sinks.start_forming), "symbol", "ts")
+    schema = stream.forming_view(forming, i.zoned).schema
+    return _run_out(i, forming, sinks.start_summary, read=lambda out: sinks.live_summary(i.spark, out, schema))
 
 
 @_query

@@ -203,9 +203,33 @@ def _moment(at: int) -> str:
     return f"cast(timestamp_micros(cell[{at}]) as timestamp_ntz)"
 
 
+def place(micros: str, event_id: str) -> str:
+    """Time and id of a tick as one number, which sorts like the pair. Unlike a pair it is of fixed width,
+    so that extrema by it are taken by hashing; a missing id comes first."""
+    return f"cast({micros} as decimal(20)) * 18446744073709551616 + cast(coalesce({event_id}, {-(1 << 63) + 1}) as decimal(20))"
+
+
 def _place(at: int) -> str:
-    """Time and id of a cell's tick as one number of fixed width, which sorts like the pair."""
-    return f"cast(cell[{at}] as decimal(20)) * 18446744073709551616 + cast(cell[{at + 1}] as decimal(20))"
+    return place(f"cell[{at}]", f"cell[{at + 1}]")
+
+
+def bar_end(interval: str, tz: str = "UTC", ts: str = "ts") -> Column:
+    """UTC end of the bar that starts at ``ts``."""
+    span = F.expr(f"interval {interval}")
+    if tz == "UTC":
+        return F.col(ts) + span
+    return utc_time(local_time(F.col(ts), tz) + span, tz)
+
+
+def merged_cells(cells: DataFrame) -> DataFrame:
+    """Cells of the same price and bar as one."""
+    grouped = cells.selectExpr("symbol", "session_date", "px", "cell[0] as bar", "cell").groupBy("symbol", "session_date", "px", "bar")
+    merged = grouped.agg(
+        F.expr("min(struct(cell[1] as ts, cell[2] as id))").alias("first"),
+        F.expr("max(struct(cell[3] as ts, cell[4] as id))").alias("last"),
+        F.expr("sum(cell[5])").alias("n"),
+    )
+    return merged.selectExpr("symbol", "session_date", "px", "array(bar, first.ts, first.id, last.ts, last.id, n) as cell")
 
 
 def bars_of_cells(cells: DataFrame) -> DataFrame:

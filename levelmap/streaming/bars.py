@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from levelmap.operators.snapshot import snapshot
 from levelmap.schemas import EVENT_SCHEMA
-from levelmap.sources.ticks import local_time, ticks_from_events, utc_time
+from levelmap.sources.ticks import local_time, place, ticks_from_events, utc_time
 
 
 def read_tick_stream(
@@ -32,11 +32,13 @@ def stream_bars(ticks: DataFrame, delay: str, interval: str = "1 hour", tz: str
     In append mode a bar comes out once the watermark has passed its end: it is confirmed
     and final. In update mode the forming bar comes out whenever it changes.
 
+    Time and id of a tick are one number here, so ticks are reduced by hashing before they reach the state.
+
     The watermark trails the latest tick of any symbol by ``delay`` and older ticks are dropped,
     so the delay must cover how far one feed may run behind another, and, where clocks are
     set back, that hour as well. ``dropped_ticks`` counts what was lost.
     """
-    order = F.struct("ts", "event_id")
+    order = F.expr(place("unix_micros(ts)", "event_id"))
     clock = F.col("ts") if tz == "UTC" else local_time(F.col("ts"), tz).cast("timestamp")
     timed = ticks.withColumn("clock", clock).withWatermark("clock", delay)
     grouped = timed.groupBy("symbol", F.window("clock", interval).alias("span"))

@@ -8,6 +8,7 @@ by session in either.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -17,6 +18,7 @@ from pyspark.sql import types as T
 
 from levelmap.operators.sessions import bar_context, session_stats
 from levelmap.schemas import SHEET_KEYS
+from levelmap.sources.versions import Files, days_of
 
 CARRY_SCHEMA = T.StructType(
     [
@@ -28,6 +30,8 @@ CARRY_SCHEMA = T.StructType(
     ]
 )
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+# State goes to the checkpoint as changes, not as whole files.
+_CHANGELOG = "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -64,27 +68,38 @@ def carried_on(bars: DataFrame, carry: DataFrame) -> DataFrame:
 
 
 class Turns:
-    """A table that each micro-batch replaces, in two folders by turns.
+    """A table that micro-batches replace. Each version is a folder named by its batch.
 
-    Batch n reads what batch n - 1 left in the one and writes the other, so that a repeated
-    batch starts from the same rows, and no more than two versions are ever stored.
+    Batch n reads the latest version before n, so that a repeated batch starts from the same rows. A batch
+    with nothing to say writes none. No more than two versions are ever stored.
     """
 
     def __init__(self, spark: SparkSession, folder: str, schema: T.StructType):
-        self.spark, self.folder, self.schema = spark, folder, schema
+        self.spark, self.folder, self.schema, self.files = spark, folder, schema, Files(spark, folder)
 
-    def _path(self, batch_id: int) -> str:
-        return f"{self.folder}/turn-{batch_id % 2}"
+    def _versions(self) -> list[int]:
+        return sorted(int(n[5:]) for n in self.files.names() if n.startswith("turn-"))
 
     def before(self, batch_id: int) -> DataFrame:
-        if batch_id == 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self._path(batch_id - 1))
+        earlier = [v for v in self._versions() if v < batch_id]
+        return self.of(earlier[-1]) if earlier else self.spark.createDataFrame([], self.schema)
 
-    def put(self, df: DataFrame, batch_id: int) -> DataFrame:
-        path = self._path(batch_id)
-        df.select(*self.schema.names).write.mode("overwrite").parquet(path)
-        return self.spark.read.schema(self.schema).parquet(path)
+    def of(self, batch_id: int) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.folder}/turn-{batch_id}")
+
+    def put(self, df: DataFrame, batch_id: int, by_session: bool = False) -> DataFrame:
+        """Stores the batch's version. Written by session, its days can be told without reading it."""
+        writer = df.select(*self.schema.names).write.mode("overwrite")
+        (writer.partitionBy("session_date") if by_session else writer).parquet(f"{self.folder}/turn-{batch_id}")
+        for stale in [v for v in self._versions() if v < batch_id][:-1]:
+            self.files.drop(f"turn-{stale}")
+        return self.of(batch_id)
+
+    def days(self, batch_id: int) -> list[dt.date]:
+        return sorted(days_of(self.files, f"turn-{batch_id}"))
+
+    def drop(self, batch_id: int) -> None:
+        self.files.drop(f"turn-{batch_id}")
 
 
 @contextmanager
@@ -94,7 +109,7 @@ def stream_settings(spark: SparkSession, partitions: int | None = None) -> Itera
     ``partitions`` is the number of state partitions, which stays with the checkpoint for
     good; without it the session's shuffle setting counts.
     """
-    wanted = {_PROVIDER: _ROCKSDB}
+    wanted = {_PROVIDER: _ROCKSDB, _CHANGELOG: "true"}
     if partitions:
         wanted["spark.sql.shuffle.partitions"] = str(partitions)
     before = {name: spark.conf.get(name, None) for name in wanted}
