@@ -19,6 +19,11 @@ ALERT_SCHEMA = T.StructType(
 )
 
 
+FEED_SCHEMA = T.StructType(
+    [*ALERT_SCHEMA.fields[:6], T.StructField("tick_ts", T.TimestampNTZType()), T.StructField("event_id", T.LongType()), *ALERT_SCHEMA.fields[6:]]
+)
+
+
 def alerts(context: DataFrame, brand: str = fixed.DEFAULT_BRAND) -> DataFrame:
     """One row per bar and alert raised, from bar context joined with zoned sheets.
 
@@ -56,11 +61,14 @@ def alert_feed(context: DataFrame, entries: DataFrame, brand: str = fixed.DEFAUL
     entry alerts with INTRABAR before, and they carry the tick that raised them. ``close`` is the price
     at which an event was raised.
     """
-    closed = alerts(context, brand).select(
+    return closed_events(context, brand).unionByName(intrabar_events(entries, brand))
+
+
+def closed_events(context: DataFrame, brand: str = fixed.DEFAULT_BRAND) -> DataFrame:
+    return alerts(context, brand).select(
         *SHEET_KEYS, "ts", "kind", "bias", "close", F.lit(None).cast("timestamp_ntz").alias("tick_ts"),
         F.lit(None).cast("long").alias("event_id"), "title", "message",
     )
-    return closed.unionByName(intrabar_events(entries, brand))
 
 
 INTRABAR = "intrabar_"

@@ -16,12 +16,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from levelmap.functions import regime
 from levelmap.operators import alerts, joins, levels, nodes, pin, sessions, snapshot, zones
-from levelmap.schemas import BAR_SCHEMA
+from levelmap.schemas import BAR_SCHEMA, EVENT_SCHEMA
 from levelmap.sources.sheets import sheets_from_histogram, sheets_from_ticks, stored_sheets, with_defaults
 from levelmap.sources.sinks import write_by_session
 from levelmap.sources.ticks import bars, bars_of_cells, first_ticks_of_cells, histogram_of_cells, price_cells, read_ticks
 from levelmap.streaming import bars as stream
-from levelmap.streaming import entries, sinks
+from levelmap.streaming import entries, live, sinks
 
 # The whole table is one batch of the streams here, so no tick can come late.
 NO_DELAY = "0 seconds"
@@ -369,7 +369,7 @@ def _run_out(
     start(df, availableNow=True, **options).awaitTermination()
     done = read(f"{folder}/out") if read else i.spark.read.parquet(f"{folder}/out")
     # Streams carry zoned timestamps, batch queries and tables wall-clock ones.
-    return done.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    return done.withColumn("ts", F.col("ts").cast("timestamp_ntz")) if "ts" in done.columns else done
 
 
 def _live_ticks(i: Inputs) -> DataFrame:
@@ -398,3 +398,63 @@ def stream_forming(i: Inputs) -> DataFrame:
 @_query
 def stream_zone_entry(i: Inputs) -> DataFrame:
     return _run_out(i, _live_ticks(i), entries.start_entries, delay=NO_DELAY).drop("batch_id")
+
+
+# --- one live query: alert feed, touch counts, sheets carried on, late ticks stated again ---------------
+
+
+def _fed(i: Inputs, name: str, **options) -> DataFrame:
+    """One table of a live query that has read all events."""
+
+    def table(out: str) -> DataFrame:
+        if name == "touches":
+            return live.DayTables(i.spark, f"{out}/live").read("touches", live.TOUCH_SCHEMA)
+        return i.spark.read.parquet(f"{out}/{name}").drop("batch_id")
+
+    return _run_out(i, _live_ticks(i), live.start_feed, read=table, delay=NO_DELAY, **options)
+
+
+@_query
+def stream_alert_feed(i: Inputs) -> DataFrame:
+    return _fed(i, "feed")
+
+
+@_query
+def stream_touch_count(i: Inputs) -> DataFrame:
+    return _fed(i, "touches")
+
+
+@_query
+def stream_alerts_asof(i: Inputs) -> DataFrame:
+    """Sheets are entered on every third day only; the days between have the last one."""
+    folder = sinks.shared_folder(i.spark)
+    write_by_session(sheets_from_ticks(i.ticks).filter("dayofmonth(session_date) % 3 = 1"), f"{folder}/sheets")
+    return _fed(i, "feed", sheets=False, load_sheets=stored_sheets(i.spark, f"{folder}/sheets"), as_of=True)
+
+
+@_query
+def alert_feed(i: Inputs) -> DataFrame:
+    cells = price_cells(i.ticks)
+    sheets = zones.with_zones(with_defaults(sheets_from_histogram(histogram_of_cells(cells))))
+    context = joins.by_session(sessions.bar_context(bars_of_cells(cells)), sheets)
+    found = zones.entries_of_first_ticks(first_ticks_of_cells(cells), context, "symbol", "session_date", "ts")
+    return alerts.alert_feed(context, found)
+
+
+@_query
+def stream_restated(i: Inputs) -> DataFrame:
+    """The feed as published after one symbol's ticks of four sessions came in after all others."""
+    folder = sinks.shared_folder(i.spark)
+    write_by_session(sheets_from_ticks(i.ticks), f"{folder}/out/sheets")
+    symbol = i.ticks.agg({"symbol": "min"}).first()[0]
+    events = i.spark.read.schema(EVENT_SCHEMA).parquet(f"{i.sf_dir}/events.parquet")
+    late = (F.col("event_type") == symbol) & F.to_date("ts").between("2024-01-09", "2024-01-12")
+    late = F.coalesce(late, F.lit(False))
+    for part in (~late, late):
+        events.filter(part).write.mode("append").parquet(f"{folder}/feed")
+        live.start_feed(
+            stream.read_tick_stream(i.spark, f"{folder}/feed", "*.parquet"), stored_sheets(i.spark, f"{folder}/out/sheets"),
+            f"{folder}/live", f"{folder}/cp", NO_DELAY, availableNow=True,
+        ).awaitTermination()
+        live.restate(i.spark, f"{folder}/live", f"{folder}/out")
+    return live.DayTables(i.spark, f"{folder}/out").read("alert_feed", alerts.FEED_SCHEMA)

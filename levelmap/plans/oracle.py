@@ -526,19 +526,79 @@ _QUERIES |= {
 _QUERIES["stream_zone_entry"] = _QUERIES["zone_entry_intrabar"]
 
 
-def _needed(names: tuple[str, ...]) -> set[str]:
+
+
+def _entry_events(source: str) -> str:
+    def text(kind: str, field: int) -> str:
+        return _text(next(a for a in fixed.ALERTS if a[0] == kind)[field].format(brand=fixed.DEFAULT_BRAND))
+
+    def side(field: int) -> str:
+        return f"case side when 'below' then {text('zone_entry_below', field)} else {text('zone_entry_above', field)} end"
+
+    return f"""
+select symbol, session_date, ts, 'intrabar_zone_entry_' || side as kind, {side(1)} as bias, px as close, tick_ts, event_id,
+  {side(2)} as title, {side(3)} as message
+from ({source})"""
+
+
+_INTRABAR = _QUERIES["zone_entry_intrabar"][1]
+_FEED_TABLES = ("ticks", "lagged", "zones", "bar_entry", "bar_flip", "pin_breaks")
+
+
+def _feed(condition: str) -> str:
+    return f"""
+select symbol, session_date, ts, kind, bias, close, null::timestamp as tick_ts, null::bigint as event_id, title, message
+from ({_ALERTS}) where {condition}
+union all
+{_entry_events(_INTRABAR)}"""
+
+
+_QUERIES |= {
+    "alert_feed": (_FEED_TABLES, _feed("true")),
+    "stream_restated": (_FEED_TABLES, _feed("true")),
+    "stream_alert_feed": (_FEED_TABLES, _feed(_CLOSED)),
+    "stream_touch_count": (
+        ("ticks", "bars", "zones", "entries"),
+        f"""
+select z.symbol, z.session_date, z.zone_seq, count(e.ts) as touches
+from zones z left join (select * from entries where {_CLOSED}) e using (symbol, session_date, zone_seq)
+where z.session_date in (select session_date from bars where {_CLOSED})
+group by z.symbol, z.session_date, z.zone_seq""",
+    ),
+    "stream_alerts_asof": (_FEED_TABLES, _feed(_CLOSED)),
+}
+# Sheets of every third day, each in force until the next one.
+_OVERRIDES = {
+    "stream_alerts_asof": {
+        "levels": (
+            ("bars", *_CTES["levels"][0]),
+            f"""
+  select b.symbol, b.session_date, slot, family, source, label, price, size_m
+  from (
+    select symbol, d.session_date, max(s.session_date) as sheet_date
+    from (select distinct symbol, session_date from bars) d
+    join (select distinct symbol, session_date from placed where day(session_date) % 3 = 1) s using (symbol)
+    where s.session_date <= d.session_date group by symbol, d.session_date) b
+  join ({_CTES["levels"][1]}) l on l.symbol = b.symbol and l.session_date = b.sheet_date""",
+        )
+    }
+}
+
+
+def _needed(names: tuple[str, ...], tables: dict) -> set[str]:
     found: set[str] = set()
     for name in names:
-        found |= {name} | _needed(_CTES[name][0])
+        found |= {name} | _needed(tables[name][0], tables)
     return found
 
 
-def with_tables(names: tuple[str, ...], statement: str) -> str:
+def with_tables(names: tuple[str, ...], statement: str, overrides: dict | None = None) -> str:
     """The statement preceded by the common tables it needs, in order of definition."""
-    wanted = _needed(names)
-    tables = ",\n".join(f"{name} as ({text})" for name, (_, text) in _CTES.items() if name in wanted)
-    return f"with recursive {tables}\n{statement.strip()}"
+    tables = _CTES | (overrides or {})
+    wanted = _needed(names, tables)
+    texts = ",\n".join(f"{name} as ({text})" for name, (_, text) in tables.items() if name in wanted)
+    return f"with recursive {texts}\n{statement.strip()}"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: with_tables(tables, statement) for name, (tables, statement) in _QUERIES.items()}
+    return {name: with_tables(tables, statement, _OVERRIDES.get(name)) for name, (tables, statement) in _QUERIES.items()}

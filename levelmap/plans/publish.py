@@ -111,6 +111,31 @@ def _carried(stats: DataFrame, sheets: DataFrame, before: DataFrame, days: list[
     return held.select("symbol", F.explode(since).alias("session_date"), "past", "sheet")
 
 
+def in_force(stats: DataFrame, sheets: DataFrame, before: DataFrame, days: list[dt.date]) -> DataFrame:
+    """Each symbol's sheet on each of these days: the latest one, carried from before if need be."""
+    carry = _carried(stats, sheets, before, days)
+    return carry.filter("sheet is not null").select(*SHEET_KEYS, "sheet.*").drop("sheet_date")
+
+
+def carried_on(stats: DataFrame, sheets: DataFrame | None, before: DataFrame, days: list[dt.date]) -> DataFrame:
+    """The carried rows after the last of these days, of which ``stats`` may hold a part: one row per symbol."""
+    kinds = {f.name: f.dataType for f in before.schema.fields}
+    closes = F.struct("session_date", F.col("last_close").alias("close"), F.col("low_close").alias("low"), F.col("high_close").alias("high"))
+    fresh = stats.select(*SHEET_KEYS, closes.cast(kinds["past"]).alias("past"), F.lit(True).alias("fresh"))
+    # A session that goes on keeps its extremes: they are taken over the carried and the new ones.
+    past = before.filter("past is not null").select("symbol", F.col("past.session_date").alias("session_date"), "past", F.lit(False).alias("fresh"))
+    by_day = fresh.unionByName(past).groupBy(*SHEET_KEYS).agg(
+        F.max_by("past.close", "fresh").alias("close"), F.min("past.low").alias("low"), F.max("past.high").alias("high")
+    )
+    closed = by_day.groupBy("symbol").agg(F.max(F.struct("session_date", "close", "low", "high")).cast(kinds["past"]).alias("past"))
+    held = before.select("symbol", "sheet")
+    if sheets is not None:
+        sheet = F.struct(F.col("session_date").alias("sheet_date"), *[n for n in kinds["sheet"].names if n != "sheet_date"])
+        held = held.unionByName(sheets.select("symbol", sheet.cast(kinds["sheet"]).alias("sheet")))
+    held = held.groupBy("symbol").agg(F.max("sheet").alias("sheet"))
+    return closed.join(held, "symbol", "full").select("symbol", F.lit(days[-1]).alias("session_date"), "past", "sheet")
+
+
 def _stage(tables: DayTables, days: list[dt.date], before: DataFrame, brand: str, params: Params, as_of: bool) -> None:
     """Stages all results of these days. What is read: their bars, cells and sheets, and the carried rows."""
     spark, span = tables.spark, (days[0], days[-1])
