@@ -191,6 +191,7 @@ def lagging_feeds(spark, tmp_path, delay):
         stream.stream_bars(feed, delay), str(tmp_path / "out"), str(tmp_path / "cp"), partitions=2, availableNow=True
     )
     query.awaitTermination()
+    assert "HashAggregate" in (plan := query._jsq.explainInternal(False)) and "SortAggregate" not in plan
     return spark.read.parquet(str(tmp_path / "out")).filter("symbol in ('A', 'B', 'C')").count(), stream.dropped_ticks(query)
 
 
