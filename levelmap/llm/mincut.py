@@ -11,6 +11,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, deque
 from collections.abc import Iterator
 
@@ -18,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|[^<]+|<", re.S)
+SPECIAL = re.compile(r"[>\"']")
+AFTER_NAME = re.compile(r"[\s/>]")
 ATTRIBUTE = re.compile(r"(class|id|role|hidden|style|type|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 WORDS = re.compile(r"[a-z]+")
@@ -55,6 +57,74 @@ FOR = frozenset("article articlebody content entry post story main body text pro
 LANDMARKS = frozenset("article main nav aside footer header form dialog".split())
 
 
+class Pieces:
+    """Cuts a page into tags, comments and text, in time linear in its length however broken it is.
+
+    A tag ends at the first > outside quotes. From a place outside quotes there is one way on, so a place that
+    has led to the end of the page once leads there always, and is not walked again.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.dead, self.dead_names = page, set(), set()
+        self.last = {c: page.rfind(c) for c in "\"'"}
+        self.stops: tuple[list[int], list[int]] | None = None
+
+    def next(self, at: int) -> tuple[int, str | None, bool, str, str]:
+        """End of the piece at a place, and for a tag its name, whether it closes, and its attributes; else its text."""
+        page, size = self.page, len(self.page)
+        if page[at] != "<":
+            end = page.find("<", at)
+            end = size if end < 0 else end
+            return end, None, False, "", page[at:end]
+        if page.startswith(("<!", "<?"), at):
+            shut = ("-->", at + 4, 3) if page.startswith("<!--", at) else (">", at + 2, 1)
+            end = page.find(shut[0], shut[1])
+            return (size if end < 0 else end + shut[2]), None, False, "", "<!"
+        name = at + 1 + page.startswith("/", at + 1)
+        if page[name : name + 1].isascii() and page[name : name + 1].isalpha():
+            name_end = self._stop(AFTER_NAME, 1, name)
+            for cut in self._cuts(name, name_end):
+                end = self._closing(cut)
+                if end >= 0:
+                    return end + 1, page[name:cut], name > at + 1, page[cut:end], ""
+            self.dead_names.add(name_end)
+        return at + 1, None, False, "", "<"
+
+    def _stop(self, pattern: re.Pattern, kind: int, at: int) -> int:
+        """The next place of a kind, or the page's end; looked up in a list once a tag has failed to end."""
+        if self.stops is None:
+            found = pattern.search(self.page, at)
+            return found.start() if found else len(self.page)
+        places = self.stops[kind]
+        k = bisect_left(places, at)
+        return places[k] if k < len(places) else len(self.page)
+
+    def _cuts(self, name: int, name_end: int) -> Iterator[int]:
+        """Where the attributes may begin: after the name, or at a quote within it that would open a string."""
+        if name_end in self.dead_names:
+            return
+        yield name_end
+        for cut in range(name_end - 1, name, -1):
+            if self.page[cut] in self.last:
+                yield cut
+
+    def _closing(self, at: int) -> int:
+        """The > that ends a tag whose attributes go on at a place outside quotes; -1 if there is none."""
+        page, walked = self.page, []
+        while at not in self.dead:
+            walked.append(at)
+            at = self._stop(SPECIAL, 0, at)
+            if at < len(page) and page[at] == ">":
+                return at
+            if at == len(page) or self.last[page[at]] <= at:
+                break
+            at = page.find(page[at], at + 1) + 1
+        self.dead.update(walked)
+        if self.stops is None:
+            self.stops = tuple([m.start() for m in p.finditer(page)] for p in (SPECIAL, AFTER_NAME))
+        return -1
+
+
 class Element:
     """An open element: what its blocks inherit."""
 
@@ -134,20 +204,17 @@ def blocks_of(page: str) -> list[Block]:
             open_tags[gone.tag] -= 1
         del stack[to:]
 
-    at, size = 0, len(page)
+    at, size, pieces = 0, len(page), Pieces(page)
     while at < size:
-        found = PIECE.match(page, at)
-        at = found.end()
-        tag = found[2]
+        at, tag, closing, attributes, piece = pieces.next(at)
         if tag is None:
-            piece = found[0]
             if (piece[0] != "<" or piece == "<") and not stack[-1].mute:
                 parts.append(piece)
                 if stack[-1].link:
                     linked.append(piece)
             continue
         tag = tag.lower()
-        if found[1]:
+        if closing:
             if open_tags[tag]:
                 k = len(stack) - 1
                 while stack[k].tag != tag:
@@ -185,10 +252,10 @@ def blocks_of(page: str) -> list[Block]:
                     close(len(stack) - 1)
                 close(len(stack) - 1)
         count += 1
-        made = Element(tag, stack[-1], count, found[3])
+        made = Element(tag, stack[-1], count, attributes)
         if made.landmark == count or made.mute != stack[-1].mute:
             flush()
-        if found[3][-1:] == "/" and tag not in BLOCK and tag not in RAW:
+        if attributes[-1:] == "/" and tag not in BLOCK and tag not in RAW:
             continue
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)", re.I).search(page, at)
@@ -247,35 +314,54 @@ def least_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> list[
 
 
 def _source_side(rest: list[int], left: list[float], near: list[dict[int, float]]) -> set[int]:
-    """Blocks on the content side after a maximum flow, by shortest augmenting paths."""
+    """Blocks on the content side after a maximum flow, by blocking flows on level graphs.
+
+    Every round sends all that shortest paths hold at once, so there are as many rounds as path lengths.
+    """
     supply = {i: max(left[i], 0.0) for i in rest}
     demand = {i: max(-left[i], 0.0) for i in rest}
     room = {i: dict(near[i]) for i in rest}
     tiny = 1e-9
     while True:
-        came = {i: -1 for i in rest if supply[i] > tiny}
-        queue, end = deque(came), None
-        while queue:
-            i = queue.popleft()
-            if demand[i] > tiny:
-                end = i
-                break
+        level = {i: 0 for i in rest if supply[i] > tiny}
+        order = list(level)
+        for i in order:
             for j, w in room[i].items():
-                if w > tiny and j not in came:
-                    came[j] = i
-                    queue.append(j)
-        if end is None:
-            return set(came)
-        path, i = [], end
-        while came[i] != -1:
-            path.append((came[i], i))
-            i = came[i]
-        flow = min([supply[i], demand[end], *(room[a][b] for a, b in path)])
-        supply[i] -= flow
-        demand[end] -= flow
-        for a, b in path:
-            room[a][b] -= flow
-            room[b][a] += flow
+                if w > tiny and j not in level:
+                    level[j] = level[i] + 1
+                    order.append(j)
+        if not any(demand[i] > tiny for i in order):
+            return set(order)
+        ways = {i: [j for j in room[i] if level.get(j) == level[i] + 1] for i in order}
+        for start in order:
+            if level[start]:
+                break
+            path = [start]
+            while path and supply[start] > tiny:
+                i = path[-1]
+                if demand[i] > tiny:
+                    flow = min([supply[start], demand[i], *(room[a][b] for a, b in zip(path, path[1:]))])
+                    supply[start] -= flow
+                    demand[i] -= flow
+                    full = None
+                    for k in range(len(path) - 1):
+                        a, b = path[k : k + 2]
+                        room[a][b] -= flow
+                        room[b][a] += flow
+                        if full is None and room[a][b] <= tiny:
+                            full = k
+                    if full is not None:
+                        del path[full + 1 :]
+                elif ways[i] and room[i][ways[i][-1]] > tiny:
+                    path.append(ways[i][-1])
+                else:
+                    # Nothing more goes this way: the last step is given up, for this round.
+                    if ways[i]:
+                        ways[i].pop()
+                    else:
+                        path.pop()
+                        if path:
+                            ways[path[-1]].pop()
 
 
 def main_text(page: str | None) -> str:
