@@ -33,7 +33,7 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
 
     Where the file is plain byte-level BPE with its merges in the order of their ids, these ids are
     ranks, and `tiktoken` finds the same ids from the file's vocabulary in less than half the time.
-    Any other file is left to `tokenizers`.
+    Any other file is left to `tokenizers`, and so is a text that `tiktoken` gives up on.
     """
     model = Tokenizer.from_file(path)
     model.encode_special_tokens = True  # their strings in a text are ordinary text
@@ -42,8 +42,17 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     ranks = _ranks(json.loads(model.to_str()))
     if ranks:
         ranked = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        return lambda text: ranked.encode_to_numpy(text, disallowed_special=()).astype("<u2")
-    return lambda text: np.array(model.encode(text, add_special_tokens=False).ids, "<u2")
+
+    def plain(text: str) -> np.ndarray:
+        return np.array(model.encode(text, add_special_tokens=False).ids, "<u2")
+
+    def fast(text: str) -> np.ndarray:
+        try:
+            return ranked.encode_to_numpy(text, disallowed_special=()).astype("<u2")
+        except ValueError:  # its pattern gives up on very long runs of white space
+            return plain(text)
+
+    return fast if ranks else plain
 
 
 def _ranks(file: dict) -> dict[bytes, int] | None:
