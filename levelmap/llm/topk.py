@@ -1,38 +1,33 @@
 """Exact top-k search by inner product over KD-trees, one for each shard of the vectors.
 
 A tree splits its vectors at medians; every node has a tight bounding box, hence a bound on the
-inner product of a query with anything below it. Nodes are visited best bound first until none can
-reach the query's k-th score so far, and that score is carried on from shard to shard.
+inner product of a query with anything below it. Leaves are visited best bound first, some at a time, by
+the queries of a block whose k-th score so far they could reach, and those scores are carried on from
+shard to shard. Vectors of many dimensions and like norms leave such bounds little to prune: there the
+work is that of scoring all pairs of a query and a vector, in matrix products.
 """
 
 from __future__ import annotations
 
-import heapq
 import io
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from levelmap.llm.vectors import longs, whole_vectors
+
 SCALE = 64
 TOP = 20
 EVERY = 20
 SHARD_ROWS = 8192
-BLOCK_ROWS = 128
+BLOCK_ROWS = 512
 LEAF = 128
-#: Scaled components beyond this are set to it, so that a sum of products fits into a long.
-LARGEST = 1 << 26
-
-
-def whole_numbers(column: str = "embedding", scale: int = SCALE) -> Column:
-    """Components times `scale`, rounded down; null if the vector or a component is null or not finite."""
-    x = F.transform(column, lambda c: c.cast("double"))
-    fine = F.col(column).isNotNull() & ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
-    scaled = F.transform(x, lambda c: F.greatest(F.lit(-LARGEST), F.least(F.lit(LARGEST), F.floor(c * scale))).cast("long"))
-    return F.when(fine, scaled)
+#: Leaves that are scored in one matrix product.
+LEAVES = 8
 
 
 def _packed(**arrays: np.ndarray) -> bytes:
@@ -54,11 +49,13 @@ def _matrix(vectors) -> np.ndarray:
 
 
 def _products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products: in floating point where every sum stays below 2^53, else in whole numbers."""
-    top = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[-1]
+    """Exact inner products of all rows: in floating point where every sum stays below 2^53, else in whole
+    numbers, unbounded ones where a sum could leave a long."""
+    top = int(max(a.max(initial=0), -int(a.min(initial=0)))) * int(max(b.max(initial=0), -int(b.min(initial=0)))) * a.shape[-1]
     if top < 2**53:
         return (a.astype(np.float64) @ b.astype(np.float64)).astype(np.int64)
-    return a.astype(np.int64) @ b.astype(np.int64)
+    kind = np.int64 if top < 2**62 else object
+    return a.astype(kind) @ b.astype(kind)
 
 
 def build(ids: np.ndarray, vectors: np.ndarray) -> bytes:
@@ -73,7 +70,7 @@ def build(ids: np.ndarray, vectors: np.ndarray) -> bytes:
         high.append(own.max(0))
         child.append((-1, -1))
         run.append((at, end))
-        spread = high[me].astype(np.int64) - low[me]
+        spread = high[me].astype(np.float64) - low[me]
         if end - at > LEAF and spread.max(initial=0) > 0:
             axis = int(spread.argmax())
             half = (end - at) // 2
@@ -86,24 +83,37 @@ def build(ids: np.ndarray, vectors: np.ndarray) -> bytes:
 
 
 class _Best:
-    """The best candidates of a query so far, by score and then by smaller id."""
-
-    def __init__(self, most: int):
-        self.most, self.ids, self.scores = most, np.empty(0, np.int64), np.empty(0, np.int64)
-
-    def floor(self) -> float:
-        return self.scores[-1] if len(self.scores) == self.most else -np.inf
-
-    def add(self, ids: np.ndarray, scores: np.ndarray) -> None:
-        reach = scores >= self.floor()
-        if reach.any():
-            ids, scores = np.r_[self.ids, ids[reach]], np.r_[self.scores, scores[reach]]
-            order = np.lexsort((ids, -scores))[: self.most]
-            self.ids, self.scores = ids[order], scores[order]
-
-
-def search(tree, queries: np.ndarray, own: np.ndarray, best: list[_Best]) -> None:
-    """Adds a tree's candidates to the best of each query; `own` holds the queries' ids."""
+    """The best candidates of each query of a block so far, by score and then by smaller id, as flat arrays."""
+
+    def __init__(self, queries: int, most: int):
+        self.queries, self.most = queries, most
+        self.row, self.ids, self.scores = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.floor = self._lowest(np.int64)
+
+    def _lowest(self, kind) -> np.ndarray:
+        return np.full(self.queries, -(1 << 63) if kind != object else -(1 << 200), kind)
+
+    def add(self, row: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        row, ids, scores = np.r_[self.row, row], np.r_[self.ids, ids], np.r_[self.scores, scores]
+        if scores.dtype == object:
+            order = np.array(sorted(range(len(row)), key=lambda i: (row[i], -scores[i], ids[i])), np.int64)
+        else:
+            order = np.lexsort((ids, -scores, row))
+        row = row[order]
+        place = np.arange(len(row)) - np.searchsorted(row, row)
+        order, row, place = order[place < self.most], row[place < self.most], place[place < self.most]
+        self.row, self.ids, self.scores = row, ids[order], scores[order]
+        self.floor = self._lowest(scores.dtype)
+        full = place == self.most - 1
+        self.floor[row[full]] = self.scores[full]
+
+
+def search(tree, queries: np.ndarray, own: np.ndarray, best: _Best) -> None:
+    """Adds a tree's candidates to the best of each query; `own` holds the queries' ids.
+
+    Leaves are taken best bound first, some at a time, each time by those queries whose k-th score so far
+    they could reach; all of these are scored in one product.
+    """
     ids, vectors, child, run = (tree[k] for k in ("ids", "vectors", "child", "run"))
     width = max(queries.shape[1], vectors.shape[1])
 
@@ -111,20 +121,22 @@ def search(tree, queries: np.ndarray, own: np.ndarray, best: list[_Best]) -> Non
         return np.pad(x, ((0, 0), (0, width - x.shape[1])))
 
     asked, vectors = wide(queries), wide(vectors)
-    up, down = np.maximum(asked, 0), np.minimum(asked, 0)
-    bounds = _products(up, wide(tree["high"]).T) + _products(down, wide(tree["low"]).T)
-    for q, mine in enumerate(best):
-        heap = [(-int(bounds[q, 0]), 0)]
-        while heap and -heap[0][0] >= mine.floor():
-            _, at = heapq.heappop(heap)
-            if child[at, 0] < 0:
-                lo, hi = run[at]
-                other = ids[lo:hi] != own[q]
-                mine.add(ids[lo:hi][other], _products(vectors[lo:hi], asked[q])[other])
-            else:
-                for c in child[at].tolist():
-                    if bounds[q, c] >= mine.floor():
-                        heapq.heappush(heap, (-int(bounds[q, c]), c))
+    leaves = np.flatnonzero(child[:, 0] < 0)
+    low, high = wide(tree["low"])[leaves], wide(tree["high"])[leaves]
+    bounds = _products(np.maximum(asked, 0), high.T) + _products(np.minimum(asked, 0), low.T)
+    order = np.argsort(bounds.max(0), kind="stable")[::-1] if len(asked) else leaves[:0]
+    for at in range(0, len(order), LEAVES):
+        taken = order[at : at + LEAVES]
+        row = np.flatnonzero((bounds[:, taken] >= best.floor[:, None]).any(1))
+        if len(row):
+            place = np.concatenate([np.arange(*run[leaf]) for leaf in leaves[taken]])
+            scores, other = _products(asked[row], vectors[place].T), ids[place]
+            reach = (scores >= best.floor[row][:, None]) & (other != own[row][:, None])
+            if scores.dtype != object and len(place) > 2 * best.most:
+                # One more than asked for, as a query may meet itself.
+                reach &= scores >= np.partition(scores, -best.most - 1, axis=1)[:, -best.most - 1, None]
+            q, c = np.nonzero(reach)
+            best.add(row[q], other[c], scores[q, c])
 
 
 def top_products(vectors: DataFrame, *, top: int = TOP, every: int = EVERY, shard_rows: int = SHARD_ROWS) -> DataFrame:
@@ -132,14 +144,14 @@ def top_products(vectors: DataFrame, *, top: int = TOP, every: int = EVERY, shar
     other vec_ids with the highest inner products of components times SCALE rounded down.
 
     Ties go to the smaller vec_id. Rows with a null vec_id, a null vector, or null or non-finite components
-    take no part; components beyond 2^20 count as that; of vectors of unequal length the shorter one ends in
+    take no part; a score too large for a long is null, in its right place; of vectors of unequal length the shorter one ends in
     zeros. A vec_id that repeats is a candidate once for each row but one query only, its first by
     components. Fewer candidates than `top` give fewer rows, an empty table none.
 
     Shards are of about `shard_rows` vectors at any size. Queries travel in blocks, once for each shard:
     their set grows with the table, hence so does the work for each vector.
     """
-    rows = vectors.select("vec_id", whole_numbers().alias("v")).filter("vec_id is not null and v is not null")
+    rows = whole_vectors(vectors, SCALE, "vec_id").filter("vec_id is not null")
     shards = max(1, -(-rows.count() // shard_rows))
 
     def tree(frame: pd.DataFrame) -> pd.DataFrame:
@@ -163,14 +175,13 @@ def top_products(vectors: DataFrame, *, top: int = TOP, every: int = EVERY, shar
     names = ["query_id", "rank", "vec_id", "score"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, queries, best = None, None, None, []
+        now, ids, queries, best = None, None, None, None
 
         def given() -> Iterator[pa.RecordBatch]:
-            if best:
-                sizes = [len(b.ids) for b in best]
-                columns = [np.repeat(ids, sizes), np.concatenate([np.arange(1, n + 1) for n in sizes]).astype(np.int32)]
-                columns += [np.concatenate([b.ids for b in best]), np.concatenate([b.scores for b in best])]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
+            if best is not None:
+                rank = np.arange(len(best.row)) - np.searchsorted(best.row, best.row) + 1
+                columns = [pa.array(ids[best.row]), pa.array(rank.astype(np.int32)), pa.array(best.ids), longs(best.scores)]
+                yield pa.RecordBatch.from_arrays(columns, names)
 
         for batch in batches:
             for key, packed, tree_of in zip(*(batch.column(c) for c in range(3)), strict=True):
@@ -178,7 +189,7 @@ def top_products(vectors: DataFrame, *, top: int = TOP, every: int = EVERY, shar
                     yield from given()
                     asks = np.load(io.BytesIO(packed.as_py()))
                     now, ids, queries = key.as_py(), asks["ids"], asks["vectors"]
-                    best = [_Best(top) for _ in ids]
+                    best = _Best(len(ids), top)
                 search(np.load(io.BytesIO(tree_of.as_py())), queries, ids, best)
         yield from given()
 

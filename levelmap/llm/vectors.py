@@ -68,7 +68,7 @@ def longs(values: np.ndarray) -> pa.Array:
     """Whole numbers as longs, null where they are too large for one."""
     if values.dtype != object:
         return pa.array(values.astype(np.int64))
-    return pa.array([int(v) if v < 1 << 63 else None for v in values.tolist()], pa.int64())
+    return pa.array([int(v) if -(1 << 63) <= v < 1 << 63 else None for v in values.tolist()], pa.int64())
 
 
 def decimals(values) -> pa.Array:

@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 import random
+import re
+import time
 import zlib
 from itertools import product
 
@@ -441,13 +443,13 @@ def test_search_with_odd_vectors(spark):
     rng = random.Random(5)
     rows = [(i, [rng.uniform(-2, 2) for _ in range(6)]) for i in range(300)]
     rows += [(20, [1.0] * 6), (301, [1.0] * 6), (302, None), (303, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (304, [float("nan")] * 6), (305, [float("inf")] * 6)]
-    rows += [(None, [1.0] * 6), (340, [1e30] * 6), (306, [0.5] * 3), (400, [])]
+    rows += [(None, [1.0] * 6), (340, [1e30] * 6), (360, [2.0**40] + [0.0] * 5), (361, [0.0] * 5 + [-(2.0**40)]), (306, [0.5] * 3), (400, [])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = topk.top_products(table, shard_rows=64).collect()
     good = []
     for i, v in rows:
         if i is not None and v is not None and all(x is not None and np.isfinite(np.float32(x)) for x in v):
-            good.append((i, [int(max(-topk.LARGEST, min(topk.LARGEST, np.floor(64 * float(np.float32(x)))))) for x in v]))
+            good.append((i, [max(-(1 << 62), min(1 << 62, int(np.floor(64 * float(np.float32(x)))))) for x in v]))
     asked: dict = {}
     for i, v in good:
         if i % 20 == 0:
@@ -455,9 +457,53 @@ def test_search_with_odd_vectors(spark):
     want = []
     for q, v in asked.items():
         scored = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), i) for i, w in good if i != q)[:20]
-        want += [(q, rank, i, -s) for rank, (s, i) in enumerate(scored, 1)]
-    assert sorted(tuple(r) for r in got) == sorted(want)
-    assert topk.top_products(table.limit(0)).count() == 0
+        want += [(q, rank, i, -s if -(1 << 63) <= -s < 1 << 63 else None) for rank, (s, i) in enumerate(scored, 1)]
+    assert sorted((tuple(r) for r in got), key=repr) == sorted(want, key=repr)
+    assert {-(2**46) * 64, None} & {r.score for r in got} and topk.top_products(table.limit(0)).count() == 0
+
+
+# ---- pages and texts that are hard to read ------------------------------------------------
+
+#: The tags, comments and texts of a page as one pattern; it takes quadratic time on broken pages.
+PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|[^<]+|<", re.S)
+
+
+def test_pieces_are_those_of_the_pattern():
+    rng = random.Random(1)
+    for _ in range(5000):
+        page = "".join(rng.choice("<<>\"'a /!-?b= é") for _ in range(rng.randint(0, 30)))
+        at, pieces = 0, mincut.Pieces(page)
+        while at < len(page):
+            found = PIECE.match(page, at)
+            want = (found.end(), found[2], bool(found[1]), found[3] or "")
+            assert pieces.next(at)[:4] == want, page
+            at = found.end()
+
+
+@pytest.mark.parametrize("part", ['<a "', "<a ", "<a", '<a"', "</a <b'", "<div>Yes.</div><div>word</div>"])
+def test_broken_and_alternating_pages_take_linear_time(part):
+    started = time.perf_counter()
+    mincut.main_text(part * (1_000_000 // len(part)))
+    assert time.perf_counter() - started < 60  # hours, if each opening looked through the rest of the page
+
+
+def test_flow_separates_as_shortest_paths_do():
+    rng = random.Random(2)
+    for _ in range(300):
+        n = rng.randint(1, 10)
+        scores = [rng.choice([-2.0, -1, -0.5, 0.5, 1, 2]) * rng.random() for _ in range(n)]
+        edges = [(a, b, rng.choice([0.05, 0.5, 1.0])) for a, b in ((rng.randrange(n), rng.randrange(n)) for _ in range(15)) if a != b]
+
+        def cost(label):
+            return sum(abs(s) for s, x in zip(scores, label) if (s > 0) != x) + sum(w for a, b, w in edges if label[a] != label[b])
+
+        assert abs(cost(mincut.least_cut(scores, edges)) - min(cost(x) for x in product([False, True], repeat=n))) < 1e-6
+
+
+def test_long_runs_of_spaces_have_the_ids_of_the_tokenizer():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    text = "x" + " " * 2_000_000 + "a"
+    assert packing.encoder(path)(text).tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
 
 
 # ---- mixing ------------------------------------------------------------------------------
