@@ -8,6 +8,7 @@ import random
 import re
 import time
 import zlib
+from collections import Counter
 from itertools import product
 
 import duckdb
@@ -172,6 +173,50 @@ def test_toxicity_counts_all_rows_but_those_for_the_curve(spark, monkeypatch):
     assert learning - 45 <= counted[0] < learning
 
 
+def _continuations(texts):
+    """Distinct words before each word, from the words' own strings."""
+    own = [toxicity.WORDS.findall(t.lower()) for t in texts]
+    pairs = {(v, w) for words in own for v, w in zip(["", *words[:-1]], words)}
+    return Counter(w for _, w in pairs)
+
+
+def test_toxicity_models_are_normalised_and_smoothed(spark):
+    docs, labels = _trained(spark)
+    rows = docs.join(labels.select("doc_id", "toxic"), "doc_id").filter("doc_id < 400").collect()
+    met = [_continuations([r.text for r in rows if r.toxic == k]) for k in (0, 1)]
+    words = sorted(set(met[0]) | set(met[1]))
+    table = np.array([[m[w] for w in words] for m in met])
+    got = toxicity.log_probabilities(table)
+    assert np.allclose(np.exp(got).sum(1), 1)
+    both, mass = met[0] + met[1], toxicity.SHARED * min(sum(m.values()) for m in met)
+    size = sum(both.values()) + len(both) + 1
+    for k in (0, 1):
+        total, types = sum(met[k].values()), len(met[k])
+        for i, w in enumerate([*words, None]):
+            n = met[k][w] if w else 0
+            p = (max(n - 0.75, 0) + (0.75 * types + mass) * (both[w] + 1) / size) / (total + mass)
+            assert abs(got[k][i] - np.log(p)) < 1e-9
+    # A word of neither class tells the classes apart least, and rare words less than frequent ones.
+    far = [abs(a - b) for a, b in (toxicity.log_probabilities(np.array([[900, 0, 0], [100, 1, 40]])).T)]
+    assert far[1] < far[2] and far[3] < far[2]
+
+
+def test_toxicity_counts_distinct_contexts(spark):
+    docs, labels = _trained(spark)
+    rows = docs.join(labels.select("doc_id", "toxic"), "doc_id").filter("doc_id < 300")
+    tables = toxicity.pair_counts(rows, 2).groupBy("block", "sub").applyInPandas(toxicity._tables, "block int, sub int, data binary")
+    out = np.zeros((2, toxicity.BLOCKS, toxicity.BLOCK), np.int64)
+    for r in toxicity.added_blocks(tables).collect():
+        out[:, r.block] = toxicity.expanded(bytes(r.data), np.int64).reshape(2, -1)
+    out, memo = out.reshape(2, -1), toxicity.WordHashes()
+    for k in (0, 1):
+        met = _continuations([r.text for r in rows.collect() if r.toxic == k])
+        cells = Counter()
+        for w, n in met.items():
+            cells[int(memo[w] & ((1 << toxicity.WORD_BITS) - 1))] += n
+        assert {c: int(n) for c, n in enumerate(out[k].tolist()) if n} == dict(cells)
+
+
 # ---- lines -------------------------------------------------------------------------------
 
 
