@@ -57,6 +57,16 @@ def held_out(doc_id: Column | str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(True))
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of the frame is called that."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 class WordHashes(dict):
     """Hashes of words; the memo is emptied when it holds `most` words, which only costs time."""
 

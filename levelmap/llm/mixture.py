@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from levelmap.llm.common import keep, text_of
+from levelmap.llm.common import free, keep, text_of
 
 SLOTS = 1 << 18
 WEIGHTS = (1, 2, 3)
@@ -152,10 +152,11 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     """`docs` as the mix takes them, with the same columns: a document appears once for each time that its
     words are taken, to the nearest whole, and not at all if fewer than half of them are. Rows that repeat a
     doc_id are one document and appear alike."""
-    taken = mix(docs, **options).groupBy(F.col("doc_id").alias("_doc")).agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
-    times = taken.filter("2 * _taken >= _size and _taken > 0").select("_doc", F.expr("cast(floor(_taken / _size + 0.5) as int)").alias("_times"))
-    joined = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_doc")))
-    return joined.withColumn("_time", F.explode(F.expr("sequence(1, _times)"))).select(*docs.columns)
+    doc, times, time = free(docs, "_doc", "_times", "_time")
+    taken = mix(docs, **options).groupBy(F.col("doc_id").alias(doc)).agg(F.sum("taken").alias("_taken"), F.sum("size").alias("_size"))
+    often = taken.filter("2 * _taken >= _size and _taken > 0").select(doc, F.expr("cast(floor(_taken / _size + 0.5) as int)").alias(times))
+    joined = docs.join(often, F.col("doc_id").eqNullSafe(F.col(doc)))
+    return joined.withColumn(time, F.explode(F.expr(f"sequence(1, {times})"))).select(*docs.columns)
 
 
 #: The same rule over plain windows, for DuckDB. `{documents}` names the table.

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from levelmap.llm.common import keep, text_bytes, text_of
+from levelmap.llm.common import free, keep, text_bytes, text_of
 from levelmap.llm.groups import components, near_in_groups
 from levelmap.llm.overlap import near_copies, shingle_hashes
 
@@ -109,10 +109,11 @@ def representatives(docs: DataFrame, *, least: tuple[int, int] | None = None, **
     Rows that repeat a doc_id are one document, of which the smallest text stays. Rows without a
     doc_id are told apart by their texts and stay only where their component has no id.
     """
+    (key,) = free(docs, "_key")
     unnamed = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
-    keyed = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), unnamed))
-    texts = keyed.select(F.col("_key").alias("doc_id"), "text")
+    keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), unnamed))
+    texts = keyed.select(F.col(key).alias("doc_id"), "text")
     found = near_copies(texts, least=least, **options) if least else near_duplicates(texts, **options)
-    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias("_key")).distinct()
-    rows = keyed.join(kept, "_key", "left_semi").groupBy("_key")
+    kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
+    rows = keyed.join(kept, key, "left_semi").groupBy(key)
     return rows.agg(F.min_by(F.struct(*docs.columns), text_of()).alias("_row")).select("_row.*")

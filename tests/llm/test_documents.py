@@ -507,6 +507,16 @@ def test_search_with_odd_vectors(spark):
     assert {-(2**46) * 64, None} & {r.score for r in got} and topk.top_products(table.limit(0)).count() == 0
 
 
+def test_columns_named_like_our_own_pass_through(spark):
+    rows = [(1, "same line here\nand more of it", "a", *range(1, 8)), (2, "same line here\nsomething else", "a", *range(2, 9)), (3, "other words", "b", *range(3, 10))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, _key int, _KEY_ int, _doc int, _gone int, _times int, _time int, _row int")
+    given = {r[0]: r[3:] for r in rows}
+    for out in (simhash.representatives(docs), mixture.mixed(docs), lines.without_repeats(docs)):
+        got = out.collect()
+        assert out.columns == docs.columns and got and all(tuple(r)[3:] == given[r.doc_id] for r in got)
+    assert lines.without_repeats(docs).filter("doc_id = 2").first().text == "something else"
+
+
 # ---- pages and texts that are hard to read ------------------------------------------------
 
 #: The tags, comments and texts of a page as one pattern; it takes quadratic time on broken pages.
