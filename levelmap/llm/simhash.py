@@ -92,7 +92,7 @@ def near_duplicates(docs: DataFrame, *, words_in_shingle: int = SHINGLE, distanc
         raise ValueError(f"the covering finds pairs of at most {DISTANCE} differing bits")
     rows = keep(fingerprints(docs, words_in_shingle))
     distinct = keep(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(near_in_groups(anchored(distinct), distance, forest=True))
+    roots = components(near_in_groups(anchored(distinct), distance))
     labelled = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     smallest = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = keep(labelled.join(smallest, "root").select("fp", "component_id"))

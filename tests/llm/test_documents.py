@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import random
+import string
 import re
 import time
 import zlib
@@ -254,6 +255,20 @@ def test_line_links_against_all_pairs(spark):
         gone = [no for no, x in enumerate(own) if name(x) in roots and first[roots[name(x)]] != (r.doc_id, no)]
         assert r.removed == gone
         assert [first[roots[name(own[no])]] for no in r.line_nos] == list(zip(r.class_docs, r.class_lines, strict=True))
+        assert r.links == sum(name(x) in pair for x in own for pair in want)
+
+
+def test_a_class_of_many_lines_gives_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(lines, "SHARD", 50)
+    monkeypatch.setattr(lines, "CELLS", 1000)
+    every = [f"one line of ten words and more that ends in {c}{d} and so on" for c in string.ascii_letters for d in "abcdef"]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(every)], "doc_id long, text string").repartition(7)
+    made = lines._verified(docs, 2, 10, every=False).collect()
+    n = len(every)
+    assert len(made) < 200 * n < n * (n - 1) // 2 * 2
+    found = lines.line_classes(docs).collect()
+    assert {r.links for r in found} == {n - 1} and {tuple(r.class_docs) for r in found} == {(0,)}
+    assert lines.links(docs).count() == n * (n - 1) // 2
 
 
 def test_short_lines_are_classed_by_equality(spark):
