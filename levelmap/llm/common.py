@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 import zlib
+from weakref import WeakKeyDictionary
 
 import numpy as np
 import pandas as pd
@@ -40,6 +41,9 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_FOLDERS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
 def keep(df: DataFrame, *, partition_by: str | None = None) -> DataFrame:
     """Writes a frame to the shared folder and reads it back: cuts lineage, survives lost
     executors, and lets the planner see the real size when it chooses a join."""
@@ -49,7 +53,16 @@ def keep(df: DataFrame, *, partition_by: str | None = None) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = spark.read.schema(df.schema).parquet(path)
+    _FOLDERS[kept] = path
+    return kept
+
+
+def discard(*kept: DataFrame) -> None:
+    """Deletes the folders of kept frames, once all that reads them is kept itself."""
+    for df in kept:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(_FOLDERS.pop(df))
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def held_out(doc_id: Column | str = "doc_id") -> Column:

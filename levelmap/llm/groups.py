@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from levelmap.llm.common import keep
+from levelmap.llm.common import discard, keep
 
 CELLS = 1 << 21
 
@@ -155,10 +155,13 @@ def components(links: DataFrame) -> DataFrame:
     roots = keep(both.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
     while not both.isEmpty():
         least = keep(both.groupBy("a").agg(F.min("b").alias("b")).select("a", F.least("a", "b").alias("to")))
+        before = roots, both, least
         roots = keep(
             roots.join(least, F.col("root") == F.col("a"), "left").select("node", F.coalesce("to", "root").alias("root"))
         )
         left = both.join(least, "a").select(F.col("to").alias("a"), "b")
         moved = left.join(least.withColumnsRenamed({"a": "b", "to": "to_b"}), "b").select("a", F.col("to_b").alias("b"))
         both = keep(moved.filter("a <> b").distinct())
+        discard(*before)
+    discard(both)
     return roots

@@ -6,8 +6,9 @@ The order puts frequent shingles last: a first pass counts them in cells by hash
 square root of the number of texts above the mean come after the others. Cells only decide how many
 candidates there are, never which pairs link. Candidates are compared by their whole sets of shingles.
 
-Under a key every text is first compared with one of it, which joins groups of copies; only what these
-links leave apart is compared pair by pair.
+Most keys have one text. An aggregate finds those of several, straight from the texts, and only their part of
+the index is written. Under a key every text is first compared with one of it, which joins groups of copies;
+only what these links leave apart is compared pair by pair.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from levelmap.llm.common import added_blocks, expanded, keep, squeezed, text_bytes
+from levelmap.llm.common import added_blocks, discard, expanded, keep, squeezed, text_bytes
 from levelmap.llm.groups import components
 
 #: Shares as numerator and denominator, so that bounds are whole numbers.
@@ -119,7 +120,9 @@ def _compared(pairs: DataFrame, docs: DataFrame, first: DataFrame, words_in_shin
     met = pairs.join(sets.withColumnsRenamed({"id": "a", "own": "own_a"}), "a").join(sets.withColumnsRenamed({"id": "b", "own": "own_b"}), "b")
     both = F.size(F.array_intersect("own_a", "own_b"))
     enough = both * least[1] >= (F.size("own_a") + F.size("own_b") - both) * least[0]
-    return keep(met.filter(enough).select("a", "b"))
+    similar = keep(met.filter(enough).select("a", "b"))
+    discard(sets)
+    return similar
 
 
 def _may_match(n: Column | str, m: Column | str, least: tuple[int, int]) -> Column:
@@ -129,24 +132,31 @@ def _may_match(n: Column | str, m: Column | str, least: tuple[int, int]) -> Colu
 
 def links(docs: DataFrame, sets: DataFrame, frequent, bits: int, *, words_in_shingle: int, least: tuple[int, int] = LEAST) -> DataFrame:
     """(a, b): pairs of sets that are similar enough, as many as join all that such pairs join."""
-    first = keep(sets.groupBy("id").agg(F.min("doc_id").alias("first_id")))
-    index = keep(_index(docs, words_in_shingle, least, bits, frequent))
-    several = keep(index.groupBy("key").agg(F.min("id").alias("least_id"), F.max("id").alias("most"), F.min_by("n", "id").alias("m")).filter("least_id < most"))
-    shared = keep(index.join(several.drop("most"), "key").distinct())
-    stars = shared.filter(_may_match("n", "m", least)).filter("id <> least_id")
-    joined = _compared(keep(stars.select(F.col("least_id").alias("a"), F.col("id").alias("b")).distinct()), docs, first, words_in_shingle, least)
+    first = keep(sets.groupBy("id").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n")))
+    index = _index(docs, words_in_shingle, least, bits, frequent)
+    ends = index.groupBy("key").agg(F.min("id").alias("least_id"), F.max("id").alias("most"))
+    several = keep(ends.filter("least_id < most").drop("most"))
+    shared = keep(index.join(several, "key").dropDuplicates(["key", "id"]))
+    discard(several)
+    stars = shared.filter("id <> least_id").select(F.col("least_id").alias("a"), F.col("id").alias("b"), "n").distinct()
+    sizes = first.select(F.col("id").alias("a"), F.col("n").alias("m"))
+    alike = keep(stars.join(sizes, "a").filter(_may_match("n", "m", least)).select("a", "b"))
+    joined = _compared(alike, docs, first, words_in_shingle, least)
     roots = components(joined)
     placed = shared.join(roots, shared.id == roots.node, "left").select("key", "id", "n", "at", F.coalesce("root", "id").alias("root"))
-    placed = keep(placed)
     apart = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
     left = keep(placed.join(apart, "key", "left_semi"))
+    discard(shared, alike, roots)
     x, y = left.alias("x"), left.alias("y")
     # What the sets can share if this is the first shingle of the order that both have.
     most = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
     fits = most * (least[0] + least[1]) >= (F.col("x.n") + F.col("y.n")) * least[0]
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & fits)
     pairs = keep(met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
-    return joined.union(_compared(pairs, docs, first, words_in_shingle, least))
+    discard(left)
+    more = _compared(pairs, docs, first, words_in_shingle, least)
+    discard(pairs, first)
+    return joined.union(more)
 
 
 def near_copies(docs: DataFrame, *, words_in_shingle: int, least: tuple[int, int] = LEAST, bits: int = CELL_BITS) -> DataFrame:
