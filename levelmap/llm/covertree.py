@@ -35,7 +35,7 @@ ROUNDS = 2
 CHUNK = 4096
 LEAF = 16
 _SLICE = 1024
-_NODE = ["centre", "first", "end", "child", "children"]
+_NODE = ["first", "end", "child", "children"]
 
 
 def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -47,15 +47,16 @@ def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def build(points: np.ndarray) -> dict[str, np.ndarray]:
-    """A cover tree: the points' order, and for each node, a level after the other, its centre and run as
-    places in that order, its radius, and where its children stand."""
+    """A cover tree: the points' order, and for each node, a level after the other, its run as places in that
+    order, its radius, and where its children stand. A run begins with its centre, or a copy of it, and so
+    does every order that its children bring it into."""
     order = np.arange(len(points))
-    nodes, radius, at = [[0, 0, len(points), 0, 0]], [], 0
+    nodes, radius, at = [[0, len(points), 0, 0]], [], 0
     gaps = [((points - points[0]) ** 2).sum(1)]
     while at < len(nodes):
         node, gap = nodes[at], gaps[at]
         gaps[at] = None
-        _, first, end, _, _ = node
+        first, end, _, _ = node
         reach = int(gap.max(initial=0))
         radius.append(reach)
         if reach and end - first > LEAF:
@@ -67,14 +68,14 @@ def build(points: np.ndarray) -> dict[str, np.ndarray]:
                 far.append(((own - own[nearest.argmax()]) ** 2).sum(1))
                 closer = far[-1] < nearest
                 nearest[closer], group[closer] = far[-1][closer], len(far) - 1
-            sorted_run = np.argsort(group, kind="stable")
+            sorted_run = np.lexsort((nearest, group))
             order[first:end] = run[sorted_run]
             nearest = nearest[sorted_run]
             ends = np.cumsum(np.bincount(group, minlength=len(far)))
-            node[3:] = [len(nodes), len(far)]
+            node[2:] = [len(nodes), len(far)]
             for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
                 gaps.append(nearest[lo:hi])
-                nodes.append([first + lo + int(nearest[lo:hi].argmin()), first + lo, first + hi, 0, 0])
+                nodes.append([first + lo, first + hi, 0, 0])
         at += 1
     table = np.array(nodes, np.int32).reshape(-1, len(_NODE))
     return {"order": order.astype(np.int32), "radius": np.array(radius, np.int64)} | {n: table[:, i] for i, n in enumerate(_NODE)}
@@ -95,7 +96,7 @@ class Assigned:
         level, allowed = np.zeros(1 if len(points) else 0, np.int64), np.ones((1, len(book)), bool)
         self.compared = 0
         while len(level):
-            gap = squares(points[tree["centre"][level]], book)
+            gap = squares(points[tree["first"][level]], book)
             self.compared += gap.size
             top = np.iinfo(np.int64).max
             gap[~allowed] = top

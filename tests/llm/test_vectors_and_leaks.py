@@ -252,3 +252,14 @@ def test_trees_settle_most_nodes_whole():
     found = covertree.Assigned(tree, own, centres)
     assert (found.entries(len(own)) == covertree.squares(own, centres).argmin(1)).all()
     assert found.compared < 0.3 * len(own) * len(centres) and found.size.sum() > 0.9 * len(own)
+
+
+def test_a_run_begins_with_its_centre_and_trees_assign_as_comparing_all_does():
+    rng = np.random.default_rng(4)
+    for points in (rng.integers(-140, 140, (4096, 4)), rng.integers(-3, 4, (4096, 4)), rng.integers(-200_000, 200_000, (3000, 4))):
+        book = points[:64]
+        tree = covertree.build(points)
+        own = points[tree["order"]]
+        for first, end, radius in zip(tree["first"], tree["end"], tree["radius"], strict=True):
+            assert ((own[first:end] - own[first]) ** 2).sum(1).max() <= radius
+        assert (covertree.Assigned(tree, own, book).entries(len(own)) == covertree.squares(own, book).argmin(1)).all()
