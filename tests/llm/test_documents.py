@@ -258,6 +258,20 @@ def test_line_links_against_all_pairs(spark):
         assert r.links == sum(name(x) in pair for x in own for pair in want)
 
 
+def test_short_lines_lose_no_link_where_they_are_joined(spark, monkeypatch):
+    """With `min_words` of 1 the join takes lines of fewer characters than it has segments, too."""
+    monkeypatch.setattr(lines, "TOGETHER", 3)
+    rng = random.Random(5)
+    distinct = sorted({"".join(rng.choice("ab") for _ in range(n % 6 + 1)) for n in range(120)})
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(distinct)], "doc_id long, text string").repartition(3)
+    name = lambda x: int(np.uint64(xxhash.xxh64_intdigest(x, 42)).astype(np.int64))
+    pairs = {tuple(sorted((name(a), name(b)))): _edits(a, b) for i, a in enumerate(distinct) for b in distinct[:i]}
+    want = {pair: d for pair, d in pairs.items() if d <= 2}
+    assert {(r.a, r.b): r.distance for r in lines.links(docs, min_words=1).collect()} == want
+    got = {r.doc_id: r.links for r in lines.line_classes(docs, min_words=1).collect()}
+    assert got == {i: sum(name(x) in pair for pair in want) for i, x in enumerate(distinct)}
+
+
 def test_a_class_of_many_lines_gives_few_rows(spark, monkeypatch):
     monkeypatch.setattr(lines, "SHARD", 50)
     monkeypatch.setattr(lines, "CELLS", 1000)
