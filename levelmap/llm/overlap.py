@@ -8,12 +8,16 @@ candidates there are, never which pairs link. Candidates are compared by their w
 
 Most keys have one text. An aggregate finds those of several, straight from the texts, and only their part of
 the index is written. Under a key every text is first compared with one of it, which joins groups of copies;
-only what these links leave apart is compared pair by pair.
+only what these links leave apart is compared pair by pair. Pairs found otherwise (`met`) join the first of these
+comparisons.
+
+Before whole sets move, pairs are told apart by sketches: each shingle flips one of SKETCH bits, so that two
+sketches differ in no more bits than their sets in shingles, and no similar pair is lost.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +31,10 @@ from levelmap.llm.groups import components
 #: Shares as numerator and denominator, so that bounds are whole numbers.
 LEAST = (4, 5)
 CELL_BITS, BLOCK_BITS = 22, 19
+SKETCH_BITS = 10
+CHUNK = 1 << 16
 RARE = 32
+Met = Callable[[DataFrame], DataFrame]
 
 
 def shingle_hashes(text: bytes, words_in_shingle: int) -> np.ndarray:
@@ -44,6 +51,23 @@ def shingle_hashes(text: bytes, words_in_shingle: int) -> np.ndarray:
     return np.fromiter((digest(line[a:b], seed) for a, b in spans), np.uint64, len(words) - k + 1)
 
 
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """Signed 64-bit SimHash: majority of the hashes' bits; 0 without any."""
+    if not len(hashes):
+        return 0
+    set_in = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), CHUNK):
+        part = hashes[at : at + CHUNK].astype(">u8").view(np.uint8)
+        set_in += np.unpackbits(part).reshape(-1, 64).sum(0, dtype=np.int64)
+    return int(np.packbits(set_in * 2 > len(hashes)).view(">i8")[0])
+
+
+def _sketch(own: np.ndarray) -> np.ndarray:
+    """The parities of a set's shingles by their upper bits, as longs."""
+    cells = (own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+    return np.packbits((np.bincount(cells, minlength=1 << SKETCH_BITS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _set_of(text: bytes, words_in_shingle: int) -> tuple[int, np.ndarray]:
     """The name of a text's set of shingles, and the set in order."""
     own = np.unique(shingle_hashes(text, words_in_shingle))
@@ -51,11 +75,12 @@ def _set_of(text: bytes, words_in_shingle: int) -> tuple[int, np.ndarray]:
 
 
 def _sets_of(docs: DataFrame, words_in_shingle: int, bits: int) -> DataFrame:
-    """(doc_id, id, n) of every row, and the counts of shingles by cell in blocks (doc_id null, n -1)."""
+    """(doc_id, id, n, fp, sketch) of every row, and the counts of shingles by cell in blocks (doc_id null, n -1)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(1 << bits, np.int64), set()
-        names, kinds = ["doc_id", "id", "n", "block", "data"], (*(pa.int64(),) * 3, pa.int32(), pa.binary())
+        names = ["doc_id", "id", "n", "fp", "sketch", "block", "data"]
+        kinds = (*(pa.int64(),) * 4, pa.list_(pa.int64()), pa.int32(), pa.binary())
         for batch in batches:
             found = [_set_of(t.as_py(), words_in_shingle) for t in batch.column(1)]
             fresh = {i: s for i, s in found if i not in seen}
@@ -64,16 +89,19 @@ def _sets_of(docs: DataFrame, words_in_shingle: int, bits: int) -> DataFrame:
                 cells = np.concatenate([*fresh.values()]) & np.uint64((1 << bits) - 1)
                 counts += np.bincount(cells.astype(np.int64), minlength=1 << bits)
             rows = batch.num_rows
-            columns = [batch.column(0), pa.array([i for i, _ in found], pa.int64()), pa.array([len(s) for _, s in found], pa.int64())]
-            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
+            made = [(i, len(s), fingerprint_of(s), _sketch(s)) for i, s in found]
+            columns = [pa.array([m[k] for m in made], kinds[k + 1]) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
         if not seen:
             return
         for block, part in enumerate(np.split(counts, max(1, len(counts) >> BLOCK_BITS))):
             if part.any():
-                row = (None, 0, -1, block, squeezed(part))
+                row = (None, 0, -1, 0, None, block, squeezed(part))
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names)
 
-    return docs.select("doc_id", text_bytes().alias("text")).mapInArrow(each, "doc_id long, id long, n long, block int, data binary")
+    return docs.select("doc_id", text_bytes().alias("text")).mapInArrow(
+        each, "doc_id long, id long, n long, fp long, sketch array<long>, block int, data binary"
+    )
 
 
 def _index(docs: DataFrame, words_in_shingle: int, least: tuple[int, int], bits: int, frequent) -> DataFrame:
@@ -106,6 +134,11 @@ def _index(docs: DataFrame, words_in_shingle: int, least: tuple[int, int], bits:
 
 def _compared(pairs: DataFrame, docs: DataFrame, first: DataFrame, words_in_shingle: int, least: tuple[int, int]) -> DataFrame:
     """Of pairs (a, b) of sets those that are similar enough."""
+    sketches = [first.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab"]
+    differ = F.expr("aggregate(zip_with(sketch_a, sketch_b, (x, y) -> bit_count(x ^ y)), 0, (t, c) -> t + c)")
+    # Sets of sizes n and m with this similarity differ in (n + m) (of - up) / (of + up) shingles at most.
+    close = differ * (least[1] + least[0]) <= (F.col("n_a") + F.col("n_b")) * (least[1] - least[0])
+    pairs = keep(pairs.join(sketches[0], "a").join(sketches[1], "b").filter(close).select("a", "b"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,7 +154,7 @@ def _compared(pairs: DataFrame, docs: DataFrame, first: DataFrame, words_in_shin
     both = F.size(F.array_intersect("own_a", "own_b"))
     enough = both * least[1] >= (F.size("own_a") + F.size("own_b") - both) * least[0]
     similar = keep(met.filter(enough).select("a", "b"))
-    discard(sets)
+    discard(sets, pairs)
     return similar
 
 
@@ -130,9 +163,12 @@ def _may_match(n: Column | str, m: Column | str, least: tuple[int, int]) -> Colu
     return F.least(n, m) * least[1] >= F.greatest(n, m) * least[0]
 
 
-def links(docs: DataFrame, sets: DataFrame, frequent, bits: int, *, words_in_shingle: int, least: tuple[int, int] = LEAST) -> DataFrame:
+def links(
+    docs: DataFrame, sets: DataFrame, frequent, bits: int, *, words_in_shingle: int, least: tuple[int, int] = LEAST, met: Met | None = None
+) -> DataFrame:
     """(a, b): pairs of sets that are similar enough, as many as join all that such pairs join."""
-    first = keep(sets.groupBy("id").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n")))
+    alone = [F.first(c).alias(c) for c in ("n", "fp", "sketch")]
+    first = keep(sets.groupBy("id").agg(F.min("doc_id").alias("first_id"), *alone))
     index = _index(docs, words_in_shingle, least, bits, frequent)
     ends = index.groupBy("key").agg(F.min("id").alias("least_id"), F.max("id").alias("most"))
     several = keep(ends.filter("least_id < most").drop("most"))
@@ -140,7 +176,8 @@ def links(docs: DataFrame, sets: DataFrame, frequent, bits: int, *, words_in_shi
     discard(several)
     stars = shared.filter("id <> least_id").select(F.col("least_id").alias("a"), F.col("id").alias("b"), "n").distinct()
     sizes = first.select(F.col("id").alias("a"), F.col("n").alias("m"))
-    alike = keep(stars.join(sizes, "a").filter(_may_match("n", "m", least)).select("a", "b"))
+    alike = stars.join(sizes, "a").filter(_may_match("n", "m", least)).select("a", "b")
+    alike = keep(alike.union(met(first.select("id", "fp"))).distinct() if met else alike)
     joined = _compared(alike, docs, first, words_in_shingle, least)
     roots = components(joined)
     placed = shared.join(roots, shared.id == roots.node, "left").select("key", "id", "n", "at", F.coalesce("root", "id").alias("root"))
@@ -159,21 +196,24 @@ def links(docs: DataFrame, sets: DataFrame, frequent, bits: int, *, words_in_shi
     return joined.union(more)
 
 
-def near_copies(docs: DataFrame, *, words_in_shingle: int, least: tuple[int, int] = LEAST, bits: int = CELL_BITS) -> DataFrame:
+def near_copies(
+    docs: DataFrame, *, words_in_shingle: int, least: tuple[int, int] = LEAST, bits: int = CELL_BITS, met: Met | None = None
+) -> DataFrame:
     """(doc_id, component_id) for every row of `docs` (doc_id, text), whose doc_ids must not be null.
 
     Documents link if their sets of shingles have a Jaccard similarity of `least` or more; shingles have
     fewer words only where the whole text has. Texts without words have equal sets. component_id is the
-    smallest doc_id reachable, itself included.
+    smallest doc_id reachable, itself included. `met` makes pairs (a, b) to be compared first from the sets'
+    names and SimHash fingerprints (id, fp).
     """
     found = keep(_sets_of(docs, words_in_shingle, bits))
-    sets = found.filter("n >= 0").select("doc_id", "id", "n")
+    sets = found.filter("n >= 0").select("doc_id", "id", "n", "fp", "sketch")
     floor = max(RARE, sets.count() ** 0.5) + (sets.groupBy().sum("n").first()[0] or 0) / (1 << bits)
     parts = found.filter("n < 0").select("block", F.lit(0).alias("sub"), "data")
     late = [np.empty(0, np.int64)]
     late += [np.flatnonzero(expanded(bytes(r.data), np.int64) >= floor) + (r.block << BLOCK_BITS) for r in added_blocks(parts).toLocalIterator()]
     frequent = docs.sparkSession.sparkContext.broadcast(np.concatenate(late))
-    linked = links(docs, sets, frequent, bits, words_in_shingle=words_in_shingle, least=least)
+    linked = links(docs, sets, frequent, bits, words_in_shingle=words_in_shingle, least=least, met=met)
     roots = components(linked)
     named = sets.join(roots, sets.id == roots.node, "left").select("doc_id", "id", F.coalesce("root", "id").alias("root"))
     smallest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))

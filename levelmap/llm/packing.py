@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -28,23 +29,37 @@ END = 1
 BUCKETS, DIMS, BITS = 4096, 4, 12
 
 
+@lru_cache(1)
+def _model(path: str) -> Tokenizer:
+    model = Tokenizer.from_file(path)
+    model.encode_special_tokens = True  # their strings in a text are ordinary text
+    return model
+
+
+def _file(path: str) -> dict:
+    model = Tokenizer.from_file(path)
+    if model.get_vocab_size() > 1 << 16:
+        raise ValueError("two bytes an id are too few for this vocabulary")
+    return json.loads(model.to_str())
+
+
+@lru_cache(1)
 def encoder(path: str) -> Callable[[str], np.ndarray]:
     """From a text to its ids as `tokenizers` gives them for the file at `path`, without special tokens.
 
     Where the file is plain byte-level BPE with its merges in the order of their ids, these ids are
     ranks, and `tiktoken` finds the same ids from the file's vocabulary in less than half the time.
-    Any other file is left to `tokenizers`, and so is a text that `tiktoken` gives up on.
+    Any other file is left to `tokenizers`, and so is a text that `tiktoken` gives up on. A worker makes it
+    once, and holds a model of `tokenizers` only where one is used.
     """
-    model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True  # their strings in a text are ordinary text
-    if model.get_vocab_size() > 1 << 16:
-        raise ValueError("two bytes an id are too few for this vocabulary")
-    ranks = _ranks(json.loads(model.to_str()))
+    file = _file(path)
+    ranks = _ranks(file)
+    del file
     if ranks:
         ranked = tiktoken.Encoding(path, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def plain(text: str) -> np.ndarray:
-        return np.array(model.encode(text, add_special_tokens=False).ids, "<u2")
+        return np.array(_model(path).encode(text, add_special_tokens=False).ids, "<u2")
 
     def fast(text: str) -> np.ndarray:
         try:

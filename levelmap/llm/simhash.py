@@ -19,11 +19,10 @@ from pyspark.sql import functions as F
 
 from levelmap.llm.common import free, keep, text_bytes, text_of
 from levelmap.llm.groups import components, near_in_groups
-from levelmap.llm.overlap import near_copies, shingle_hashes
+from levelmap.llm.overlap import fingerprint_of, near_copies, shingle_hashes
 
 SHINGLE = 3
 DISTANCE = 3
-CHUNK = 1 << 16
 
 
 def fingerprint(text: bytes, words_in_shingle: int = SHINGLE) -> int:
@@ -31,14 +30,7 @@ def fingerprint(text: bytes, words_in_shingle: int = SHINGLE) -> int:
 
     A-Z are lower-cased and words are what ASCII white space separates, as bytes methods do.
     """
-    hashes = shingle_hashes(text, words_in_shingle)
-    if not len(hashes):
-        return 0
-    set_in = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), CHUNK):
-        part = hashes[at : at + CHUNK].astype(">u8").view(np.uint8)
-        set_in += np.unpackbits(part).reshape(-1, 64).sum(0, dtype=np.int64)
-    return int(np.packbits(set_in * 2 > len(hashes)).view(">i8")[0])
+    return fingerprint_of(shingle_hashes(text, words_in_shingle))
 
 
 def fingerprints(docs: DataFrame, words_in_shingle: int = SHINGLE) -> DataFrame:
@@ -101,11 +93,21 @@ def near_duplicates(docs: DataFrame, *, words_in_shingle: int = SHINGLE, distanc
     )
 
 
+def met_by_anchors(sets: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """(a, b): names of sets (id, fp) whose fingerprints differ in `distance` bits or fewer, pairs enough to join them."""
+    named = keep(sets.groupBy("fp").agg(F.min("id").alias("a")))
+    equal = sets.join(named, "fp").filter("id <> a").select("a", F.col("id").alias("b"))
+    near = near_in_groups(anchored(named), distance).withColumnsRenamed({"a": "fp", "b": "fp_b"})
+    other = named.withColumnsRenamed({"fp": "fp_b", "a": "b"})
+    return equal.union(near.join(named, "fp").join(other, "fp_b").select("a", "b"))
+
+
 def representatives(docs: DataFrame, *, least: tuple[int, int] | None = None, **options) -> DataFrame:
     """`docs` with one document of each component: that of the smallest doc_id, with the same columns.
 
     Components are those of near fingerprints or, where `least` is given as numerator and denominator,
-    of that Jaccard similarity or more between sets of shingles, which 64 bits cannot find (`near_copies`).
+    of that Jaccard similarity or more between sets of shingles: near fingerprints of the sets are found under
+    their anchors and compared first, then what 64 bits cannot find (`near_copies`).
     Rows that repeat a doc_id are one document, of which the smallest text stays. Rows without a
     doc_id are told apart by their texts and stay only where their component has no id.
     """
@@ -113,7 +115,7 @@ def representatives(docs: DataFrame, *, least: tuple[int, int] | None = None, **
     unnamed = F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)) + F.lit(1 << 62)
     keyed = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), unnamed))
     texts = keyed.select(F.col(key).alias("doc_id"), "text")
-    found = near_copies(texts, least=least, **options) if least else near_duplicates(texts, **options)
+    found = near_copies(texts, least=least, met=met_by_anchors, **options) if least else near_duplicates(texts, **options)
     kept = found.filter("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
     rows = keyed.join(kept, key, "left_semi").groupBy(key)
     return rows.agg(F.min_by(F.struct(*docs.columns), text_of()).alias("_row")).select("_row.*")

@@ -27,6 +27,8 @@ PAD = 255
 #: Code lengths of the difference categories 0 to 8, for text read as samples.
 LENGTHS = {2: 3, 3: 3, 4: 3, 5: 3, 6: 3, 7: 3, 0: 4, 1: 4, 8: 6}
 BATCH = 1 << 21
+#: Frames coded in one step, whose working arrays take some 70 bytes a sample.
+STEP = 1 << 10
 BINS = 16
 PRECEDING = 8
 
@@ -242,7 +244,7 @@ def store(docs: DataFrame) -> DataFrame:
                 counts = [max(1, -(-len(t) // FRAME)) for t in texts]
                 payload = b"".join(t.ljust(k * FRAME, bytes([PAD])) for t, k in zip(texts, counts, strict=True))
                 samples = np.frombuffer(payload, np.uint8).reshape(-1, SIDE, SIDE)
-                frames = [f for at in range(0, len(samples), 4096) for f in encode_frames(samples[at : at + 4096])]
+                frames = [f for at in range(0, len(samples), STEP) for f in encode_frames(samples[at : at + STEP])]
                 files, at = [], 0
                 for k in counts:
                     files.append(avi(frames[at : at + k]))
@@ -261,7 +263,7 @@ def _read(batch: pa.RecordBatch, column: int):
         media = [m.as_py() for m in batch.column(column).slice(lo, hi - lo)]
         parsed = [frames_of(m) for m in media]
         frames = [f for own, _ in parsed for f in own]
-        samples = np.concatenate([decode_frames(frames[at : at + 4096]) for at in range(0, len(frames), 4096)])
+        samples = np.concatenate([decode_frames(frames[at : at + STEP]) for at in range(0, len(frames), STEP)])
         counts = np.array([len(own) for own, _ in parsed])
         yield lo, media, samples, counts, [r for _, r in parsed], cuts(samples, np.repeat(np.arange(len(counts)), counts))
 

@@ -8,6 +8,7 @@ import random
 import string
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 from itertools import product
@@ -15,13 +16,14 @@ from itertools import product
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from levelmap.llm import catalog, lines, mincut, mixture, packing, quality, simhash, topk, toxicity, urlrules, video
+from levelmap.llm import catalog, lines, mincut, mixture, overlap, packing, quality, simhash, topk, toxicity, urlrules, video
 from levelmap.llm.groups import components
 
 SF = "/root/testdata/sf0.001"
@@ -113,6 +115,18 @@ def test_video_random_frames_and_foreign_tables():
         video.frames_of(b"RIFF....WAVE")
 
 
+def test_frames_are_coded_in_little_memory():
+    samples = np.random.default_rng(1).integers(97, 122, (3600, 24, 24)).astype(np.uint8)
+    batch = pa.RecordBatch.from_arrays([pa.array([video.avi(video.encode_frames(samples))], pa.binary())], ["media"])
+    tracemalloc.start()
+    try:
+        ((_, _, read, *_),) = video._read(batch, 0)
+        assert tracemalloc.get_traced_memory()[1] < 50 << 20
+    finally:
+        tracemalloc.stop()
+    assert (read == samples).all()
+
+
 def test_shots(spark):
     text = "a" * 576 * 12 + "~" * 576 * 5 + "a" * 576 * 3
     docs = spark.createDataFrame([(1, text), (2, "short")], "doc_id long, text string")
@@ -411,6 +425,30 @@ def test_near_duplicate_stage_against_all_pairs(spark):
     assert sorted(r.doc_id for r in got) == sorted(set(_roots(ids, pairs).values()))
 
 
+def test_near_duplicate_stage_meets_sets_under_their_anchors(spark, monkeypatch):
+    met, real = [], simhash.met_by_anchors
+    monkeypatch.setattr(simhash, "met_by_anchors", lambda sets: met.append(real(sets).collect()) or real(sets))
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(500)}" for _ in range(400)]
+    texts = [[*base[:at], "other", *base[at + 1 :]] for at in range(0, 400, 40)] + [[f"x{rng.randrange(500)}" for _ in range(50)]]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()) == [0, 10]
+    bits = {i: _plain_bits(_shingles(" ".join(t))) for i, t in enumerate(texts)}
+    near = [(a, b) for a in bits for b in range(a) if (bits[a] ^ bits[b]).bit_count() <= simhash.DISTANCE]
+    joined = _roots(sorted({r.a for r in met[0]} | {r.b for r in met[0]}), [(r.a, r.b) for r in met[0]])
+    groups = Counter(Counter(_roots(sorted(bits), near).values()).values())
+    assert Counter(Counter(joined.values()).values()) == Counter({n: k for n, k in groups.items() if n > 1}) and near
+
+
+def test_sketches_differ_in_no_more_bits_than_sets():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 50, 3000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        b = np.unique(np.r_[a[n // 5 :], rng.integers(0, 1 << 63, n // 4, dtype=np.uint64)])
+        flipped = int(np.bitwise_count((overlap._sketch(a) ^ overlap._sketch(b)).view(np.uint64)).sum())
+        assert flipped <= len(np.setxor1d(a, b)) and (n < 1000 or flipped > 200)
+
+
 def _plain_bits(shingles) -> int:
     hashes = [xxhash.xxh64_intdigest(b" ".join(s), 42) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
@@ -502,6 +540,13 @@ def test_ids_are_those_of_the_tokenizer(name, ranked):
         assert encode(text).tolist() == right.ids
 
 
+def test_a_worker_makes_its_encoder_once():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    packing._model.cache_clear()
+    encode = packing.encoder(path)
+    assert len(encode("plain words")) and packing.encoder(path) is encode and not packing._model.cache_info().currsize
+
+
 def test_hilbert_places_are_a_walk_through_all_cells():
     bits = 2
     cells = np.array(list(product(range(4), repeat=packing.DIMS)))
