@@ -232,6 +232,67 @@ def test_toxicity_counts_distinct_contexts(spark):
         assert {c: int(n) for c, n in enumerate(out[k].tolist()) if n} == dict(cells)
 
 
+def _model_of(tables):
+    blocks = toxicity.added_blocks(tables).mapInPandas(toxicity._by_bytes, "block int, data binary")
+    return toxicity.Model.of([(r.block, bytes(r.data)) for r in blocks.collect()])
+
+
+def test_toxicity_pairs_are_discounted_and_interpolated(spark):
+    docs, labels = _trained(spark)
+    rows = docs.join(labels.select("doc_id", "toxic"), "doc_id").filter("doc_id < 120")
+    tables = toxicity.pair_counts(rows, 2).groupBy("block", "sub").applyInPandas(toxicity._counted, "block int, sub int, data binary")
+    model = _model_of(tables)
+    texts, memo = [[], []], toxicity.WordHashes()
+    for r in rows.collect():
+        own = toxicity.WORDS.findall(r.text.lower())
+        texts[r.toxic].append(set(zip([None, *own[:-1]], own)))
+    c = [Counter(p for own in texts[k] for p in own) for k in (0, 1)]
+    words = sorted({w for k in (0, 1) for _, w in c[k]})
+    lower = np.exp(toxicity.log_probabilities(np.array([[len({v for v, x in c[k] if x == w}) for w in words] for k in (0, 1)])))
+    both = c[0] + c[1]
+
+    def discounted(counts, v, w, p):
+        own = {x: n for (u, x), n in counts.items() if u == v}
+        return max(own.get(w, 0) - 0.75, 0) + 0.75 * len(own) * p, sum(own.values())
+
+    cell = {w: int(memo[w] & ((1 << toxicity.WORD_BITS) - 1)) if w else 0 for w in (None, *words, "neverseen", "unheard")}
+    assert len(set(cell.values())) == len(cell)
+    after, checked = [*words, "unheard"], 0
+
+    def placed(v, ws):
+        follow = np.array([cell[v] << toxicity.WORD_BITS | cell[w] for w in ws], np.uint64)
+        return follow, [(cell[v] >> toxicity.BLOCK_BITS, at) for at in toxicity.pair_cells(follow).tolist()]
+
+    of_cell = {}
+    for v, w in both:
+        of_cell.setdefault(placed(v, [w])[1][0], set()).add((v, w))
+    for v in (None, *words[::9], "neverseen"):
+        keys = np.array([cell[w] << toxicity.CONTEXT_BITS for w in after], np.uint64)
+        follow, cells = placed(v, after)
+        if any(of_cell.get(at, set()) - {(v, w)} for w, at in zip(after, cells, strict=True)):
+            continue  # pairs of one cell share their counts
+        checked += 1
+        _, got = model.probabilities(keys, follow)
+        assert np.allclose(got.sum(1), 1, atol=1e-5)
+        least = min(sum(n for (u, _), n in c[k].items() if u == v) for k in (0, 1))
+        mass = toxicity.SHARED_PAIRS * least + 1
+        for k in (0, 1):
+            for i, w in enumerate(after):
+                of_both, n = discounted(both, v, w, lower[k][i])
+                own, total = discounted(c[k], v, w, lower[k][i])
+                want = (own + mass * (of_both / n if n else lower[k][i])) / (total + mass)
+                assert abs(got[k][i] - want) < 1e-5 * want
+    assert checked > 20
+    # A pair that toxic texts have and ordinary ones have not tells more than its words alone.
+    made = [(i, "you are kind and the fool is here" if i % 2 else "kind of you the and fool are here is you", i % 2) for i in range(60)]
+    frame = spark.createDataFrame(made, "doc_id long, text string, toxic int")
+    tables = toxicity.pair_counts(frame, 1).groupBy("block", "sub").applyInPandas(toxicity._counted, "block int, sub int, data binary")
+    model = _model_of(tables)
+    keys, follow, first, lengths = toxicity.keys_of(["the fool"], memo)
+    alone, paired = model.differences(keys, follow)
+    assert first.all() and lengths.tolist() == [2] and paired[1] > alone[1]
+
+
 # ---- lines -------------------------------------------------------------------------------
 
 
