@@ -11,8 +11,9 @@ the index is written. Under a key every text is first compared with one of it, w
 only what these links leave apart is compared pair by pair. Pairs found otherwise (`met`) join the first of these
 comparisons.
 
-Before whole sets move, pairs are told apart by sketches: each shingle flips one of SKETCH bits, so that two
-sketches differ in no more bits than their sets in shingles, and no similar pair is lost.
+Before whole sets move, pairs are told apart by sketches: each shingle flips one of 2^SKETCH_BITS bits, so that two
+sketches differ in no more bits than their sets in shingles, and no similar pair is lost. Those of large sets are
+full and rule out little, so what they leave is told apart by others that have a bit for each shingle or more.
 """
 
 from __future__ import annotations
@@ -68,6 +69,16 @@ def _sketch(own: np.ndarray) -> np.ndarray:
     return np.packbits((np.bincount(cells, minlength=1 << SKETCH_BITS) & 1).astype(np.uint8)).view(np.int64)
 
 
+def _wide_sketch(own: np.ndarray) -> np.ndarray | None:
+    """Of a set of more shingles than `_sketch` has bits, their parities by their lower bits, in a power of two that is
+    at least their number; the halves of a sketch, one flipped by the other, are that of half the bits."""
+    if len(own) <= 1 << SKETCH_BITS:
+        return None
+    bits = 1 << (len(own) - 1).bit_length()
+    cells = (own & np.uint64(bits - 1)).astype(np.int64)
+    return np.packbits((np.bincount(cells, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _set_of(text: bytes, words_in_shingle: int) -> tuple[int, np.ndarray]:
     """The name of a text's set of shingles, and the set in order."""
     own = np.unique(shingle_hashes(text, words_in_shingle))
@@ -75,12 +86,12 @@ def _set_of(text: bytes, words_in_shingle: int) -> tuple[int, np.ndarray]:
 
 
 def _sets_of(docs: DataFrame, words_in_shingle: int, bits: int) -> DataFrame:
-    """(doc_id, id, n, fp, sketch) of every row, and the counts of shingles by cell in blocks (doc_id null, n -1)."""
+    """(doc_id, id, n, fp, sketch, wide) of every row, and the counts of shingles by cell in blocks (doc_id null, n -1)."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = np.zeros(1 << bits, np.int64), set()
-        names = ["doc_id", "id", "n", "fp", "sketch", "block", "data"]
-        kinds = (*(pa.int64(),) * 4, pa.list_(pa.int64()), pa.int32(), pa.binary())
+        names = ["doc_id", "id", "n", "fp", "sketch", "wide", "block", "data"]
+        kinds = (*(pa.int64(),) * 4, *(pa.list_(pa.int64()),) * 2, pa.int32(), pa.binary())
         for batch in batches:
             found = [_set_of(t.as_py(), words_in_shingle) for t in batch.column(1)]
             fresh = {i: s for i, s in found if i not in seen}
@@ -89,18 +100,18 @@ def _sets_of(docs: DataFrame, words_in_shingle: int, bits: int) -> DataFrame:
                 cells = np.concatenate([*fresh.values()]) & np.uint64((1 << bits) - 1)
                 counts += np.bincount(cells.astype(np.int64), minlength=1 << bits)
             rows = batch.num_rows
-            made = [(i, len(s), fingerprint_of(s), _sketch(s)) for i, s in found]
-            columns = [pa.array([m[k] for m in made], kinds[k + 1]) for k in range(4)]
+            made = [(i, len(s), fingerprint_of(s), _sketch(s), _wide_sketch(s)) for i, s in found]
+            columns = [pa.array([m[k] for m in made], kinds[k + 1]) for k in range(5)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
         if not seen:
             return
         for block, part in enumerate(np.split(counts, max(1, len(counts) >> BLOCK_BITS))):
             if part.any():
-                row = (None, 0, -1, 0, None, block, squeezed(part))
+                row = (None, 0, -1, 0, None, None, block, squeezed(part))
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names)
 
     return docs.select("doc_id", text_bytes().alias("text")).mapInArrow(
-        each, "doc_id long, id long, n long, fp long, sketch array<long>, block int, data binary"
+        each, "doc_id long, id long, n long, fp long, sketch array<long>, wide array<long>, block int, data binary"
     )
 
 
@@ -134,11 +145,21 @@ def _index(docs: DataFrame, words_in_shingle: int, least: tuple[int, int], bits:
 
 def _compared(pairs: DataFrame, docs: DataFrame, first: DataFrame, words_in_shingle: int, least: tuple[int, int]) -> DataFrame:
     """Of pairs (a, b) of sets those that are similar enough."""
-    sketches = [first.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab"]
-    differ = F.expr("aggregate(zip_with(sketch_a, sketch_b, (x, y) -> bit_count(x ^ y)), 0, (t, c) -> t + c)")
+    sizes = [first.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in "ab"]
+    wide = [first.select(F.col("id").alias(x), F.col("wide").alias(f"sketch_{x}")) for x in "ab"]
+
+    def halved(x: str, y: str) -> str:
+        n = f"size(sketch_{y})"
+        return f"if(size(sketch_{x}) > {n}, zip_with(slice(sketch_{x}, 1, {n}), slice(sketch_{x}, {n} + 1, {n}), (x, y) -> x ^ y), sketch_{x})"
+
+    differ = F.expr(f"aggregate(zip_with({halved('a', 'b')}, {halved('b', 'a')}, (x, y) -> bit_count(x ^ y)), 0, (t, c) -> t + c)")
     # Sets of sizes n and m with this similarity differ in (n + m) (of - up) / (of + up) shingles at most.
     close = differ * (least[1] + least[0]) <= (F.col("n_a") + F.col("n_b")) * (least[1] - least[0])
-    pairs = keep(pairs.join(sketches[0], "a").join(sketches[1], "b").filter(close).select("a", "b"))
+    near = keep(pairs.join(sizes[0], "a").join(sizes[1], "b").filter(close & _may_match("n_a", "n_b", least)).select("a", "b", "n_a", "n_b"))
+    # Sets that may match differ by a factor of two at most in the bits of their sketches.
+    told = near.join(wide[0], "a").join(wide[1], "b").filter(F.isnull("sketch_a") | F.isnull("sketch_b") | close)
+    pairs = keep(told.select("a", "b"))
+    discard(near)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,7 +188,7 @@ def links(
     docs: DataFrame, sets: DataFrame, frequent, bits: int, *, words_in_shingle: int, least: tuple[int, int] = LEAST, met: Met | None = None
 ) -> DataFrame:
     """(a, b): pairs of sets that are similar enough, as many as join all that such pairs join."""
-    alone = [F.first(c).alias(c) for c in ("n", "fp", "sketch")]
+    alone = [F.first(c).alias(c) for c in ("n", "fp", "sketch", "wide")]
     first = keep(sets.groupBy("id").agg(F.min("doc_id").alias("first_id"), *alone))
     index = _index(docs, words_in_shingle, least, bits, frequent)
     ends = index.groupBy("key").agg(F.min("id").alias("least_id"), F.max("id").alias("most"))
@@ -207,7 +228,7 @@ def near_copies(
     names and SimHash fingerprints (id, fp).
     """
     found = keep(_sets_of(docs, words_in_shingle, bits))
-    sets = found.filter("n >= 0").select("doc_id", "id", "n", "fp", "sketch")
+    sets = found.filter("n >= 0").select("doc_id", "id", "n", "fp", "sketch", "wide")
     floor = max(RARE, sets.count() ** 0.5) + (sets.groupBy().sum("n").first()[0] or 0) / (1 << bits)
     parts = found.filter("n < 0").select("block", F.lit(0).alias("sub"), "data")
     late = [np.empty(0, np.int64)]

@@ -510,6 +510,40 @@ def test_sketches_differ_in_no_more_bits_than_sets():
         assert flipped <= len(np.setxor1d(a, b)) and (n < 1000 or flipped > 200)
 
 
+def test_wide_sketches_tell_large_sets_apart(spark):
+    rng = np.random.default_rng(4)
+
+    def wide(own, longs):
+        out = overlap._wide_sketch(own)
+        return out if len(out) == longs else out[:longs] ^ out[longs:]
+
+    assert overlap._wide_sketch(np.arange(1024, dtype=np.uint64)) is None
+    for n, m in ((1100, 1100), (2000, 2100), (9000, 8000)):
+        a, other = (np.unique(rng.integers(0, 1 << 63, k, dtype=np.uint64) * np.uint64(2)) for k in (n, m))
+        near = np.unique(np.r_[a[n // 10 :], other[: n // 10 + m - n]]) if m >= n else np.sort(a[:m])
+        for b in (other, near):
+            longs = min(len(overlap._wide_sketch(s)) for s in (a, b))
+            flipped = int(np.bitwise_count((wide(a, longs) ^ wide(b, longs)).view(np.uint64)).sum())
+            assert flipped <= len(np.setxor1d(a, b))
+            assert (flipped * 9 > len(a) + len(b)) == (b is other)
+    # Texts of thousands of words that share a rare passage are ruled out before their sets move.
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(["rare", "words", "that", "meet", f"in{i % 2}", *random.Random(i).choices(words, k=6000)]) for i in range(6)]
+    docs = spark.createDataFrame([(i, t + (" end" if i else "")) for i, t in enumerate([*texts, texts[0]])], "doc_id long, text string")
+    sets = overlap._sets_of(docs, 5, 12).filter("n >= 0")
+    first = sets.groupBy("id").agg(F.min("doc_id").alias("first_id"), *[F.first(c).alias(c) for c in ("n", "fp", "sketch", "wide")])
+    ids = sorted(r.id for r in first.select("id").collect())
+    pairs = spark.createDataFrame([(a, b) for a in ids for b in ids if a < b], "a long, b long")
+    names = {r.id: r.first_id for r in first.collect()}
+    moved, real = [], overlap.keep
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(overlap, "keep", lambda df: moved.append(out := real(df)) or out)
+        patch.setattr(overlap, "discard", lambda *kept: None)
+        found = overlap._compared(pairs, docs, first, 5, (4, 5)).collect()
+    assert [{names[r.a], names[r.b]} for r in found] == [{0, 6}]
+    assert [len(df.collect()) for df in moved if "own" in df.columns] == [2]
+
+
 def _plain_bits(shingles) -> int:
     hashes = [xxhash.xxh64_intdigest(b" ".join(s), 42) for s in shingles]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
