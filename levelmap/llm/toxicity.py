@@ -10,7 +10,7 @@ log-likelihoods under both, by the lower order alone and by both orders: per wor
 most toxic window and at its most toxic word; a logistic curve turns these into a probability.
 
 Counts cover all learning rows but those, CALIBRATION_ROWS at most or so, that set the curve. Words are
-hashed to 2^22 cells, contexts to 2^16 and pairs to 2^24, so the model has one size at any size of the input,
+hashed to 2^22 cells, contexts to 2^16 and pairs to 2^23, so the model has one size at any size of the input,
 which bounds what is collected and broadcast; words or pairs of one cell share their counts.
 """
 
@@ -23,6 +23,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,13 +36,13 @@ DISCOUNT = 0.75
 SHARED = 64.0
 #: The mass of what both classes have after a word, in units of the smaller class's count of it.
 SHARED_PAIRS = 256.0
-#: Pairs are counted in 2^18 cells for each block of the words they begin with, 2^24 in all.
-PAIR_BITS = 18
+#: Pairs are counted in 2^17 cells for each block of the words they begin with, 2^23 in all.
+PAIR_BITS = 17
 FEATURES = 7
 WINDOW = 16
 THRESHOLD = 0.7
 CALIBRATION_ROWS = 20_000
-CHARS = 1 << 20
+CHARS, RUN_CHARS = 1 << 18, 1 << 23
 WORDS = re.compile(r"\w+")
 
 
@@ -93,28 +94,35 @@ def pair_counts(learning: DataFrame, subs: int) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
-            texts, toxic = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
-            keys: tuple[list, list] = ([], [])
-            after: tuple[list, list] = ([], [])
-            for lo, hi in slices(np.array([len(t) for t in texts]), CHARS):
-                own, follow, first, lengths = keys_of(texts[lo:hi], memo)
-                of = np.repeat(toxic[lo:hi], lengths)[first]
-                for k in (0, 1):
-                    keys[k].append(own[first][of == k])
-                    after[k].append(follow[first][of == k])
-            rows = []
+            lengths = pc.utf8_length(batch.column(0)).to_numpy(zero_copy_only=False)
+            for at, end in slices(lengths, RUN_CHARS):
+                yield from counted(batch.slice(at, end - at), memo)
+
+    def counted(batch: pa.RecordBatch, memo: WordHashes) -> Iterator[pa.RecordBatch]:
+        texts, toxic = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
+        keys: tuple[list, list] = ([], [])
+        after: tuple[list, list] = ([], [])
+        for lo, hi in slices(np.array([len(t) for t in texts]), CHARS):
+            own, follow, first, lengths = keys_of(texts[lo:hi], memo)
+            of = np.repeat(toxic[lo:hi], lengths)[first]
             for k in (0, 1):
-                pairs = np.unique(np.concatenate(keys[k]))
-                for where, at in _parts(pairs, CONTEXT_BITS, subs):
-                    rows.append((where // subs, where % subs, k, _packed(pairs[at].astype(np.uint32), np.uint32), None, None))
-                pairs, texts_with = np.unique(np.concatenate(after[k]), return_counts=True)
-                for where, at in _parts(pairs, WORD_BITS, subs):
-                    follow = _packed(pairs[at] & np.uint64((1 << BLOCK_BITS + WORD_BITS) - 1), np.uint64)
-                    rows.append((where // subs, where % subs, k, None, follow, squeezed(texts_with[at].astype(np.uint32))))
-            if rows:
-                kinds = (pa.int32(),) * 3 + (pa.binary(),) * 3
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, ["block", "sub", "toxic", "pairs", "follow", "texts"])
+                keys[k].append(own[first][of == k])
+                after[k].append(follow[first][of == k])
+        rows = []
+        for k in (0, 1):
+            pairs = np.unique(np.concatenate(keys[k]))
+            keys[k].clear()
+            for where, at in _parts(pairs, CONTEXT_BITS, subs):
+                rows.append((where // subs, where % subs, k, _packed(pairs[at].astype(np.uint32), np.uint32), None, None))
+            pairs, texts_with = np.unique(np.concatenate(after[k]), return_counts=True)
+            after[k].clear()
+            for where, at in _parts(pairs, WORD_BITS, subs):
+                follow = _packed(pairs[at] & np.uint64((1 << BLOCK_BITS + WORD_BITS) - 1), np.uint64)
+                rows.append((where // subs, where % subs, k, None, follow, squeezed(texts_with[at].astype(np.uint32))))
+        if rows:
+            kinds = (pa.int32(),) * 3 + (pa.binary(),) * 3
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, ["block", "sub", "toxic", "pairs", "follow", "texts"])
 
     return learning.select("text", F.col("toxic").cast("int")).mapInArrow(
         each, "block int, sub int, toxic int, pairs binary, follow binary, texts binary"
@@ -184,7 +192,7 @@ class Blocks:
 
     def model(self) -> Model:
         if self.expanded is None:
-            self.expanded = Model.of(self.blocks)
+            self.expanded, self.blocks = Model.of(self.blocks), []
         return self.expanded
 
     def __getstate__(self) -> dict:
