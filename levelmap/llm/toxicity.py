@@ -180,8 +180,28 @@ def _counted(frame: pd.DataFrame) -> pd.DataFrame:
 def _by_bytes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Counts with their lowest bytes first, then the next, as they pack best."""
     for frame in frames:
-        data = [squeezed(np.frombuffer(expanded(d, np.int64), np.uint8).reshape(-1, 8).T) for d in frame.data]
-        yield pd.DataFrame({"block": frame.block, "data": data})
+        yield pd.DataFrame({"block": frame.block, "data": [_lowest_first(expanded(d, np.int64)) for d in frame.data]})
+
+
+def _lowest_first(counts: np.ndarray) -> bytes:
+    return squeezed(counts.view(np.uint8).reshape(-1, 8).T)
+
+
+def counted_blocks(parts: DataFrame) -> DataFrame:
+    """The counts of `pair_counts` summed to one row (block, data) per block, packed as by `_by_bytes`.
+
+    No stage has two Python steps, so that a task needs one worker and not two, which stay after it. A block has
+    one row per sub to be summed.
+    """
+
+    def whole(frame: pd.DataFrame) -> pd.DataFrame:
+        total = expanded(frame.data[0], np.int64).copy()
+        for data in frame.data[1:]:
+            total += expanded(data, np.int64)
+        return pd.DataFrame({"block": frame.block[:1], "data": [_lowest_first(total)]})
+
+    tables = parts.groupBy("block", "sub").applyInPandas(_counted, "block int, sub int, data binary")
+    return tables.groupBy("block").applyInPandas(whole, "block int, data binary")
 
 
 class Blocks:
@@ -345,8 +365,7 @@ def fitted(docs: DataFrame, labels: DataFrame):
     texts = docs.select("doc_id", text_of().alias("text")).filter(~held_out())
     subs = -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // BLOCKS)
     learning = texts.filter(~aside).join(known.filter(~aside).hint("shuffle_hash"), "doc_id")
-    tables = pair_counts(learning, subs).groupBy("block", "sub").applyInPandas(_counted, "block int, sub int, data binary")
-    blocks = added_blocks(tables).mapInPandas(_by_bytes, "block int, data binary")
+    blocks = counted_blocks(pair_counts(learning, subs))
     shared = spark.sparkContext.broadcast(Blocks([(r.block, bytes(r.data)) for r in blocks.collect()]))
 
     calibration = texts.filter(aside).join(known.filter(aside).hint("shuffle_hash"), "doc_id")

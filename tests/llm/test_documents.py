@@ -237,6 +237,18 @@ def _model_of(tables):
     return toxicity.Model.of([(r.block, bytes(r.data)) for r in blocks.collect()])
 
 
+def test_toxicity_counts_need_one_worker_a_task(spark):
+    docs, labels = _trained(spark)
+    rows = docs.join(labels.select("doc_id", "toxic"), "doc_id").filter("doc_id < 120")
+    counts = toxicity.counted_blocks(toxicity.pair_counts(rows, 2))
+    plan = counts._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    stages = plan.split("Exchange")
+    assert [len(re.findall(r"\w+InPandas|MapInArrow", s)) for s in stages] == [1, 1, 1, 0, 0][: len(stages)]
+    tables = toxicity.pair_counts(rows, 2).groupBy("block", "sub").applyInPandas(toxicity._counted, "block int, sub int, data binary")
+    want = toxicity.added_blocks(tables).mapInPandas(toxicity._by_bytes, "block int, data binary").collect()
+    assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, want))
+
+
 def test_toxicity_pairs_are_discounted_and_interpolated(spark):
     docs, labels = _trained(spark)
     rows = docs.join(labels.select("doc_id", "toxic"), "doc_id").filter("doc_id < 120")
