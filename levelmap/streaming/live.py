@@ -25,6 +25,7 @@ from levelmap import fixed
 from levelmap.operators import alerts, joins, sessions, zones
 from levelmap.plans import publish
 from levelmap.schemas import SHEET_KEYS, Params
+from levelmap.sources.sinks import write_by_session
 from levelmap.sources.ticks import bar_end, bars_of_cells, first_ticks_of_cells, merged_cells, price_cells
 from levelmap.sources.versions import DayTables, Files, days_of, read_days
 from levelmap.streaming.context import Turns, seeded_context
@@ -103,7 +104,7 @@ def start_feed(
         raised = Turns(spark, f"{checkpoint}/raised", RAISED_SCHEMA)
         name, closed_before = f"batch_id={batch_id}", mark.before(batch_id)
         timed = batch.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
-        price_cells(timed, interval, tz).write.mode("overwrite").partitionBy("session_date").parquet(f"{out}/cells/{name}")
+        write_by_session(price_cells(timed, interval, tz), f"{out}/cells/{name}", whole=True)
         days = sorted(days_of(Files(spark, out), f"cells/{name}"))
         if not days:
             return
@@ -112,7 +113,7 @@ def start_feed(
         is_late = F.col("ends") <= F.lit(closed_before) if closed_before is not None else F.lit(False)
         newest, late = ended.agg(F.max(F.col("cell")[3]), F.count_if(is_late)).first()
         if late:
-            ended.filter(is_late).select(*publish.CELL_SCHEMA.names).write.mode("overwrite").partitionBy("session_date").parquet(f"{out}/late/{name}")
+            write_by_session(ended.filter(is_late).select(*publish.CELL_SCHEMA.names), f"{out}/late/{name}", whole=True)
         closes = max(newest - wait, closed_before if closed_before is not None else newest - wait)
         held = _ended(opened.before(batch_id), interval, tz)
         if closed_before is not None:
@@ -143,7 +144,7 @@ def start_feed(
             raised.put(both, batch_id)
 
         def count_touches() -> None:
-            context.filter(is_closed).select(*CONTEXT_SCHEMA.names).write.mode("overwrite").partitionBy("session_date").parquet(f"{out}/contexts/{name}")
+            write_by_session(context.filter(is_closed).select(*CONTEXT_SCHEMA.names), f"{out}/contexts/{name}", whole=True)
             closed_days = sorted(days_of(Files(spark, out), f"contexts/{name}"))
             if closed_days:
                 told = zoned.filter(F.col("session_date").isin(closed_days))

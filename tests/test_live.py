@@ -118,3 +118,20 @@ def test_touches_are_counted_again_under_a_corrected_sheet(spark, tmp_path):
     context = sessions.bar_context(bars(ticks).filter(F.col("ts") < F.lit(at(DAY, 13))))
     want = sorted((r.zone_seq, r.touches) for r in zones.touch_counts(zones.with_zones(sheets), context).collect())
     assert touches() == want and len(want) == 2 and want != [(1, 0), (2, 0)]
+
+
+def test_a_session_is_one_file_however_many_partitions(spark, tmp_path):
+    """Folders of sessions times partitions would grow with the square of the input."""
+    days = [DAY + dt.timedelta(days=i) for i in range(4)]
+    ticks = [(at(d, 9 + h), 100 * i + h, 19000 + 2 * h) for i, d in enumerate(days) for h in range(8)]
+    sheets = make_sheets(spark, *({**LEVELS, "session_date": d} for d in days))
+    write_events(spark, ticks, str(tmp_path / "feed"), "S")
+    write_events(spark, ticks, str(tmp_path / "feed"), "T")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        run(spark, tmp_path, sheets)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for table in ("live/cells/batch_id=0", "live/contexts/batch_id=0", "cp/open/turn-0"):
+        found = sorted(p.parent.name for p in (tmp_path / table).rglob("*.parquet"))
+        assert found == [f"session_date={d}" for d in days], table
