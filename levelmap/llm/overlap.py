@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from levelmap.llm.common import added_blocks, discard, expanded, keep, squeezed, text_bytes
+from levelmap.llm.common import added_blocks, discard, expanded, keep, squeezed, text_bytes, thrifty
 from levelmap.llm.groups import components
 
 #: Shares as numerator and denominator, so that bounds are whole numbers.
@@ -111,7 +111,7 @@ def _sets_of(docs: DataFrame, words_in_shingle: int, bits: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names)
 
     return docs.select("doc_id", text_bytes().alias("text")).mapInArrow(
-        each, "doc_id long, id long, n long, fp long, sketch array<long>, wide array<long>, block int, data binary"
+        thrifty(each), "doc_id long, id long, n long, fp long, sketch array<long>, wide array<long>, block int, data binary"
     )
 
 
@@ -140,7 +140,7 @@ def _index(docs: DataFrame, words_in_shingle: int, least: tuple[int, int], bits:
                 columns = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, ["key", "id", "n", "at"])
 
-    return docs.select(text_bytes().alias("text")).mapInArrow(each, "key long, id long, n int, at int")
+    return docs.select(text_bytes().alias("text")).mapInArrow(thrifty(each), "key long, id long, n int, at int")
 
 
 def _compared(pairs: DataFrame, docs: DataFrame, first: DataFrame, words_in_shingle: int, least: tuple[int, int]) -> DataFrame:
@@ -170,7 +170,7 @@ def _compared(pairs: DataFrame, docs: DataFrame, first: DataFrame, words_in_shin
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     holders = first.join(wanted, "id", "left_semi").select(F.col("first_id").alias("doc_id"))
     texts = docs.join(holders, "doc_id", "left_semi").select(text_bytes().alias("text"))
-    sets = keep(texts.mapInArrow(each, "id long, own array<long>").dropDuplicates(["id"]))
+    sets = keep(texts.mapInArrow(thrifty(each), "id long, own array<long>").dropDuplicates(["id"]))
     met = pairs.join(sets.withColumnsRenamed({"id": "a", "own": "own_a"}), "a").join(sets.withColumnsRenamed({"id": "b", "own": "own_b"}), "b")
     both = F.size(F.array_intersect("own_a", "own_b"))
     enough = both * least[1] >= (F.size("own_a") + F.size("own_b") - both) * least[0]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from levelmap.llm.common import keep, text_of
+from levelmap.llm.common import keep, text_of, thrifty
 
 TOKENIZER = "byte_bpe_50k.json"
 SEQUENCE = 2048
@@ -146,7 +146,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end: int = END) -> DataFrame:
                     ["doc_id", "place", "n", "ids"],
                 )
 
-    return docs.select("doc_id", text_of().alias("text")).mapInArrow(each, "doc_id long, place long, n long, ids binary")
+    return docs.select("doc_id", text_of().alias("text")).mapInArrow(thrifty(each), "doc_id long, place long, n long, ids binary")
 
 
 class _Sequences:
@@ -223,4 +223,4 @@ def sequences(docs: DataFrame, *, tokenizer: str | None = None, length: int = SE
             yield given()
 
     sql_types = ", ".join(f"{f.name} {'binary' if f.name == 'ids' else 'long'}" for f in schema)
-    return ranged.select("doc_id", "ids").mapInArrow(pack, sql_types)
+    return ranged.select("doc_id", "ids").mapInArrow(thrifty(pack), sql_types)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from levelmap.llm.common import free, keep, text_bytes, text_of
+from levelmap.llm.common import free, keep, text_bytes, text_of, thrifty
 from levelmap.llm.groups import components, near_in_groups
 from levelmap.llm.overlap import fingerprint_of, near_copies, shingle_hashes
 
@@ -42,7 +42,7 @@ def fingerprints(docs: DataFrame, words_in_shingle: int = SHINGLE) -> DataFrame:
             fp = np.fromiter(values, np.int64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp)], ["doc_id", "fp"])
 
-    return docs.select("doc_id", text_bytes().alias("text")).mapInArrow(each, "doc_id long, fp long")
+    return docs.select("doc_id", text_bytes().alias("text")).mapInArrow(thrifty(each), "doc_id long, fp long")
 
 
 def _anchors(x: str, half: int) -> tuple[Column, Column]:

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from levelmap.llm.common import WordHashes, added_blocks, expanded, held_out, slices, squeezed, text_of
+from levelmap.llm.common import WordHashes, added_blocks, expanded, held_out, slices, squeezed, text_of, thrifty
 
 WORD_BITS, CONTEXT_BITS, BLOCK_BITS = 22, 16, 16
 BLOCKS, BLOCK, CONTEXTS = 1 << (WORD_BITS - BLOCK_BITS), 1 << BLOCK_BITS, 1 << CONTEXT_BITS
@@ -71,11 +71,19 @@ def keys_of(texts: list[str], memo: WordHashes) -> tuple[np.ndarray, np.ndarray,
 
 def _parts(pairs: np.ndarray, bits: int, subs: int) -> Iterator[tuple[int, np.ndarray]]:
     """Places of pairs, in order, by block of their first half and sub of their second, which has `bits`."""
-    part = (pairs >> np.uint64(bits + BLOCK_BITS)) * np.uint64(subs) + pairs % np.uint64(subs)
+    part = ((pairs >> np.uint64(bits + BLOCK_BITS)) * np.uint64(subs) + pairs % np.uint64(subs)).astype(np.uint32)
     order = np.argsort(part, kind="stable")
-    cut = np.flatnonzero(np.r_[True, np.diff(part[order].astype(np.int64)) != 0]) if len(part) else []
-    for at in np.split(order, cut[1:]) if len(part) else []:
-        yield int(part[at[0]]), at
+    part = part[order]
+    cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
+    for lo, hi in zip(cut, [*cut[1:], len(part)], strict=True) if len(part) else []:
+        yield int(part[lo]), order[lo:hi]
+
+
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    """The parts as one array; empties the list."""
+    whole = np.concatenate(parts)
+    parts.clear()
+    return whole
 
 
 def _packed(pairs: np.ndarray, kind) -> bytes:
@@ -96,26 +104,26 @@ def pair_counts(learning: DataFrame, subs: int) -> DataFrame:
         for batch in batches:
             lengths = pc.utf8_length(batch.column(0)).to_numpy(zero_copy_only=False)
             for at, end in slices(lengths, RUN_CHARS):
-                yield from counted(batch.slice(at, end - at), memo)
+                yield from counted(batch.slice(at, end - at), lengths[at:end], memo)
 
-    def counted(batch: pa.RecordBatch, memo: WordHashes) -> Iterator[pa.RecordBatch]:
-        texts, toxic = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False)
+    def counted(batch: pa.RecordBatch, sizes: np.ndarray, memo: WordHashes) -> Iterator[pa.RecordBatch]:
+        toxic = batch.column(1).to_numpy(zero_copy_only=False)
         keys: tuple[list, list] = ([], [])
         after: tuple[list, list] = ([], [])
-        for lo, hi in slices(np.array([len(t) for t in texts]), CHARS):
-            own, follow, first, lengths = keys_of(texts[lo:hi], memo)
+        for lo, hi in slices(sizes, CHARS):
+            own, follow, first, lengths = keys_of(batch.column(0).slice(lo, hi - lo).to_pylist(), memo)
             of = np.repeat(toxic[lo:hi], lengths)[first]
             for k in (0, 1):
                 keys[k].append(own[first][of == k])
                 after[k].append(follow[first][of == k])
         rows = []
         for k in (0, 1):
-            pairs = np.unique(np.concatenate(keys[k]))
-            keys[k].clear()
+            pairs = _joined(keys[k])
+            pairs = np.unique(pairs)
             for where, at in _parts(pairs, CONTEXT_BITS, subs):
                 rows.append((where // subs, where % subs, k, _packed(pairs[at].astype(np.uint32), np.uint32), None, None))
-            pairs, texts_with = np.unique(np.concatenate(after[k]), return_counts=True)
-            after[k].clear()
+            pairs = _joined(after[k])
+            pairs, texts_with = np.unique(pairs, return_counts=True)
             for where, at in _parts(pairs, WORD_BITS, subs):
                 follow = _packed(pairs[at] & np.uint64((1 << BLOCK_BITS + WORD_BITS) - 1), np.uint64)
                 rows.append((where // subs, where % subs, k, None, follow, squeezed(texts_with[at].astype(np.uint32))))
@@ -125,7 +133,7 @@ def pair_counts(learning: DataFrame, subs: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["block", "sub", "toxic", "pairs", "follow", "texts"])
 
     return learning.select("text", F.col("toxic").cast("int")).mapInArrow(
-        each, "block int, sub int, toxic int, pairs binary, follow binary, texts binary"
+        thrifty(each), "block int, sub int, toxic int, pairs binary, follow binary, texts binary"
     )
 
 
@@ -332,20 +340,27 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
     return w
 
 
+def _runs(batch: pa.RecordBatch, at: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """A batch in runs of CHARS characters or so of the column `at`, with its texts; a null one is empty."""
+    lengths = pc.fill_null(pc.utf8_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+    for lo, hi in slices(lengths, CHARS):
+        run = batch.slice(lo, hi - lo)
+        yield run, [t or "" for t in run.column(at).to_pylist()]
+
+
 def _featured(rows: DataFrame, shared, weights: np.ndarray | None) -> DataFrame:
     """Adds the features (without weights) or the score to rows that have a text column."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, model = WordHashes(), shared.value.model()
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            parts = [model.features(texts[lo:hi], memo) for lo, hi in slices(np.array([len(t) for t in texts], np.int64), CHARS)]
+            parts = [model.features(texts, memo) for _, texts in _runs(batch, 0)]
             x = np.concatenate(parts) if parts else np.zeros((0, FEATURES))
             made = pa.array(list(x), pa.list_(pa.float64())) if weights is None else pa.array(probability(x, weights))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], made], [*batch.schema.names[1:], "made"])
 
     kept = ", ".join(f"{c} {t}" for c, t in rows.dtypes[1:])
-    return rows.mapInArrow(each, f"{kept}, made {'array<double>' if weights is None else 'double'}")
+    return rows.mapInArrow(thrifty(each), f"{kept}, made {'array<double>' if weights is None else 'double'}")
 
 
 def fitted(docs: DataFrame, labels: DataFrame):
@@ -397,9 +412,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = THRE
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, model = WordHashes(), shared.value.model()
         for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            for lo, hi in slices(np.array([len(t) for t in texts], np.int64), CHARS):
-                passes = probability(model.features(texts[lo:hi], memo), weights) < threshold
-                yield batch.slice(lo, hi - lo).filter(pa.array(passes))
+            for run, texts in _runs(batch, at):
+                yield run.filter(pa.array(probability(model.features(texts, memo), weights) < threshold))
 
-    return docs.mapInArrow(each, docs.schema)
+    return docs.mapInArrow(thrifty(each), docs.schema)

@@ -12,6 +12,7 @@ import tracemalloc
 import zlib
 from collections import Counter
 from itertools import product
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -24,6 +25,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from levelmap.llm import catalog, lines, mincut, mixture, overlap, packing, quality, simhash, topk, toxicity, urlrules, video
+from levelmap.llm.common import thrifty
 from levelmap.llm.groups import components
 
 SF = "/root/testdata/sf0.001"
@@ -249,6 +251,44 @@ def test_toxicity_counts_need_one_worker_a_task(spark):
     assert sorted(map(tuple, counts.collect())) == sorted(map(tuple, want))
 
 
+def test_toxicity_pairs_fall_into_parts():
+    pairs = np.random.default_rng(3).integers(0, 1 << 38, 5_000).astype(np.uint64)
+    for bits, subs in ((toxicity.CONTEXT_BITS, 1), (toxicity.CONTEXT_BITS, 4)):
+        parts = dict((where, at.tolist()) for where, at in toxicity._parts(pairs, bits, subs))
+        want: dict = {}
+        for n, x in enumerate(pairs.tolist()):
+            want.setdefault((x >> bits + toxicity.BLOCK_BITS) * subs + x % subs, []).append(n)
+        assert parts == want and not [*toxicity._parts(pairs[:0], bits, subs)]
+
+
+def test_toxicity_batches_are_scored_run_by_run(monkeypatch):
+    """A task has the texts of one run as objects, not those of its whole batch."""
+    monkeypatch.setattr(toxicity, "CHARS", 10)
+    texts = ["four", None, "é" * 9, "", "longer than a run is", "end"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], ["doc_id", "text"])
+    runs = [*toxicity._runs(batch, 1)]
+    assert [t for _, own in runs for t in own] == [t or "" for t in texts]
+    assert [i for run, _ in runs for i in run.column(0).to_pylist()] == [*range(6)]
+    assert max(len(own) for _, own in runs) == 2 and not [*toxicity._runs(batch.slice(0, 0), 1)]
+
+
+def test_a_task_gives_its_memory_back():
+    """Workers stay for later tasks: what a task has freed must not stay with them."""
+    held = lambda: sum(map(int, re.findall(r"Pss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text()))) / 1024
+    pins = []
+
+    def each(batches):
+        for batch in batches:
+            own = [bytearray(50_000) for _ in range(4_000)]
+            pins.append(bytearray(50_000))  # lies above them, so that the heap's end can't be cut off
+            yield batch
+            del own
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1])], ["x"])
+    before = held()
+    assert [*thrifty(each)([batch])] == [batch] and held() - before < 60
+
+
 def test_toxicity_pairs_are_discounted_and_interpolated(spark):
     docs, labels = _trained(spark)
     rows = docs.join(labels.select("doc_id", "toxic"), "doc_id").filter("doc_id < 120")
@@ -829,7 +869,7 @@ def _subsets(tokens):
 @pytest.mark.parametrize("name", list(catalog.ORACLE_SQL))
 def test_queries_against_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "benchmark"):
         con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     want = con.execute(catalog.ORACLE_SQL[name]).fetchdf()
     got = catalog.QUERIES[name](spark, SF).toPandas()
